@@ -20,5 +20,23 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files,)}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.secret_scan import digests
+
+    return digests(documents(spark, sf_dir))
+
+
+def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.forced_bpe import digests
+
+    return digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.mjpeg import media_digests
+
+    return media_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op5_secret_scan, op6_forced_bpe, op10_mjpeg)}
 ORACLES: dict[str, str] = {}
