@@ -20,6 +20,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.pareto_mix import report
+
+    return report(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.secret_scan import digests
 
@@ -38,5 +44,5 @@ def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_secret_scan, op6_forced_bpe, op10_mjpeg)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op10_mjpeg)}
 ORACLES: dict[str, str] = {}
