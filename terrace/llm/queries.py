@@ -20,6 +20,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.ngram_join import clusters
+
+    return clusters(documents(spark, sf_dir))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.pareto_mix import report
 
@@ -44,5 +50,5 @@ def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op10_mjpeg)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op10_mjpeg)}
 ORACLES: dict[str, str] = {}
