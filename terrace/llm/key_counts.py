@@ -107,11 +107,11 @@ def common_keys(rows: DataFrame, buckets: int, least: int = 2, distinct: bool =
         own = [keys[a:b].tobytes() for a, b in zip(starts, ends, strict=False)] if len(starts) else []
         times = [of_each[a:b].tobytes() for a, b in zip(starts, ends, strict=False)] if len(starts) else []
         name = coded.dictionary.take(pa.array(number[starts])).cast(pa.binary()) if len(starts) else pa.array([], pa.binary())
-        return pa.table({"name": name, "found": pa.array(own, pa.binary()), "counts": pa.array(times, pa.binary())})
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(starts), pa.int32()), "name": name, "found": pa.array(own, pa.binary()), "counts": pa.array(times, pa.binary())})
 
     sent = rows.select("name", "keys").mapInArrow(send, "bucket int, steps binary, rows binary, width int, names binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "name binary, found binary, counts binary")
-    # Buckets ascend with the keys: joined by their first key, the parts are in order.
-    parts = met.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.reverse(F.substring("found", 1, 8)).alias("first"), "found", "counts"))).alias("parts"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, name binary, found binary, counts binary")
+    # Buckets ascend with the keys: in their order, the parts make one ascending list.
+    parts = met.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("bucket", "found", "counts"))).alias("parts"))
     joined = lambda c: F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p[c]))
     return parts.select("name", joined("found").alias("found"), joined("counts").alias("counts"))

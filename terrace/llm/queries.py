@@ -44,11 +44,17 @@ def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.pfp_dedup import report
+
+    return report(documents(spark, sf_dir))
+
+
 def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.mjpeg import media_digests
 
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op10_mjpeg)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op9_pfp_dedup, op10_mjpeg)}
 ORACLES: dict[str, str] = {}

@@ -35,13 +35,13 @@ def cut_array(body: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Ar
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of about SLICE_BYTES, one text at least: (first index, texts)."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about limit bytes, one text at least: (first index, texts)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo, n = 0, len(texts)
     while lo < n:
         base = sizes[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(sizes, base + limit, "right")))
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
 
