@@ -26,6 +26,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(documents(spark, sf_dir))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.lattice_lm import scores
+
+    return scores(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.pareto_mix import report
 
@@ -62,5 +68,5 @@ def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op7_language_id, op9_pfp_dedup, op10_mjpeg)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_lattice_lm, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op7_language_id, op9_pfp_dedup, op10_mjpeg)}
 ORACLES: dict[str, str] = {}
