@@ -56,6 +56,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(documents(spark, sf_dir))
 
 
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.cws import report
+
+    return report(documents(spark, sf_dir))
+
+
 def op9_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.pfp_dedup import report
 
@@ -68,5 +74,5 @@ def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_lattice_lm, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op7_language_id, op9_pfp_dedup, op10_mjpeg)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_lattice_lm, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op7_language_id, op8_weighted_fingerprints, op9_pfp_dedup, op10_mjpeg)}
 ORACLES: dict[str, str] = {}
