@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 Terms are a text's distinct lower-case words, weighted by their counts. For each of SAMPLES hashes a
-term draws r and c from Gamma(2, 1) and b from (0, 1), all from hashes of the term; with
+term draws r and c from Gamma(2, 1), each a sum of two exponentials, and b from (0, 1), all from hashes of the term; with
 t = floor(ln(weight) / r + b) the sample is the term of the least ln(c) - r * (t - b + 1), together
 with t. Two texts agree in a sample with a probability of their generalised Jaccard similarity.
 
@@ -21,17 +21,18 @@ a hash of the text; null doc_ids come first; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpointed, partitions_for, text_or_empty
+from terrace.llm.common import checkpointed, partitions_for, text_or_empty, written
 
-SAMPLES = 64
-#: Samples computed for one row of the fold; a row of terms is read SAMPLES / GROUP times.
-GROUP = 16
+SAMPLES = 32
+#: Samples computed for one row of the fold; with more, the JVM no longer compiles the generated method.
+GROUP = 2
 SEED = 77
-#: Steps of a sample's value in its order; values lie within ±32.
-STEPS = 1 << 25
+#: Steps of a sample's value in its order; values lie within ±64.
+STEPS = 1 << 24
 
 
 def term_weights(text: Column) -> Column:
@@ -46,18 +47,36 @@ def _starts(words: Column) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+def _exponential(bits: Column) -> Column:
+    """A draw of -ln(u) from 32 bits: trailing zeros give u's binary order, the upper bits its fraction."""
+    low = bits.bitwiseAND((1 << 16) - 1).bitwiseOR(1 << 16)
+    order = F.bit_count(low.bitwiseAND(-low) - 1)
+    m = F.shiftright(bits, 16).bitwiseAND((1 << 16) - 1) * F.lit(2.0**-16)
+    # -ln of (1 + m) / 2 by a polynomial.
+    poly = F.lit(float(_LOG[0]))
+    for c in _LOG[1:]:
+        poly = poly * m + F.lit(float(c))
+    return order * F.lit(LN2) + F.greatest(poly, F.lit(1e-6))
+
+
+LN2 = float(np.log(2))
+_X = (np.arange(1 << 16) + 0.5) / (1 << 16)
+_LOG = np.polyfit(_X, -np.log((1 + _X) / 2), 6)
+
+
 def _sample(term: Column, log_weight: Column, k: Column) -> Column:
     """A long: the order of the sample's value, then a hash of (term, t)."""
     h1 = F.xxhash64(term, k, F.lit(SEED))
     h2 = F.xxhash64(h1)
-    part = lambda h, n: ((F.shiftrightunsigned(h, 21 * n).bitwiseAND((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
-    r = -F.log(part(h1, 0) * part(h1, 1))
-    log_c = F.log(-F.log(part(h2, 0) * part(h2, 1)))
-    b = part(h2, 2)
-    t = F.floor(log_weight / r + b)
+    h3 = F.xxhash64(h2)
+    r = _exponential(h1) + _exponential(F.shiftrightunsigned(h1, 32))
+    log_c = F.log(_exponential(h2) + _exponential(F.shiftrightunsigned(h2, 32)))
+    b = (F.shiftrightunsigned(h3, 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
     value = log_c - r * (t - b + 1)
-    order = F.least(F.greatest(F.floor((value + 32) * STEPS), F.lit(0)), F.lit((1 << 31) - 1))
-    return F.shiftleft(order, 32) + F.shiftrightunsigned(F.xxhash64(term, t, k), 32)
+    # Within a step the hash of (term, t) decides.
+    order = F.least(F.greatest(((value + 64) * STEPS).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
+    return F.shiftleft(order, 32).bitwiseOR(F.shiftrightunsigned(h3, 32).bitwiseXOR(t.bitwiseAND((1 << 32) - 1)))
 
 
 def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,7 +139,8 @@ def report(docs: DataFrame) -> DataFrame:
     digests = both.where("kind = 1").select("id", "h", F.sha2("text", 256).alias("edited_sha256"))
     pick = lambda k: F.first(F.when(F.col("kind") == k, F.col("fingerprint")), ignorenulls=True)
     own = marks.groupBy("id", "h").agg(pick(0).alias("own"), pick(1).alias("edited"))
-    own = own.join(digests, ["id", "h"]).join(order, ["id", "h"])
+    # Written, since a fingerprint is wanted twice: for its document and for the one before.
+    own = written(own.join(digests, ["id", "h"]).join(order, ["id", "h"]), "fingerprints")
     after = own.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("after"))
     rows = own.join(after, ["next_id", "next_h"]).join(counts.select("id", "h", "copies"), ["id", "h"])
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
