@@ -107,7 +107,9 @@ def problems_of(part: Column, allowed: Column | None = None) -> Column:
 def checked(mapped: DataFrame, vocabulary: Column | None = None, column: str = "mapped_json") -> DataFrame:
     """Adds mapped (parsed) and problems; JSON that can't be read is one problem."""
     rows = mapped.withColumn("mapped", F.from_json(t.without_fences(F.col(column)), MAPPED))
-    own = F.concat(problems_of(F.col("mapped.concept"), vocabulary), F.flatten(F.transform("mapped.attributes", lambda x: problems_of(x, vocabulary))), F.flatten(F.transform("mapped.relationships", lambda x: problems_of(x, vocabulary))))
+    none = F.array().cast("array<string>")
+    parts = lambda c: F.coalesce(F.flatten(F.transform(c, lambda x: problems_of(x, vocabulary))), none)
+    own = F.concat(problems_of(F.col("mapped.concept"), vocabulary), parts("mapped.attributes"), parts("mapped.relationships"))
     kind = F.when(~F.coalesce(F.col("mapped.concept.type"), F.lit("")).isin("", *NODE_TYPES), F.array(F.lit("unknown node type"))).otherwise(F.array().cast("array<string>"))
     unread = F.col("mapped").isNull() | F.col("mapped.concept").isNull()
     return rows.withColumn("problems", F.when(unread, F.array(F.lit("no readable mapping"))).otherwise(F.array_compact(F.concat(F.coalesce(own, F.array().cast("array<string>")), kind))))

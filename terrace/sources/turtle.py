@@ -128,7 +128,8 @@ def parse(text: str, scope: str = "d") -> list[tuple]:
         if value.lower().lstrip("@") in ("prefix", "base"):
             take()
             if value.lower().endswith("prefix"):
-                prefixes[take()[1].removesuffix(":")] = iri(take()[1])[0]
+                name = take()[1].removesuffix(":")
+                prefixes[name] = iri(take()[1])[0]
             else:
                 state["base"] = iri(take()[1])[0]
             if value.startswith("@"):
