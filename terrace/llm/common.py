@@ -52,8 +52,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's bytes; for a scan, the size of its files. No job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of a plan's bytes, for a scan the size of its files; where it has none, half the texts' bytes are counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 50 or "text" not in df.columns:
+        return known
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]) // 2
 
 
 def partitions_for(df: DataFrame, per_task: int = TASK_BYTES) -> int:
@@ -61,8 +64,21 @@ def partitions_for(df: DataFrame, per_task: int = TASK_BYTES) -> int:
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bytes_ = input_bytes(df)
-    return max(least, min(1 << 17, -(-bytes_ // per_task))) if bytes_ < 1 << 62 else least
+    return max(least, min(1 << 17, -(-bytes_ // per_task))) if bytes_ < 1 << 50 else least
 
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 
 #: A-Z to lower case, and the white space of words to a blank; other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
