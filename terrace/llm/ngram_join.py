@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpointed, input_bytes, written
+from terrace.llm.common import checkpointed, input_bytes, trim, written
 from terrace.llm.components import components
 from terrace.llm.key_counts import common_keys
 from terrace.llm.words import LOWER, slices, word_codes
@@ -41,6 +41,7 @@ RARE, FREQUENT = 16, 256
 #: Under this band (sets of less than 2**BAND shingles) all are indexed alone.
 BAND = 4
 BUCKET_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, words: int = WORDS_A_SHINGLE) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
-    for _, some in slices(texts):
+    for _, some in slices(texts, SLICE_BYTES):
         codes, bounds, distinct = word_codes(some, LOWER)
         of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
         w = of_word[codes] if len(codes) else np.zeros(0, np.uint64)
@@ -83,21 +84,24 @@ def _sets(docs: DataFrame, with_keys: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sets = list(shingle_sets(batch["text"]))
-            names = [_name(x) for x in sets]
-            if with_keys:
-                # A class that this task has sent is not sent again.
-                fresh = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                for lo in range(0, len(fresh), 2000):
-                    some = fresh[lo : lo + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.binary()), pa.array([sets[i].tobytes() for i in some], pa.binary())], ["name", "keys"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.binary())], ["doc_id", "n", "name"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "name binary, keys binary" if with_keys else "doc_id long, n long, name binary")
+            for lo, texts in slices(batch["text"], SLICE_BYTES):
+                sets = list(shingle_sets(texts))
+                names = [_name(x) for x in sets]
+                if with_keys:
+                    # A class that this task has sent is not sent again.
+                    fresh = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    columns = [pa.array([names[i] for i in fresh], pa.binary()), pa.array([sets[i].tobytes() for i in fresh], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["name", "keys"])
+                else:
+                    columns = [batch["doc_id"].slice(lo, len(texts)), batch["text_hash"].slice(lo, len(texts)), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "name"])
+                del sets
+            trim()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "name binary, keys binary" if with_keys else "doc_id long, text_hash long, n long, name binary")
 
 
 def most_missed(n: int, like: int = LIKE) -> int:
@@ -189,7 +193,7 @@ def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
 
 
 def clusters(docs: DataFrame, like: int = LIKE) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set) of every row."""
+    """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set), text_hash of every row."""
     members = written(_sets(docs, False), "members")
     classes = members.where("n > 0").groupBy("name").agg(F.max("n").alias("n"), F.min("doc_id").alias("class_id"))
     buckets = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
@@ -204,4 +208,12 @@ def clusters(docs: DataFrame, like: int = LIKE) -> DataFrame:
     named = rooted.join(least, "root").select("name", "class_id", "component_id")
     out = members.join(named, "name", "left")
     own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, like: int = LIKE) -> DataFrame:
+    """The row of docs that names its component, once; all columns stay. Groups without any doc_id stay whole."""
+    kept = clusters(docs, like).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    rows = docs.withColumn("_h2", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_h2").orderBy(F.lit(0)))).where("_place = 1")
+    return rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")), "left_semi").select(*docs.columns)
