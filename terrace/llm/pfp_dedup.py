@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import input_bytes, text_or_empty, written
+from terrace.llm.common import input_bytes, text_or_empty, trim, written
 from terrace.llm.key_counts import common_keys
 from terrace.llm.ngram_join import mix
 from terrace.llm.words import raw, slices
@@ -35,7 +35,7 @@ GRAM = 16
 #: Positions among which a trigger is the least; a power of two.
 WINDOW = 64
 BASE = 0x5851F42D4C957F2D
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BUCKET_BYTES = 12 << 20
 
 #: A fixed odd 64-bit number for each byte.
@@ -134,6 +134,7 @@ def _first_level(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 parsed = Parsed(texts, length)
                 keys = [parsed.dictionary_keys(i).tobytes() for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([batch["name"].slice(lo, len(texts)), pa.array(keys, pa.binary())], ["name", "keys"])
+            trim()
 
     return common_keys(docs.select("name", "text").mapInArrow(run, "name binary, keys binary"), buckets, distinct=False).select("name", F.col("found").alias("found1"))
 
@@ -150,6 +151,7 @@ def _second_level(held: DataFrame, length: int, buckets: int) -> DataFrame:
                             names.append(batch["name"][lo + i].as_py())
                             keys.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.binary())], ["name", "keys"])
+            trim()
 
     # The same columns as in the last step, and no filter: both then read one exchange of the texts.
     rows = held.select("name", "text", "copies", "found1").mapInArrow(run, "name binary, keys binary")
@@ -177,6 +179,7 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
                     kept.append(own[~gone].tobytes())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch["name"].slice(lo, len(texts)), pa.array(np.diff(at)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["name", "n_bytes", "spans", "kept"])
+            trim()
 
     return rows.select("name", "text", "copies", "found1", "found2").mapInArrow(run, f"name binary, n_bytes long, spans {SPANS}, kept binary")
 
