@@ -4,7 +4,8 @@ Exploding keys into rows would shuffle some 25 bytes each. Instead every task so
 chunk of rows, cuts them by value into buckets, and sends one compressed blob a bucket: sorted keys as
 differences in byte planes, and the rows they came from as numbers into the chunk's list of row names.
 A bucket holds a share of the key space, whatever its keys' counts, so no key makes a task heavy by
-more than one entry a row. Rows get back only the keys that occur often enough.
+more than one entry a row. Rows get back only the keys that occur often enough,
+again as blobs, one for each bucket and share of the rows.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Keys that a task sorts at a time, and that a bucket is meant to hold.
-CHUNK = 3_000_000
+from terrace.llm.common import trim
+
+#: Keys that a task sorts and sends at a time.
+CHUNK = 2_000_000
+#: Keys of a bucket that are sorted at a time.
+RANGE = 1_000_000
 NAME = 16
 
 
@@ -50,6 +54,23 @@ def _blobs(names: list[bytes], keys: list[np.ndarray], buckets: int) -> Iterator
             yield b, pack(steps), pack(small), small.dtype.itemsize, all_names[used].tobytes()
 
 
+def _common(parts: list[tuple[np.ndarray, np.ndarray]], least: int, distinct: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row's number, count) of the keys that occur often enough, each row's once, by key."""
+    keys, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(keys):
+        return keys, number, np.zeros(0, np.uint32)
+    order = np.lexsort((number, keys))
+    keys, number = keys[order], number[order]
+    fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
+    once = fresh | np.concatenate([[True], number[1:] != number[:-1]])
+    if distinct:
+        keys, number, fresh, once = keys[once], number[once], fresh[once], np.ones(int(once.sum()), bool)
+    counts = np.diff(np.append(np.flatnonzero(fresh), len(keys)))
+    times = np.repeat(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), counts)
+    once &= times >= least
+    return keys[once], number[once], times[once]
+
+
 def common_keys(rows: DataFrame, buckets: int, least: int = 2, distinct: bool = True) -> DataFrame:
     """name binary(16), keys binary (uint64) -> name, found binary (uint64, ascending), counts binary (uint32), one row a name.
 
@@ -64,6 +85,7 @@ def common_keys(rows: DataFrame, buckets: int, least: int = 2, distinct: bool =
             nonlocal names, keys, held
             columns = list(zip(*_blobs(names, keys, buckets), strict=True))
             names, keys, held = [], [], 0
+            trim()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())], ["bucket", "steps", "rows", "width", "names"])
 
         for batch in batches:
@@ -79,39 +101,61 @@ def common_keys(rows: DataFrame, buckets: int, least: int = 2, distinct: bool =
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, number, names, at = [], [], [], 0
-        for steps, rows, width, own in zip(table["steps"].to_pylist(), table["rows"].to_pylist(), table["width"].to_pylist(), table["names"].to_pylist(), strict=True):
-            keys.append(np.cumsum(unpack(steps, "u8"), dtype=np.uint64))
-            number.append(unpack(rows, f"u{width}").astype(np.uint32) + np.uint32(at))
-            names.append(own)
-            at += len(own) // NAME
-        coded = pa.Array.from_buffers(pa.binary(NAME), at, [None, pa.py_buffer(b"".join(names))]).dictionary_encode()
-        keys, number = np.concatenate(keys), coded.indices.to_numpy()[np.concatenate(number)]
-        order = np.lexsort((number, keys)) if distinct else np.argsort(keys, kind="stable")
-        keys, number = keys[order], number[order]
-        fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
-        if distinct:
-            once = fresh | np.concatenate([[True], number[1:] != number[:-1]])
-            keys, number, fresh = keys[once], number[once], fresh[once]
-        counts = np.diff(np.append(np.flatnonzero(fresh), len(keys)))
-        of_each = np.repeat(counts, counts)
-        kept = of_each >= least
-        keys, number, of_each = keys[kept], number[kept], np.minimum(of_each[kept], 0xFFFFFFFF).astype(np.uint32)
+        names = [x.as_py() for x in table["names"]]
+        coded = pa.Array.from_buffers(pa.binary(NAME), sum(map(len, names)) // NAME, [None, pa.py_buffer(b"".join(names))]).dictionary_encode()
+        of_name, at, total, parts = coded.indices.to_numpy(), 0, 0, []
+        for steps, rows, width, own in zip(table["steps"], table["rows"], table["width"].to_pylist(), names, strict=True):
+            number = unpack(rows.as_py(), f"u{width}")
+            parts.append((np.cumsum(unpack(steps.as_py(), "u8"), dtype=np.uint64), of_name[at : at + len(own) // NAME].astype(np.uint32)[number]))
+            at, total = at + len(own) // NAME, total + len(number)
+        # A bucket is worked on in turn by ranges of the key.
+        cuts = -(-total // RANGE)
+        lo, hi = (int(f(int(k[i]) for k, _ in parts)) for f, i in ((min, 0), (max, -1)))
+        edges = np.array([lo + (hi - lo) * c // cuts for c in range(1, cuts)], np.uint64)
+        bounds = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k, _ in parts]
+        got = [_common([(k[b[c] : b[c + 1]], n[b[c] : b[c + 1]]) for (k, n), b in zip(parts, bounds, strict=True)], least, distinct) for c in range(cuts)]
+        keys, number, times = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(number, kind="stable")
-        keys, number, of_each = keys[order], number[order], of_each[order]
-        if not distinct and len(keys):  # a row may hold a key more than once
-            once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (number[1:] != number[:-1])])
-            keys, number, of_each = keys[once], number[once], of_each[once]
+        keys, number, times = keys[order], number[order], times[order]
+        # By the destination of the row's name, then by row.
+        to = np.frombuffer(coded.dictionary.buffers()[1], np.uint64)[2 * coded.dictionary.offset : 2 * (coded.dictionary.offset + len(coded.dictionary)) : 2] % np.uint64(buckets)
+        order = np.argsort(to[number], kind="stable")
+        keys, number, times = keys[order], number[order], times[order]
         starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(number))
-        own = [keys[a:b].tobytes() for a, b in zip(starts, ends, strict=False)] if len(starts) else []
-        times = [of_each[a:b].tobytes() for a, b in zip(starts, ends, strict=False)] if len(starts) else []
-        name = coded.dictionary.take(pa.array(number[starts])).cast(pa.binary()) if len(starts) else pa.array([], pa.binary())
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(starts), pa.int32()), "name": name, "found": pa.array(own, pa.binary()), "counts": pa.array(times, pa.binary())})
+        sizes, names = np.diff(np.append(starts, len(number))).astype(np.uint32), coded.dictionary.take(pa.array(number[starts])).cast(pa.binary()).to_pylist()
+        where = to[number[starts]]
+        edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+        ends = np.append(edges[1:], len(where)).astype(np.int64)
+        first = np.append(starts, len(number))
+        out = pa.table(
+            {
+                "to": pa.array(where[edges].astype(np.int32)),
+                "bucket": pa.array([table["bucket"][0].as_py()] * len(edges), pa.int32()),
+                "names": pa.array([b"".join(names[a:b]) for a, b in zip(edges, ends, strict=False)], pa.binary()),
+                "sizes": pa.array([sizes[a:b].tobytes() for a, b in zip(edges, ends, strict=False)], pa.binary()),
+                "found": pa.array([keys[first[a] : first[b]].tobytes() for a, b in zip(edges, ends, strict=False)], pa.binary()),
+                "counts": pa.array([pack(times[first[a] : first[b]]) for a, b in zip(edges, ends, strict=False)], pa.binary()),
+            }
+        )
+        del parts, got
+        trim()
+        return out
+
+    def tell(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")  # keys ascend with the bucket
+        names = table["names"].to_pylist()
+        coded = pa.Array.from_buffers(pa.binary(NAME), sum(map(len, names)) // NAME, [None, pa.py_buffer(b"".join(names))]).dictionary_encode()
+        sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in table["sizes"].to_pylist()])
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()])
+        times = np.concatenate([unpack(x, "u4") for x in table["counts"].to_pylist()])
+        number = np.repeat(coded.indices.to_numpy(), sizes)
+        order = np.argsort(number, kind="stable")
+        keys, times = keys[order], times[order]
+        at = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(coded.dictionary)))]).tolist()
+        data, told = keys.tobytes(), times.tobytes()
+        out = {"name": coded.dictionary.cast(pa.binary()), "found": pa.array([data[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary()), "counts": pa.array([told[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())}
+        return pa.table(out)
 
     sent = rows.select("name", "keys").mapInArrow(send, "bucket int, steps binary, rows binary, width int, names binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "bucket int, name binary, found binary, counts binary")
-    # Buckets ascend with the keys: in their order, the parts make one ascending list.
-    parts = met.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("bucket", "found", "counts"))).alias("parts"))
-    joined = lambda c: F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p[c]))
-    return parts.select("name", joined("found").alias("found"), joined("counts").alias("counts"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "to int, bucket int, names binary, sizes binary, found binary, counts binary")
+    return met.groupBy("to").applyInArrow(tell, "name binary, found binary, counts binary")
