@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import checkpointed, partitions_for, text_or_empty, written
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples computed for one row of the fold; with more, the JVM no longer compiles the generated method.
 GROUP = 2
 SEED = 77
