@@ -250,3 +250,21 @@ def test_fingerprint_error_at_the_near_line(spark):
     shares = np.array([np.mean(np.array(marks[i]) == np.array(marks[i + 1])) for i in range(0, 800, 2)])
     assert min(map(len, marks.values())) >= 64
     assert abs(shares.mean() - 0.75) < 0.015 and shares.std() < 0.063
+
+
+def test_rising_factorials():
+    p, times = np.array([1e-9, 0.3, 7.0, 15360.0, 2.5]), np.array([1, 3, 8, 40, 2000])
+    assert lattice_lm.rising_rest(p, times) == pytest.approx([math.lgamma(a + t) - math.lgamma(a + 1) for a, t in zip(p, times, strict=True)], abs=1e-8)
+
+
+@pytest.mark.parametrize(("bursty", "weight"), [(True, 30), (False, 15360)])
+def test_lattice_weight_reaches_both_ends(spark, monkeypatch, bursty, weight):
+    # Documents of five words eight times each want the least weight, those of the same fifty words once each the greatest.
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    texts = [" ".join(rng.permutation(rng.choice(vocabulary, 5).tolist() * 8 if bursty else vocabulary[:50])) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    found = lambda: {r.doc_id: r.score for r in lattice_lm.scores(rows, tokenizer_path("piece_bpe_32k.model"), 1).collect()}
+    chosen = found()
+    monkeypatch.setattr(lattice_lm, "CONCENTRATIONS", (weight,))
+    assert found() == pytest.approx(chosen)
