@@ -1,10 +1,16 @@
 """Secret scans: three plain patterns, and character Markov models that add what these miss.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers,
-are trained from labelled samples: generated random strings in common alphabets, and the runs of a
-bounded sample of documents that no plain pattern claims. A run of RUN characters with a letter and a
-digit is a secret when the log-likelihood ratio a character exceeds a threshold that the ordinary
-samples' own tail sets.
+are trained from labelled samples: generated random strings in common alphabets, and words of a bounded
+sample of documents. Runs under LEAST_RUN characters, too short for a key, make the first ordinary model,
+alone and joined as identifiers join words; the longer runs that this model calls ordinary join them, so
+that keys in the sample neither train the model nor move the threshold.
+
+Of a run of LEAST_RUN characters or more, a segment of at least so many is a secret when its mean
+log-likelihood ratio exceeds a threshold between the tails of the ordinary and the generated samples; the
+one that exceeds it most is taken, widened to the next separators, and what lies left and right of it is
+looked at again. Runs are scored whole, plain spans included, and a segment's parts outside of plain
+spans are added.
 
 Defined results: null text counts as empty and has no spans; an added span never overlaps a plain
 one; repeated rows get equal spans; an empty table trains on the generated strings alone; a column
@@ -15,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,21 +36,28 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+#: Characters of the shortest run that is scored and of the shortest random string.
+LEAST_RUN = 16
 ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SEPARATORS = "+/_.=-"
 WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 START = len(ALPHABET)
 SIZE = START + 1
+SEPARATED = ALPHABET.index(SEPARATORS[0])  # codes from here on are separators, or the start
 
 #: Bounds of the training sample: documents drawn, generated strings.
 SAMPLE_DOCUMENTS = 2000
 RANDOM_STRINGS = 4000
-#: Histogram of ratios a character of ordinary runs, and the share of them that the threshold leaves above it.
+#: Histogram of ratios a character of ordinary runs' best segments, and the share of them that the threshold leaves above it.
 RATIO_BINS = np.linspace(-4, 4, 801)
 TAIL = 1e-4
+#: The share of generated strings that lie below their tail.
+RANDOM_TAIL = 0.01
+#: The most that one pair counts, in nats.
+MOST_GAIN = 2.0
 #: No threshold is lower; in nats a character.
 LEAST_RATIO = 0.3
 
@@ -63,12 +76,12 @@ def plain_spans(text: str) -> list[tuple[int, int, str]]:
 
 def random_strings() -> list[str]:
     """The labelled random class: digits of SHA-256 in the alphabets that keys are written in."""
-    alphabets = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62])
+    alphabets = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:26], ALPHABET[:52])
     out = []
     for i in range(RANDOM_STRINGS):
         digest = hashlib.sha256(f"random string {i}".encode()).digest() * 2
         letters = alphabets[i % len(alphabets)]
-        out.append("".join(letters[b % len(letters)] for b in digest[: 16 + i % 33]))
+        out.append("".join(letters[b % len(letters)] for b in digest[: LEAST_RUN + i % 33]))
     return out
 
 
@@ -90,21 +103,61 @@ class Markov:
     ratios: np.ndarray
     threshold: float
 
-    def ratio(self, run: str) -> float:
+    def gains(self, run: str) -> np.ndarray:
+        """The ratio of each character after the one before; odd pairs and separators don't make a run random by themselves."""
         codes = CODE[np.frombuffer(("\0" + run).encode("ascii"), np.uint8)]
-        return float(self.ratios[codes[:-1], codes[1:]].mean())
+        gains = np.minimum(self.ratios[codes[:-1], codes[1:]], MOST_GAIN)
+        seam = codes >= SEPARATED
+        return np.where(seam[:-1] | seam[1:], np.minimum(gains, 0.0), gains)
+
+    def segments(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the run's random segments, widened to separators, in ascending order."""
+        gains, found, todo = self.gains(run), [], [(0, len(run))]
+        while todo:
+            lo, hi = todo.pop()
+            over, a, b = best_segment(gains[lo:hi] - self.threshold)
+            if over > 0:
+                a, b = lo + a, lo + b
+                while a > lo and run[a - 1] not in SEPARATORS and run[a] not in SEPARATORS:
+                    a -= 1
+                while b < hi and run[b] not in SEPARATORS and run[b - 1] not in SEPARATORS:
+                    b += 1
+                found.append((a, b))
+                todo += [(lo, a), (b, hi)]
+        return sorted(found)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Plain spans and those the models add."""
         base = plain_spans(text)
         added = []
-        for m in RUN.finditer(text):
-            run = m[0]
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, b, _ in base) and self.ratio(run) > self.threshold:
-                added.append((m.start(), m.end(), "markov"))
+        for m in ANY_RUN.finditer(text):
+            for a, b in self.segments(m[0]):
+                a, b = m.start() + a, m.start() + b
+                for x, y, _ in base:
+                    if x < b and a < y:
+                        added += [(a, x, "markov")] if a < x else []
+                        a = max(a, y)
+                added += [(a, b, "markov")] if a < b else []
         return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]))) if added else base
 
 
+def best_segment(gains: np.ndarray) -> tuple[float, int, int]:
+    """(sum, start, end) of the segment of LEAST_RUN or more with the greatest sum; a sum of -inf where gains are fewer."""
+    if len(gains) < LEAST_RUN:
+        return -np.inf, 0, 0
+    sums = np.concatenate([[0.0], np.cumsum(gains)])
+    least = np.minimum.accumulate(sums[: len(sums) - LEAST_RUN])
+    b = int(np.argmax(sums[LEAST_RUN:] - least)) + LEAST_RUN
+    a = int(np.argmin(sums[: b - LEAST_RUN + 1]))
+    return float(sums[b] - sums[a]), a, b
+
+
+def best_mean(gains: np.ndarray) -> float:
+    """The greatest mean of a segment of LEAST_RUN or more; one of twice LEAST_RUN has a half that is no worse."""
+    sums = np.concatenate([[0.0], np.cumsum(gains)])
+    return max((float((sums[n:] - sums[:-n]).max()) / n for n in range(LEAST_RUN, min(2 * LEAST_RUN, len(sums)))), default=-np.inf)
+
+
 def ratios_of(ordinary: np.ndarray) -> np.ndarray:
     def logs(counts: np.ndarray) -> np.ndarray:
         smooth = counts + 0.5
@@ -121,19 +174,27 @@ def train(docs: DataFrame) -> Markov:
     if total > SAMPLE_DOCUMENTS:
         sample = sample.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(SAMPLE_DOCUMENTS / total * (1 << 30))))
 
-    def ordinary_runs(text: str) -> list[str]:
+    def short_runs(text: str) -> list[str]:
         spans = plain_spans(text)
-        words = [m[0] for m in WORDS.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        words = [m[0] for m in WORDS.finditer(text) if len(m[0]) < LEAST_RUN and not any(a < m.end() and m.start() < b for a, b, _ in spans)]
         # Identifiers join words; the pairs at their seams are ordinary too.
         return words + [a + b.capitalize() for a, b in zip(words[::4], words[1::4], strict=False)] + [f"{a}_{b}" for a, b in zip(words[2::4], words[3::4], strict=False)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((SIZE, SIZE), np.int64)
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                counts += pair_counts(ordinary_runs(text or ""))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
+    def long_runs(text: str, model: Markov) -> list[str]:
+        """Runs as long as keys that the model calls ordinary in every segment."""
+        spans = plain_spans(text)
+        return [m[0] for m in ANY_RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans) and best_mean(model.gains(m[0])) < 0]
+
+    def counted(runs_of: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((SIZE, SIZE), np.int64)
+            for batch in batches:
+                for text in batch["text"].to_pylist():
+                    counts += pair_counts(runs_of(text or ""))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
+
+        return count
 
     def summed(rows: DataFrame, size: int) -> np.ndarray:
         out = np.zeros(size, np.int64)
@@ -141,22 +202,30 @@ def train(docs: DataFrame) -> Markov:
             out[r["at"]] = r["n"]
         return out
 
-    ratios = ratios_of(summed(sample.mapInArrow(count, "at long, n long"), SIZE * SIZE).reshape(SIZE, SIZE))
+    def pairs(runs_of: Callable[[str], list[str]]) -> np.ndarray:
+        return summed(sample.mapInArrow(counted(runs_of), "at long, n long"), SIZE * SIZE).reshape(SIZE, SIZE)
+
+    short = pairs(short_runs)
+    first = Markov(ratios_of(short), 0.0)
+    ratios = ratios_of(short + pairs(lambda text: long_runs(text, first)))
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = Markov(ratios, 0.0), np.zeros(len(RATIO_BINS) + 1, np.int64)
         for batch in batches:
             for text in batch["text"].to_pylist():
-                runs = [x for x in ordinary_runs(text or "") if len(x) >= 16]
-                counts += np.bincount(np.digitize([model.ratio(x) for x in runs], RATIO_BINS), minlength=len(counts)) if runs else 0
+                runs = [x for x in short_runs(text or "") if len(x) >= LEAST_RUN] + long_runs(text or "", first)
+                counts += np.bincount(np.digitize([best_mean(model.gains(x)) for x in runs], RATIO_BINS), minlength=len(counts)) if runs else 0
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
 
     counts = summed(sample.mapInArrow(tail, "at long, n long"), len(RATIO_BINS) + 1)
     above = np.cumsum(counts[::-1])[::-1]
     over = np.flatnonzero(above > TAIL * max(1, counts.sum()))
-    threshold = RATIO_BINS[min(len(RATIO_BINS) - 1, over[-1])] if len(over) else LEAST_RATIO
-    return Markov(ratios, max(LEAST_RATIO, float(threshold)))
+    ordinary = max(LEAST_RATIO, float(RATIO_BINS[min(len(RATIO_BINS) - 1, over[-1])]) if len(over) else LEAST_RATIO)
+    model = Markov(ratios, ordinary)
+    # Between the tails of both labelled samples, or where they meet the lower one, so that no sample of documents hides all keys.
+    generated = float(np.quantile([best_mean(model.gains(x)) for x in random_strings()], RANDOM_TAIL))
+    return Markov(ratios, max(LEAST_RATIO, (ordinary + generated) / 2 if generated > ordinary else generated))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"

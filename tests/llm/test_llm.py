@@ -268,3 +268,17 @@ def test_lattice_weight_reaches_both_ends(spark, monkeypatch, bursty, weight):
     chosen = found()
     monkeypatch.setattr(lattice_lm, "CONCENTRATIONS", (weight,))
     assert found() == pytest.approx(chosen)
+
+
+def _keys(seed, n, letters, size):
+    rng = np.random.default_rng(seed)
+    return ["".join(letters[i] for i in rng.integers(0, len(letters), size)) for _ in range(n)]
+
+
+def test_keys_in_the_sample_do_not_hide_keys(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    planted = _keys(1, len(rows), secret_scan.ALPHABET[:62], 36)
+    hot = spark.createDataFrame([(r.doc_id, f"{r.text} {k}" if i % 10 < 3 else r.text) for i, (r, k) in enumerate(zip(rows, planted, strict=True))], "doc_id long, text string")
+    model = secret_scan.train(hot)
+    assert sum(model.spans(f"a {k} b") == [(2, 38, "markov")] for k in _keys(2, 200, secret_scan.ALPHABET[:62], 36)) > 190
+    assert sum(any(k == "markov" for *_, k in model.spans(r.text or "")) for r in rows) < 0.01 * len(rows)
