@@ -282,3 +282,15 @@ def test_keys_in_the_sample_do_not_hide_keys(spark):
     model = secret_scan.train(hot)
     assert sum(model.spans(f"a {k} b") == [(2, 38, "markov")] for k in _keys(2, 200, secret_scan.ALPHABET[:62], 36)) > 190
     assert sum(any(k == "markov" for *_, k in model.spans(r.text or "")) for r in rows) < 0.01 * len(rows)
+
+
+def test_secret_segments(spark):
+    model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    found = lambda text: [text[a:b] for a, b, k in model.spans(text) if k == "markov"]
+    short, key = "qZ7xW2vK9pL4mN8r", "qZ7xW2vK9pL4mN8rT5yB3cD6"
+    assert found(f"a {short} b") == [short]
+    assert sum(found(f"a {k} b") == [k] for k in _keys(3, 200, secret_scan.ALPHABET[:52], 24)) > 180
+    for before, after in (("/the/in/on/", "/ing/the"), ("x=", ""), ("the.of.and.", ".thing")):
+        assert found(f"the {before}{key}{after} of") == [key]
+    assert found("a kQ7xZ9f8e7d6c5b4a39281WqzKp b") == ["kQ7xZ", "WqzKp"]
+    assert [k for *_, k in model.spans("a 4713332104704538 b")] == ["hex"]
