@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,12 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -45,6 +48,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a written table that no later read needs."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished plans; it acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def quoted(name: str) -> str:
+    """A column's name for col() and expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """For small frames: Spark's reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -24,10 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.common import trim
 from terrace.llm.words import cut_array, raw, slices
 
-#: Fragments kept by a worker; the table is emptied when it is full.
-KEPT = 700_000
+#: Bytes of fragments and ids that a worker's table holds; it is emptied when it is full, and at a task's end.
+KEPT_BYTES = 24 << 20
+#: What an entry takes besides these bytes.
+ENTRY_BYTES = 250
+SLICE_BYTES = 4 << 20
 #: Contractions of the pre-tokenizer's pattern; a cut inside one would change its match.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -64,7 +68,11 @@ class ForcedBPE:
             self._mark(inside, text.encode())
         self.never = ~inside
         self.length_of = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.held = 0
 
     @staticmethod
     def _mark(inside: np.ndarray, data: bytes) -> None:
@@ -101,20 +109,22 @@ class ForcedBPE:
 
     def _keep(self, fragment: bytes, ids: list[int]) -> None:
         back = b"".join([self.bytes_of[i] for i in ids])
-        self.known[fragment] = (",".join(map(str, ids)).encode(), fragment if back == fragment else back, len(ids))
+        shown = ",".join(map(str, ids)).encode()
+        self.known[fragment] = (shown, fragment if back == fragment else back, len(ids))
+        self.held += len(fragment) + len(shown) + ENTRY_BYTES
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, decimal ids joined by commas, the bytes they decode to) of each text."""
-        for _, some in slices(texts):
+        for _, some in slices(texts, SLICE_BYTES):
             body, offsets = raw(some)
             at = np.unique(np.concatenate([self.cuts(body), offsets]))
             pieces = pc.dictionary_encode(cut_array(body, at, pa.large_binary()))
             fragments = pieces.dictionary.to_pylist()
-            if len(self.known) > KEPT:
-                self.known.clear()
+            if self.held > KEPT_BYTES:
+                self.forget()
             if new := [x for x in fragments if x not in self.known]:
                 self._learn(new)
             got = [self.known[x] for x in fragments]
@@ -145,10 +155,14 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = forced_bpe(tokenizer_file)
         for batch in batches:
-            for lo, texts in slices(batch["text"]):
+            for lo, texts in slices(batch["text"], SLICE_BYTES):
                 rows = list(coder.encode(texts))
                 decoded = [x[2].decode("utf-8", "replace") for x in rows]
                 yield pa.RecordBatch.from_arrays([batch[key].slice(lo, len(texts)), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1].decode() for x in rows], pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids", "decoded"])
+                del rows, decoded
+            trim()
+        coder.forget()
+        trim()
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"{key} long, n_tokens long, ids string, decoded string")

@@ -1,11 +1,11 @@
 """Language ID by interpolated Kneser-Ney character models.
 
-A bounded sample of labelled documents is counted on the executors: first letters, of which the most
-frequent make the alphabet, then four-grams of a language. From these the models of all orders follow
-on the driver: the highest order discounts counts, lower orders discount the numbers of distinct
-characters before an n-gram, the lowest mixes with a uniform share. Each order is a sorted array of
-hashed n-grams with its weights. A text goes to the language of the lowest cross-entropy a character;
-it is rejected when that exceeds what held-back training documents of the language reach.
+A bounded sample of labelled documents is counted on the executors as four-grams of code points of a
+language. From these the models of all orders follow on the driver: the highest order discounts counts,
+lower orders discount the numbers of distinct characters before an n-gram, the lowest mixes with a
+uniform share. Each order is a sorted array of hashed n-grams with its weights; whole code points go into
+the hash, so no script is cut down to an alphabet. A text goes to the language of the lowest cross-entropy
+a character; it is rejected when that exceeds what held-back training documents of the language reach.
 
 Defined results: null text and text without letters is `und`, with score 0; ties go to the lesser
 name; a null doc_id counts as empty text in the split; without any labelled row all is `und`; repeated
@@ -20,14 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from terrace.llm.common import quoted, trim
 from terrace.llm.ngram_join import mix
 from terrace.llm.words import slices
 
 ORDER = 4
-ALPHABET = 64  # 0: no letter, 1: a rare letter
 DISCOUNT = 0.75
 #: About so many documents of a language are learned from; one in five of them sets the threshold instead.
 SAMPLE_DOCUMENTS = 1200
@@ -36,12 +38,15 @@ HOLD_BACK = 5
 QUANTILE, SLACK, SHORT = 0.999, 0.75, 6.0
 #: Characters that count for the score at most.
 SCORED = 50
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
+POINTS = 0x110000
+
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
 def letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    return np.array([chr(i).isalpha() for i in range(POINTS)])
 
 
 def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,69 +56,83 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum([len(t) for t in lowered])])
     points = np.where(letters()[points], points, 0)
     keep = (points != 0) | np.concatenate([[True], points[:-1] != 0])[: len(points)]
-    return points[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+    return points[keep].astype(np.uint32), np.concatenate([[0], np.cumsum(keep)])[at]
+
+
+def windows(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(characters, ORDER): each character and those before it, the nearest first; 0 stands before a text's first."""
+    place = np.arange(len(points)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = np.zeros((len(points), ORDER), np.uint32)
+    for k in range(ORDER):
+        out[k:, k] = points[: len(points) - k]
+        out[place < k, k] = 0
+    return out
 
 
-def codes_of(points: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The four-gram that ends at each character; nothing stands before a text's first."""
-    c = ids[points].astype(np.int64)
-    place = np.arange(len(c)) - np.repeat(bounds[:-1], np.diff(bounds))
-    code = c.copy()
-    for k in range(1, ORDER):
-        before = np.concatenate([np.zeros(k, np.int64), c[:-k]])[: len(c)]
-        code += np.where(place >= k, before, 0) * ALPHABET**k
-    return code
+def hashed(grams: np.ndarray, order: int, context: bool = False) -> np.ndarray:
+    """Of the last `order` characters of each row of grams, or of these without the last one."""
+    h = np.full(len(grams), 2 * order + context, np.uint64)
+    for k in range(order - 1, int(context) - 1, -1):
+        h = mix(h * _K + grams[:, k] + np.uint64(1))
+    return h
 
 
-def hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    return mix(codes.astype(np.uint64) * np.uint64(8) + np.uint64(order))
+def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct gram, the number of each row's gram)."""
+    coded = pc.dictionary_encode(pa.array(hashed(grams, ORDER)))
+    number = coded.indices.to_numpy()
+    first = np.zeros(len(coded.dictionary), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return grams[first], number
 
 
 class HashArray:
     """Numbers by hashed n-gram in ascending order of the hash; absent: 0."""
 
-    def __init__(self, codes: np.ndarray, order: int, *values: np.ndarray):
-        keys = hashed(codes, order)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         at = np.argsort(keys)
-        self.keys, self.values = keys[at], [v[at] for v in values]
+        self.keys, self.values = keys[at], values[at]
 
-    def get(self, codes: np.ndarray, order: int) -> list[np.ndarray]:
-        keys = hashed(codes, order)
+    def get(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return [np.zeros(len(keys)) for _ in self.values]
+            return np.zeros(len(keys))
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return [np.where(hit, v[at], 0.0) for v in self.values]
+        return np.where(self.keys[at] == keys, self.values[at], 0.0)
 
 
 class KneserNey:
-    """Interpolated, of one language; codes and counts of its four-grams."""
+    """Interpolated, of one language; its distinct four-grams, their counts, and the number of characters known in all."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.grams, self.contexts = {}, {}
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, characters: int):
+        self.grams, self.contexts, self.uniform = {}, {}, 1.0 / characters
         for n in range(ORDER, 0, -1):
-            size = ALPHABET**n
             if n < ORDER:  # distinct characters before each n-gram
-                codes, counts = np.unique(wider % size, return_counts=True)
-            wider = codes
-            of, total = np.unique(codes // ALPHABET, return_inverse=True)
+                keys, first, counts = np.unique(hashed(grams, n), return_index=True, return_counts=True)
+                grams = grams[first]
+            else:
+                keys = hashed(grams, n)
+            of, total = np.unique(hashed(grams, n, True), return_inverse=True)
             sums, kinds = np.bincount(total, counts), np.bincount(total)
-            self.grams[n] = HashArray(codes, n, np.maximum(counts - DISCOUNT, 0) / sums[total])
-            self.contexts[n] = HashArray(of, n, DISCOUNT * kinds / sums)
+            self.grams[n] = HashArray(keys, np.maximum(counts - DISCOUNT, 0) / sums[total])
+            self.contexts[n] = HashArray(of, DISCOUNT * kinds / sums)
 
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 1.0 / ALPHABET)
+    def log_probabilities(self, keys: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """keys: for each order the hashes of grams and of their contexts."""
+        p = self.uniform
         for n in range(1, ORDER + 1):
-            own = codes % ALPHABET**n
-            share, back = self.grams[n].get(own, n)[0], self.contexts[n].get(own // ALPHABET, n)[0]
-            p = share + np.where(back > 0, back, 1.0) * p  # an unseen context has no share: all falls back
+            own, context = keys[n]
+            back = self.contexts[n].get(context)
+            p = self.grams[n].get(own) + np.where(back > 0, back, 1.0) * p  # an unseen context has no share: all falls back
         return np.log(p)
 
 
+def keys_of(grams: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {n: (hashed(grams, n), hashed(grams, n, True)) for n in range(1, ORDER + 1)}
+
+
 @dataclass
 class Identifier:
     names: list[str]
-    ids: np.ndarray
     models: list[KneserNey]
     limits: np.ndarray
 
@@ -126,16 +145,10 @@ class Identifier:
         out = np.full((len(n), len(self.names)), np.inf)
         if not len(points):
             return out, np.zeros(len(n), np.int64)
-        codes = codes_of(points, bounds, self.ids)
-        used = np.zeros(ALPHABET**ORDER, bool)
-        used[codes] = True
-        distinct = np.flatnonzero(used)
-        number = np.zeros(ALPHABET**ORDER, np.int32)
-        number[distinct] = np.arange(len(distinct), dtype=np.int32)
-        at = number[codes]
-        full = n > 0
+        grams, at = distinct(windows(points, bounds))
+        keys, full = keys_of(grams), n > 0
         for k, model in enumerate(self.models):
-            sums = np.add.reduceat(model.log_probabilities(distinct)[at], bounds[:-1][full])
+            sums = np.add.reduceat(model.log_probabilities(keys)[at], bounds[:-1][full])
             out[full, k] = -sums / n[full]
         return out, np.where(has > 0, n, 0)
 
@@ -162,44 +175,33 @@ def train(docs: DataFrame) -> Identifier:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     names, whole = sorted(counts), 1 << 30
     if not names:
-        return Identifier([], np.zeros(1), [], np.zeros(0))
+        return Identifier([], [], np.zeros(0))
     share = F.create_map(*(x for k in names for x in (F.lit(k), F.lit(min(whole, int(SAMPLE_DOCUMENTS / counts[k] * whole))))))
     draw = F.xxhash64("doc_id")
     sample = rows.where(F.pmod(draw, F.lit(whole)) < share[F.col("lang")]).withColumn("back", F.pmod(F.shiftright(draw, 40), F.lit(HOLD_BACK)) == 0)
 
-    def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for _, texts in slices(batch["text"], SLICE_BYTES):
-                points, _ = characters(texts.to_pylist())
-                total += np.bincount(points, minlength=0x110000)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["point", "n"])
-
-    frequent = sample.select("text").mapInArrow(count_letters, "point long, n long").where("point > 0").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(ALPHABET - 2)
-    ids = letters().astype(np.uint8)
-    for i, r in enumerate(frequent.collect()):
-        ids[r["point"]] = 2 + i
-
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in slices(batch["text"], SLICE_BYTES):
                 points, bounds = characters(texts.to_pylist())
-                codes = codes_of(points, bounds, ids)
                 of_text = np.array([names.index(x) for x in batch["lang"].slice(lo, len(texts)).to_pylist()])
-                codes, n = np.unique(np.repeat(of_text, np.diff(bounds)) * ALPHABET**ORDER + codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["gram", "n"])
+                every, of_gram = windows(points, bounds), np.repeat(of_text, np.diff(bounds))
+                for k in np.unique(of_gram):
+                    grams, number = distinct(every[of_gram == k])
+                    older, newer = (grams[:, b].astype(np.int64) << 21 | grams[:, a] for a, b in ((2, 3), (0, 1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k)), pa.array(older), pa.array(newer), pa.array(np.bincount(number))], ["lang", "older", "newer", "n"])
+            trim()
 
     # Distinct four-grams of the sample, which SAMPLE_DOCUMENTS bounds.
-    table = sample.where(~F.col("back")).select("lang", "text").mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(gram)
-    gram, n = gram[order], n[order]
-    models = []
-    for k in range(len(names)):
-        own = gram // ALPHABET**ORDER == k
-        models.append(KneserNey(gram[own] % ALPHABET**ORDER, n[own]) if own.any() else KneserNey(np.zeros(1, np.int64), np.ones(1, np.int64)))
-    found = Identifier(names, ids, models, np.full(len(names), np.inf))
+    counted = sample.where(~F.col("back")).select("lang", "text").mapInArrow(count_grams, "lang long, older long, newer long, n long")
+    table = counted.groupBy("lang", "older", "newer").agg(F.sum("n").alias("n")).orderBy("lang", "older", "newer").toArrow()
+    lang, older, newer, n = (table[c].to_numpy() for c in ("lang", "older", "newer", "n"))
+    low = (1 << 21) - 1
+    grams = np.stack([newer & low, newer >> 21, older & low, older >> 21], axis=1).astype(np.uint32)
+    size = len(np.unique(grams[:, 0])) + 1
+    nothing = np.zeros((1, ORDER), np.uint32), np.ones(1, np.int64)
+    models = [KneserNey(*((grams[lang == k], n[lang == k]) if (lang == k).any() else nothing), size) for k in range(len(names))]
+    found = Identifier(names, models, np.full(len(names), np.inf))
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +211,7 @@ def train(docs: DataFrame) -> Identifier:
                 own = e[np.arange(len(of)), of] - SHORT / np.sqrt(np.maximum(n, 1))
                 keep = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(of[keep]), pa.array(own[keep])], ["lang", "e"])
+            trim()
 
     reached = sample.where("back").select("lang", "text").mapInArrow(entropies, "lang long, e double").toArrow()
     of, e = reached["lang"].to_numpy(), reached["e"].to_numpy()
@@ -218,13 +221,12 @@ def train(docs: DataFrame) -> Identifier:
     return found
 
 
-RESULTS = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "rejected": ("boolean", pa.bool_()), "entropy": ("double", pa.float64())}
+RESULTS = {"lang_pred": (T.StringType(), pa.string()), "score": (T.DoubleType(), pa.float64()), "rejected": (T.BooleanType(), pa.bool_()), "entropy": (T.DoubleType(), pa.float64())}
 
 
 def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     """docs with lang_pred, score, rejected and entropy; the other columns stay."""
     kept = [c for c in docs.columns if c not in RESULTS]
-    types = dict(docs.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +235,9 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
                 got = list(zip(*sent.value.predict(texts.to_pylist()), strict=True))
                 new = [pa.array(x, t) for x, (_, t) in zip(got, RESULTS.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, len(texts)) for c in kept), *new], [*kept, *RESULTS])
+            trim()
 
-    return docs.select(*kept).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"{c} {t}" for c, (t, _) in RESULTS.items())]))
+    return docs.select(*map(quoted, kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, t) for c, (t, _) in RESULTS.items())]))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terrace.llm.common import quoted
 
 # The plain patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -235,19 +238,18 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def scan(docs: DataFrame, model: Markov) -> DataFrame:
     """docs with a column spans; the other columns stay."""
     kept = [c for c in docs.columns if c != "spans"]
-    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[{"kind": k, "start": a, "end": b} for a, b, k in model.spans(t)] if t else [] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(found, _SPANS)], [*kept, "spans"])
 
-    return docs.select(*kept).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"spans {SPANS}"]))
+    return docs.select(*map(quoted, kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL(f"spans {SPANS}")]))
 
 
 def redacted(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text, overlapping ones together, replaced by mark; rows and columns stay."""
-    kept, types = docs.columns, dict(docs.dtypes)
+    kept = docs.columns
 
     def clean(text: str | None) -> str | None:
         spans = model.spans(text) if text else []
@@ -263,7 +265,7 @@ def redacted(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFram
             texts = pa.array([clean(t) for t in batch["text"].to_pylist()], batch["text"].type)
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch[c] for c in kept], kept)
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in kept))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

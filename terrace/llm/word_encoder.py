@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from terrace.llm.words import LOWER_LINES, ragged, slices, word_codes
 
 #: Entries of each of a worker's tables; one is emptied when it is full.
-KEPT = 700_000
+KEPT = 150_000
 #: The pattern of the file's pre-tokenizer, and the same over lower-case ASCII.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0da-z0-9]+")

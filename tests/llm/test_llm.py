@@ -187,10 +187,20 @@ def test_language_id(spark, docs, empty):
 
 
 def test_kneser_ney_sums_to_one():
-    codes, counts = np.unique(np.random.default_rng(0).integers(0, 64**4, 500), return_counts=True)
-    model = langid.KneserNey(codes, counts)
-    context = codes[0] // 64
-    assert np.exp(model.log_probabilities(context * 64 + np.arange(64))).sum() == pytest.approx(1)
+    grams, counts = np.unique(np.random.default_rng(0).integers(0x4E00, 0x4E40, (500, 4)).astype(np.uint32), axis=0, return_counts=True)
+    model = langid.KneserNey(grams, counts, 64)
+    after = np.tile(grams[0], (64, 1))
+    after[:, 0] = np.arange(0x4E00, 0x4E40)
+    assert np.exp(model.log_probabilities(langid.keys_of(after))).sum() == pytest.approx(1)
+
+
+def test_language_id_keeps_scripts_apart(spark):
+    kinds = {"zh": range(0x4E00, 0x4E60), "ja": range(0x3042, 0x3090), "ru": range(0x430, 0x450), "en": range(0x61, 0x7B)}
+    rng = np.random.default_rng(5)
+    text = lambda k: "".join(chr(x) for x in rng.choice(list(kinds[k]), 60))
+    rows = [(i, text(k), k) for i in range(400) for k in [sorted(kinds)[i % 4]]] + [(1000, "".join(chr(0x10D0 + x % 33) for x in range(60)), None)]
+    got = {r.doc_id: r for r in langid.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].lang_pred == k and not got[i].rejected for i, _, k in rows[:400]) and got[1000].rejected
 
 
 def test_fingerprints(docs, empty):
