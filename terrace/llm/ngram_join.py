@@ -9,9 +9,10 @@ subclass resist c - k + 1 misses, and the prefix is extended until t + 1 are res
 other class has stand first and need no index, so most documents are done there: one with more than t
 of them has no partner.
 
-Candidates of one signature are not paired with each other: each meets the signature's pivot, verified
-links are merged into components, then another pivot is taken, and last all that still differ in
-component are paired. Every pair of the same signature is thus verified or already connected.
+Candidates of one signature are not paired with each other: each meets the signature's least and its
+greatest member, verified links are merged into components, and only signatures whose members still
+differ in component go on, to further pivots while these link anything, and last to all their pairs.
+Every pair of the same signature is thus verified or already connected.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; fewer than five
 words are one shingle; repeated rows are one class; null doc_ids never name a component; an empty
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpointed, input_bytes, trim, written
+from terrace.llm.common import input_bytes, quoted, settle, trim, written
 from terrace.llm.components import components
 from terrace.llm.key_counts import common_keys
 from terrace.llm.words import LOWER, slices, word_codes
@@ -37,9 +38,14 @@ from terrace.llm.words import LOWER, slices, word_codes
 WORDS_A_SHINGLE = 5
 LIKE = 75
 #: Shingles in up to so many classes are rare and indexed alone; up to the next bound in pairs; others in threes.
-RARE, FREQUENT = 16, 256
+RARE, FREQUENT = 32, 1024
 #: Under this band (sets of less than 2**BAND shingles) all are indexed alone.
 BAND = 4
+#: A set of a band has one subclass for so many shingles of the band's least size. From 2**BAND shingles on,
+#: even if all are frequent, n - n / 4 - 2 * n / 6 resisted misses exceed the n / 4 + 1 that are needed.
+SHARE = {2: 4, 3: 6}
+#: Pivot rounds go on while they link at least so many classes, or one in so many that are still in question.
+LEAST_LINKED = 100
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 4 << 20
 
@@ -109,23 +115,24 @@ def most_missed(n: int, like: int = LIKE) -> int:
     return n - -(-n * like // 100)
 
 
-def signatures(n: int, keys: np.ndarray, counts: np.ndarray, like: int = LIKE) -> set[int]:
-    """Signatures of a set of n shingles; keys: those that other classes have too, with the numbers of classes."""
+def signatures(n: int, keys: np.ndarray, counts: np.ndarray, like: int = LIKE) -> tuple[set[int], set[int]]:
+    """Signatures of a set of n shingles, of one and of several; keys: those that other classes have too, with the numbers of classes."""
     need = most_missed(n, like) + 1 - (n - len(keys))
     if need <= 0:
-        return set()
+        return set(), set()
     order = np.lexsort((keys, counts))
     ordered, times = keys[order].tolist(), counts[order].tolist()
-    out: set[int] = set()
+    alone: set[int] = set()
+    several: set[int] = set()
     for band in {n.bit_length() - 1, (-(-n * like // 100)).bit_length() - 1}:
         width, groups, units = 1 << band, {}, 0
         for key, c in zip(ordered, times, strict=True):
             k = 1 if c <= RARE or band < BAND else 2 if c <= FREQUENT else 3
             if k == 1:
-                out.add(key)
+                alone.add(key)
                 units += 1
             else:
-                group = groups.setdefault((k, key % max(1, width // (8 * k))), [])
+                group = groups.setdefault((k, key % (width // SHARE[k])), [])
                 group.append(key)
                 units += len(group) >= k
             if units >= need:
@@ -136,23 +143,30 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, like: int = LIKE) -
                 h = np.full(len(picked), (band << 8) + k, np.uint64)
                 for column in picked.T:
                     h = h * _K + column
-                out.update(mix(h).tolist())
-    return out
+                several.update(mix(h).tolist())
+    return alone, several
 
 
 def _index(held: DataFrame, like: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, n, keys, counts in zip(*(batch[c].to_pylist() for c in ("name", "n", "found", "counts")), strict=True):
-                own = np.fromiter(signatures(n, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32), like), np.uint64).view(np.int64)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([name] * len(own), pa.binary()), pa.array(np.full(len(own), n, np.int64))], ["sig", "name", "n"])
+            sigs, ids, sizes, shared = [], [], [], []
+            for id_, n, keys, counts in zip(*(batch[c].to_pylist() for c in ("id", "n", "found", "counts")), strict=True):
+                times = np.frombuffer(counts, np.uint32)
+                # Who shares a rare shingle with a class has that signature too, so a combination's members need only be held against frequent ones.
+                for own, c in zip(signatures(n, np.frombuffer(keys, np.uint64), times, like), (len(times), int((times > RARE).sum())), strict=True):
+                    sigs.append(np.fromiter(own, np.uint64).view(np.int64))
+                    ids.append(np.full(len(own), id_, np.int64))
+                    sizes.append(np.full(len(own), n, np.int64))
+                    shared.append(np.full(len(own), c, np.int64))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes, shared)], ["sig", "id", "n", "c"])
 
-    return held.select("name", "n", "found", "counts").mapInArrow(run, "sig long, name binary, n long")
+    return held.select("id", "n", "found", "counts").mapInArrow(run, "sig long, id long, n long, c long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
-    """The pairs a, b whose sets are alike enough."""
+    """The pairs a, b of class ids whose sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,34 +176,39 @@ def verified(pairs: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
                 keep.append(100 * both >= like * (m + n - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = held.select(F.col("name").alias("a"), F.col("n").alias("m"), F.col("found").alias("x"))
-    right = held.select(F.col("name").alias("b"), "n", F.col("found").alias("y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a binary, b binary")
+    left = held.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("found").alias("x"))
+    right = held.select(F.col("id").alias("b"), "n", F.col("found").alias("y"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
     """Verified pairs that connect all classes which a chain of links connects."""
-    alike = F.least("m", "n") * 100 >= F.greatest("m", "n") * like
-    found, roots = None, None
-    for step in ("min", "max", "rest"):
-        rows = index
-        if roots is None:
-            rows = rows.withColumn("root", F.col("name"))
-        else:
-            rows = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        mixed = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("name", "n", "root")).alias("min"), F.max(F.struct("name", "n", "root")).alias("max")).where("lo < hi")
-        if step == "rest":
-            mine = checkpointed(rows.join(mixed.select("sig"), "sig"))
-            other = mine.select("sig", F.col("name").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
-            pairs = mine.join(other, "sig").where((F.col("root") != F.col("root2")) & (F.col("name") < F.col("b"))).where(alike).select(F.col("name").alias("a"), "b")
-        else:
-            pairs = rows.join(mixed.select("sig", F.col(f"{step}.name").alias("a"), F.col(f"{step}.n").alias("m"), F.col(f"{step}.root").alias("root2")), "sig")
-            pairs = pairs.where((F.col("root") != F.col("root2"))).where(alike).select("a", F.col("name").alias("b"))
-        new = verified(pairs.distinct(), held, like)
-        found = checkpointed(new if found is None else found.union(new))
-        if step != "rest":
-            roots = checkpointed(components(found))
-    return found
+    spark = index.sparkSession
+    # Sizes n and m may be alike enough, and so may what either can have in common with a member of this signature.
+    alike = (F.least("m", "n") * 100 >= F.greatest("m", "n") * like) & (F.least("c", "d") * (100 + like) >= (F.col("m") + F.col("n")) * like)
+    rows, found, before = index.withColumn("root", F.col("id")), None, 0
+    while True:
+        member = F.struct("root", "id", "n", "c")
+        mixed = rows.groupBy("sig").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.root < hi.root")
+        # The signatures in question, with their pivots; a later round reads these rows alone.
+        rows = written(rows.join(mixed, "sig"), "mixed")
+        pivots = F.explode(F.array("lo", "hi")).alias("pivot")
+        pairs = rows.select("id", "n", "c", "root", pivots).where("root <> pivot.root").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), "n", "c", F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d")).where(alike)
+        new = written(verified(pairs.select("a", "b").distinct(), held, like), "links")
+        found = new if found is None else found.union(new)
+        roots = components(found)
+        linked, open_ = roots.count(), rows.select("id").distinct().count()
+        moved = rows.select("sig", "id", "n", "c", "root").join(roots.select(F.col("node").alias("id"), F.col("root").alias("now")), "id", "left")
+        rows = moved.select("sig", "id", "n", "c", F.coalesce("now", "root").alias("root"))
+        settle(spark)
+        if linked - before < max(LEAST_LINKED, open_ // LEAST_LINKED):
+            break
+        before = linked
+    still = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    mine = written(rows.join(still, "sig"), "rest")
+    other = mine.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("root").alias("root2"))
+    pairs = mine.join(other, "sig").where((F.col("root") != F.col("root2")) & (F.col("id") < F.col("b"))).where(alike).select(F.col("id").alias("a"), "b")
+    return found.union(written(verified(pairs.distinct(), held, like), "links"))
 
 
 def clusters(docs: DataFrame, like: int = LIKE) -> DataFrame:
@@ -200,12 +219,16 @@ def clusters(docs: DataFrame, like: int = LIKE) -> DataFrame:
     common = common_keys(_sets(docs, True), buckets)
     # A partner has at least this many of a set's shingles.
     enough = F.octet_length("found") / 8 >= F.ceil(F.col("n") * like / 100)
-    held = written(common.join(classes.select("name", "n"), "name").where("n > 2").where(enough), "held")
+    # From here on a class that may have partners is a number, fixed by writing it.
+    held = written(common.join(classes.select("name", "n"), "name").where("n > 2").where(enough).withColumn("id", F.monotonically_increasing_id()), "held")
+    settle(docs.sparkSession)
     index = written(_index(held, like), "index")
     roots = components(links(index, held, like))
-    rooted = classes.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = rooted.join(least, "root").select("name", "class_id", "component_id")
+    named = held.select("id", "name").join(roots.withColumnRenamed("node", "id"), "id").select("name", "root")
+    rooted = classes.join(named, "name", "left")
+    # A class without links is a component of its own.
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("class_id").alias("least"))
+    named = rooted.join(least, "root", "left").select("name", "class_id", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("least")).alias("component_id"))
     out = members.join(named, "name", "left")
     own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), "text_hash")
@@ -213,7 +236,9 @@ def clusters(docs: DataFrame, like: int = LIKE) -> DataFrame:
 
 def one_of_each(docs: DataFrame, like: int = LIKE) -> DataFrame:
     """The row of docs that names its component, once; all columns stay. Groups without any doc_id stay whole."""
-    kept = clusters(docs, like).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    rows = docs.withColumn("_h2", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_h2").orderBy(F.lit(0)))).where("_place = 1")
-    return rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")), "left_semi").select(*docs.columns)
+    found = clusters(docs, like).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias("key")).distinct()
+    # The row as a struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h")).alias("key"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    once = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).where("place = 1")
+    return once.join(kept, "key", "left_semi").select("row.*")

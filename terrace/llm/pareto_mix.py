@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD, checkpointed
+from terrace.llm.common import WORD, checkpointed, quoted
 
 CAP = 3
-BINS = 4096
+#: Bins of the rank variable: at least so many, and one for about so many rows.
+BINS, BIN_ROWS = 4096, 1000
 PASSES = 3
 SEED = 20240607
 
@@ -73,23 +74,25 @@ def copies(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("whole", whole).withColumn("part", F.when(part > 1e-9, part).otherwise(0.0))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     rows = checkpointed(rows.withColumn("z", F.when(F.col("part") > 0, odds / (1 + odds))).withColumn("more", F.lit(0)))
+    bins = max(BINS, rows.count() // BIN_ROWS)
     for n in range(PASSES):
-        rows = _fill(rows, last=n == PASSES - 1)
+        rows = _fill(rows, bins, last=n == PASSES - 1)
     return rows.select("doc_id", "source", "size", "h", "source_size", "target", (F.col("whole") + F.col("more")).cast("int").alias("copies"))
 
 
-def _fill(rows: DataFrame, last: bool) -> DataFrame:
+def _fill(rows: DataFrame, cells: int, last: bool) -> DataFrame:
     """Take documents in the order of z while they fit what their source lacks; in the last pass also one that comes nearer."""
     used = rows.groupBy("skey").agg((F.first("target") - F.sum((F.col("whole") + F.col("more")) * F.col("size"))).alias("gap"))
     rows = rows.join(used, "skey")
     free = F.col("z").isNotNull() & (F.col("more") == 0) & (F.col("size") > 0)
     room = F.col("size") <= F.col("gap") if not last else F.col("size") / 2 <= F.col("gap")
-    rows = rows.withColumn("bin", F.when(free & room, F.floor(F.col("z") * BINS)))
-    bins = rows.where(F.col("bin").isNotNull()).groupBy("skey", "bin").agg(F.sum("size").alias("words"))
+    rows = rows.withColumn("bin", F.when(free & room, F.floor(F.col("z") * cells)))
+    # Summed and written first, so that a source's rows never meet: its window goes over bins alone.
+    bins = checkpointed(rows.where(F.col("bin").isNotNull()).groupBy("skey", "bin").agg(F.sum("size").alias("words")))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(bins.select("skey", "bin", before.alias("before")), ["skey", "bin"], "left")
     # Rows out of the running are dealt by their hash, so that they don't meet in one task.
-    spread = F.coalesce(F.col("bin"), -1 - F.pmod(F.col("h"), F.lit(BINS)))
+    spread = F.coalesce(F.col("bin"), -1 - F.pmod(F.col("h"), F.lit(cells)))
     inside = F.sum("size").over(Window.partitionBy("skey", "spread").orderBy("z", "doc_id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("spread", spread).withColumn("sum", F.col("before") + inside)
     fits = (F.col("sum") - F.col("size") / 2 if last else F.col("sum")) <= F.col("gap")
@@ -104,11 +107,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay."""
-    counted = copies(docs).groupBy("doc_id", "h").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(counted.withColumnsRenamed({"doc_id": "_id2", "h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")))
+    key = lambda id_, h: F.struct(id_.alias("id"), h.alias("h")).alias("key")
+    counted = copies(docs).groupBy(key(F.col("doc_id"), F.col("h"))).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same"))
+    # The row as a struct, so that no name of its columns can clash.
+    rows = docs.select(key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))), F.struct(*map(quoted, docs.columns)).alias("row"))
+    rows = rows.join(counted.where("copies > 0"), "key")
     # Rows that are equal in id and text share their copies.
-    place = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
-    own = F.floor(F.col("_copies") / F.col("_same")) + (F.col("_place") <= F.col("_copies") % F.col("_same")).cast("int")
-    rows = rows.withColumn("_place", F.when(F.col("_same") > 1, place).otherwise(1)).withColumn("_n", own.cast("int"))
-    return rows.where(F.col("_n") > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    place = F.when(F.col("same") > 1, F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).otherwise(1)
+    own = F.floor(F.col("copies") / F.col("same")) + (place <= F.col("copies") % F.col("same")).cast("int")
+    return rows.withColumn("n", own.cast("int")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
