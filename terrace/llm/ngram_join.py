@@ -9,10 +9,11 @@ subclass resist c - k + 1 misses, and the prefix is extended until t + 1 are res
 other class has stand first and need no index, so most documents are done there: one with more than t
 of them has no partner.
 
-Candidates of one signature are not paired with each other: each meets the signature's least and its
-greatest member, verified links are merged into components, and only signatures whose members still
-differ in component go on, to further pivots while these link anything, and last to all their pairs.
-Every pair of the same signature is thus verified or already connected.
+Candidates of one signature are not paired with each other: each meets two pivots, first the member that
+shares the most with others, verified links are merged into components, and only signatures whose members
+still differ in component go on, to further pivots while these help, and last in pairs. What a member has
+in common with the first pivot bounds what two of them can have in common, so few pairs are left. Every
+pair of the same signature is thus verified, already connected, or can't be alike enough.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; fewer than five
 words are one shingle; repeated rows are one class; null doc_ids never name a component; an empty
@@ -27,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import input_bytes, quoted, settle, trim, written
@@ -44,8 +45,10 @@ BAND = 4
 #: A set of a band has one subclass for so many shingles of the band's least size. From 2**BAND shingles on,
 #: even if all are frequent, n - n / 4 - 2 * n / 6 resisted misses exceed the n / 4 + 1 that are needed.
 SHARE = {2: 4, 3: 6}
-#: Pivot rounds go on while they link at least so many classes, or one in so many that are still in question.
-LEAST_LINKED = 100
+#: Rounds of pivots end when the pairs left are at most so many times the members left, when a round leaves more than so much of
+#: them, or after so many rounds.
+FEW_PAIRS, SLOW, MOST_ROUNDS = 2, 0.8, 8
+CELLS = 64
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 4 << 20
 
@@ -96,7 +99,7 @@ def _sets(docs: DataFrame, with_keys: bool) -> DataFrame:
                 if with_keys:
                     # A class that this task has sent is not sent again.
                     fresh = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     columns = [pa.array([names[i] for i in fresh], pa.binary()), pa.array([sets[i].tobytes() for i in fresh], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["name", "keys"])
@@ -150,65 +153,106 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, like: int = LIKE) -
 def _index(held: DataFrame, like: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, ids, sizes, shared = [], [], [], []
+            sigs, ids, sizes, shared, alone = [], [], [], [], []
             for id_, n, keys, counts in zip(*(batch[c].to_pylist() for c in ("id", "n", "found", "counts")), strict=True):
                 times = np.frombuffer(counts, np.uint32)
                 # Who shares a rare shingle with a class has that signature too, so a combination's members need only be held against frequent ones.
-                for own, c in zip(signatures(n, np.frombuffer(keys, np.uint64), times, like), (len(times), int((times > RARE).sum())), strict=True):
+                for one, own, c in zip((True, False), signatures(n, np.frombuffer(keys, np.uint64), times, like), (len(times), int((times > RARE).sum())), strict=True):
                     sigs.append(np.fromiter(own, np.uint64).view(np.int64))
                     ids.append(np.full(len(own), id_, np.int64))
                     sizes.append(np.full(len(own), n, np.int64))
                     shared.append(np.full(len(own), c, np.int64))
+                    alone.append(np.full(len(own), one))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes, shared)], ["sig", "id", "n", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes, shared, alone)], ["sig", "id", "n", "c", "alone"])
 
-    return held.select("id", "n", "found", "counts").mapInArrow(run, "sig long, id long, n long, c long")
+    return held.select("id", "n", "found", "counts").mapInArrow(run, "sig long, id long, n long, c long, alone boolean")
 
 
 def verified(pairs: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
-    """The pairs a, b of class ids whose sets are alike enough."""
+    """Of pairs a, b of class ids: common (shingles in both), frequent (those of them that aren't rare), linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y, m, n in zip(batch["x"], batch["y"], batch["m"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
-                keep.append(100 * both >= like * (m + n - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = held.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("found").alias("x"))
+            common, frequent, linked = [], [], []
+            for x, counts, y, m, n in zip(batch["x"], batch["counts"], batch["y"], batch["m"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                _, at, _ = np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True, return_indices=True)
+                common.append(len(at))
+                frequent.append(int((np.frombuffer(counts.as_buffer(), np.uint32)[at] > RARE).sum()))
+                linked.append(100 * len(at) >= like * (m + n - len(at)))
+            columns = [batch["a"], batch["b"], pa.array(common, pa.int64()), pa.array(frequent, pa.int64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "frequent", "linked"])
+
+    left = held.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("found").alias("x"), "counts")
     right = held.select(F.col("id").alias("b"), "n", F.col("found").alias("y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "counts", "y")
+    return both.mapInArrow(run, "a long, b long, common long, frequent long, linked boolean")
+
+
+def _cells(held: DataFrame) -> DataFrame:
+    """id, cells: how many of a class's frequent shingles fall into each of CELLS cells of the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for keys, times in zip(batch["found"], batch["counts"], strict=True):
+                frequent = np.frombuffer(keys.as_buffer(), np.uint64)[np.frombuffer(times.as_buffer(), np.uint32) > RARE]
+                counts.append(np.bincount((frequent % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(counts, pa.list_(pa.int32()))], ["id", "cells"])
+
+    return held.select("id", "found", "counts").mapInArrow(run, "id long, cells array<int>")
+
+
+def _may_link(like: int) -> Column:
+    """Whether members (n, c, x) and (m, d, y) of a signature can be alike enough. n: shingles; c: those that they can have in common
+    with members; x: those that they have in common with the signature's first pivot, so that others are at most c - x."""
+    most = F.least("c", "d")
+    through = F.least("x", "y") + F.least(F.col("c") - F.col("x"), F.col("d") - F.col("y"))
+    return (F.least("m", "n") * 100 >= F.greatest("m", "n") * like) & (F.least(most, F.coalesce(through, most)) * (100 + like) >= (F.col("m") + F.col("n")) * like)
 
 
 def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
-    """Verified pairs that connect all classes which a chain of links connects."""
-    spark = index.sparkSession
-    # Sizes n and m may be alike enough, and so may what either can have in common with a member of this signature.
-    alike = (F.least("m", "n") * 100 >= F.greatest("m", "n") * like) & (F.least("c", "d") * (100 + like) >= (F.col("m") + F.col("n")) * like)
-    rows, found, before = index.withColumn("root", F.col("id")), None, 0
-    while True:
-        member = F.struct("root", "id", "n", "c")
-        mixed = rows.groupBy("sig").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.root < hi.root")
-        # The signatures in question, with their pivots; a later round reads these rows alone.
-        rows = written(rows.join(mixed, "sig"), "mixed")
-        pivots = F.explode(F.array("lo", "hi")).alias("pivot")
-        pairs = rows.select("id", "n", "c", "root", pivots).where("root <> pivot.root").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), "n", "c", F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d")).where(alike)
-        new = written(verified(pairs.select("a", "b").distinct(), held, like), "links")
+    """Verified pairs a, b that connect all classes which a chain of links connects."""
+    rows = index.withColumn("root", F.col("id")).withColumn("x", F.lit(None).cast("long"))
+    found, before = None, None
+    for turn in range(MOST_ROUNDS):
+        member = F.struct("id", "n", "c", "x", "root")
+        # Who shares the most with others is compared with all first: near copies mostly link to it. So does the last root's
+        # member, which mostly stands outside of a large component.
+        chosen = F.array_distinct(F.array(F.max_by(member, F.struct(F.col("c") / F.col("n"), "id")), F.max_by(member, F.struct("root", "id"))))
+        groups = rows.groupBy("sig").agg(chosen.alias("pivots"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"))
+        # The signatures in question; a later round reads these rows alone.
+        held_rows = written(rows.join(groups.where("lo < hi").select("sig", "pivots", "least"), "sig"), "mixed")
+        pairs = held_rows.select("id", "n", "c", "x", "root", F.explode("pivots").alias("p")).where("root <> p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), "n", "c", "x", F.col("p.n").alias("m"), F.col("p.c").alias("d"), F.col("p.x").alias("y"))
+        told = written(verified(pairs.where(_may_link(like)).select("a", "b").distinct(), held, like), "told")
+        new = told.where("linked").select("a", "b")
         found = new if found is None else found.union(new)
-        roots = components(found)
-        linked, open_ = roots.count(), rows.select("id").distinct().count()
-        moved = rows.select("sig", "id", "n", "c", "root").join(roots.select(F.col("node").alias("id"), F.col("root").alias("now")), "id", "left")
-        rows = moved.select("sig", "id", "n", "c", F.coalesce("now", "root").alias("root"))
-        settle(spark)
-        if linked - before < max(LEAST_LINKED, open_ // LEAST_LINKED):
+        roots = components(found).select(F.col("node").alias("id"), F.col("root").alias("now"))
+        rows = held_rows.join(roots, "id", "left").withColumn("root", F.coalesce("now", "root"))
+        if turn == 0:
+            first = F.col("pivots")[0]["id"]
+            rows = rows.join(told.select(F.col("a").alias("p"), F.col("b").alias("id"), "common", "frequent").withColumn("pivot", F.struct("p", "id")).drop("p", "id"), F.struct(first.alias("p"), F.col("id")) == F.col("pivot"), "left")
+            rows = rows.withColumn("x", F.when(F.col("id") == first, F.col("c")).when(F.col("alone"), F.col("common")).otherwise(F.col("frequent")))
+        # Pivots are done, and so is who can't be alike enough to any member.
+        fine = ~F.exists("pivots", lambda p: p["id"] == F.col("id")) & (F.col("c") * (100 + like) >= (F.col("n") + F.col("least")) * like)
+        rows = written(rows.where(fine).select("sig", "id", "n", "c", "alone", "root", "x"), "rows")
+        settle(index.sparkSession)
+        per_root = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
+        open_ = per_root.groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).where("pairs > 0")
+        pairs_left, rows_left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        if pairs_left <= FEW_PAIRS * rows_left or before is not None and pairs_left > SLOW * before:
             break
-        before = linked
+        before = pairs_left
     still = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    mine = written(rows.join(still, "sig"), "rest")
-    other = mine.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("root").alias("root2"))
-    pairs = mine.join(other, "sig").where((F.col("root") != F.col("root2")) & (F.col("id") < F.col("b"))).where(alike).select(F.col("id").alias("a"), "b")
-    return found.union(written(verified(pairs.distinct(), held, like), "links"))
+    mine = rows.join(still, "sig")
+    mine = written(mine.join(_cells(held.join(mine.select("id").distinct(), "id", "left_semi")), "id"), "rest")
+    other = mine.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("cells").alias("cells2"))
+    # Of frequent shingles a pair can't have more in common than cell by cell.
+    in_cells = F.aggregate(F.zip_with("cells", "cells2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    may = _may_link(like) & (F.col("alone") | (in_cells * (100 + like) >= (F.col("m") + F.col("n")) * like))
+    pairs = mine.join(other, "sig").where((F.col("root") != F.col("root2")) & (F.col("id") < F.col("b"))).where(may).select(F.col("id").alias("a"), "b")
+    told = written(verified(pairs.distinct(), held, like), "told")
+    return found.union(told.where("linked").select("a", "b"))
 
 
 def clusters(docs: DataFrame, like: int = LIKE) -> DataFrame:

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.llm.common import quoted
+from terrace.llm.common import quoted, trim
+from terrace.llm.words import slices
 
 # The plain patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -39,6 +40,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "markov")
 
+SLICE_BYTES = 4 << 20
 #: Characters of the shortest run that is scored and of the shortest random string.
 LEAST_RUN = 16
 ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -192,8 +194,8 @@ def train(docs: DataFrame) -> Markov:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros((SIZE, SIZE), np.int64)
             for batch in batches:
-                for text in batch["text"].to_pylist():
-                    counts += pair_counts(runs_of(text or ""))
+                for text in batch["text"]:
+                    counts += pair_counts(runs_of(text.as_py() or ""))
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
 
@@ -215,8 +217,8 @@ def train(docs: DataFrame) -> Markov:
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = Markov(ratios, 0.0), np.zeros(len(RATIO_BINS) + 1, np.int64)
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                runs = [x for x in short_runs(text or "") if len(x) >= LEAST_RUN] + long_runs(text or "", first)
+            for text in (x.as_py() or "" for x in batch["text"]):
+                runs = [x for x in short_runs(text) if len(x) >= LEAST_RUN] + long_runs(text, first)
                 counts += np.bincount(np.digitize([best_mean(model.gains(x)) for x in runs], RATIO_BINS), minlength=len(counts)) if runs else 0
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
@@ -241,8 +243,10 @@ def scan(docs: DataFrame, model: Markov) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b} for a, b, k in model.spans(t)] if t else [] for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(found, _SPANS)], [*kept, "spans"])
+            for lo, texts in slices(batch["text"], SLICE_BYTES):
+                found = [[{"kind": k, "start": a, "end": b} for a, b, k in model.spans(t.as_py())] if t.is_valid else [] for t in texts]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, len(texts)) for c in kept), pa.array(found, _SPANS)], [*kept, "spans"])
+            trim()
 
     return docs.select(*map(quoted, kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL(f"spans {SPANS}")]))
 
@@ -262,8 +266,10 @@ def redacted(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([clean(t) for t in batch["text"].to_pylist()], batch["text"].type)
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch[c] for c in kept], kept)
+            for lo, texts in slices(batch["text"], SLICE_BYTES):
+                cleaned = pa.array([clean(t.as_py()) for t in texts], batch["text"].type)
+                yield pa.RecordBatch.from_arrays([cleaned if c == "text" else batch[c].slice(lo, len(texts)) for c in kept], kept)
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 
