@@ -231,7 +231,7 @@ def test_removed_repeats(docs, empty):
                     gone[k : k + length] = True
             runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
             expected.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-        assert sorted(map(tuple, pfp_dedup.report(docs, length).collect()), key=repr) == sorted(expected, key=repr)
+        assert sorted((tuple(r)[:5] for r in pfp_dedup.report(docs, length).collect()), key=repr) == sorted(expected, key=repr)
     assert pfp_dedup.report(empty).count() == 0
 
 
