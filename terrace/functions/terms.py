@@ -71,35 +71,45 @@ def is_match(predicate: Column) -> Column:
     return predicate.startswith(SKOS) & predicate.contains("Match")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def literal(text: Column) -> Column:
     """A quoted Turtle string; line breaks become blanks."""
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), F.trim(F.translate(escaped, "\r\n", "  ")), F.lit('"'))
+    return F.concat(F.lit('"'), stripped(F.translate(escaped, "\r\n", "  ")), F.lit('"'))
 
 
 def as_number(text: Column) -> Column:
     """Number text without a needless fraction; null for what is no finite number."""
-    value = F.trim(text).try_cast("double")
+    value = stripped(text).try_cast("double")
     fine = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e15)
     return F.when(fine, F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string")))
 
 
 def norm(text: Column) -> Column:
     """Trimmed, without wrapping quotes, one blank for white space, lower case."""
-    bare = F.regexp_replace(F.trim(text), "^[\"'“”‘’]+|[\"'“”‘’]+$", "")
-    return F.lower(F.trim(F.regexp_replace(bare, "[ \\t\\r\\n\\f]+", " ")))
+    bare = F.regexp_replace(stripped(text), "^[\"'“”‘’]+|[\"'“”‘’]+$", "")
+    return F.lower(F.trim(F.regexp_replace(bare, "(?U)\\s+", " ")))
 
 
 def upper_first(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
 
 
+def lower_first(text: Column) -> Column:
+    return F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+
+
 def local_iri(text: Column) -> Column:
-    """A local name from free text: what follows '#' and ':', words joined in camel case, only word characters and '-'."""
-    tail = F.substring_index(F.substring_index(F.trim(text), "#", -1), ":", -1)
-    words = F.filter(F.split(tail, "[ \\t\\r\\n\\f]+"), lambda w: w != "")
-    joined = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(upper_first(w))), "")
-    return F.regexp_replace(joined, "[^A-Za-z0-9_-]", "")
+    """A local name from free text: what follows '#', of one word what follows ':', several words joined in camel case, only word characters and '-'."""
+    tail = F.substring_index(stripped(text), "#", -1)
+    words = F.filter(F.split(tail, "(?U)\\s+"), lambda w: w != "")
+    joined = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, lower_first(w)).otherwise(upper_first(w))), "")
+    name = F.when(tail.contains(" "), joined).otherwise(F.regexp_replace(tail, "^[^:]*:", ""))
+    return F.regexp_replace(name, "[^A-Za-z0-9_-]", "")
 
 
 def class_iri(text: Column) -> Column:
@@ -108,7 +118,7 @@ def class_iri(text: Column) -> Column:
 
 def reference_iri(text: Column) -> Column:
     """ref:… stays, other text gets the prefix."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     return F.when(trimmed.startswith("ref:"), trimmed).otherwise(F.concat(F.lit("ref:"), local_iri(trimmed)))
 
 
@@ -117,9 +127,9 @@ def yes(text: Column) -> Column:
 
 
 def match_type(text: Column) -> Column:
-    """The SKOS name of a match type written in any case and spacing; null if it is none."""
-    bare = F.lower(F.replace(F.trim(text), F.lit(" "), F.lit("")))
-    return F.coalesce(*(F.when(bare.isin(m.lower(), m.lower().removesuffix("match")), F.lit(m)) for m in (*MATCHES, "exactMatch")))
+    """The SKOS name of one of MATCHES written in any case and spacing; null if it is none."""
+    bare = F.lower(F.replace(stripped(text), F.lit(" "), F.lit("")))
+    return F.coalesce(*(F.when(bare == m.lower(), F.lit(m)) for m in MATCHES))
 
 
 def identifier(text: Column, pascal: bool) -> Column:
@@ -130,7 +140,21 @@ def identifier(text: Column, pascal: bool) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \\t\\r\\n\\f]+", " "))
+    return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+
+
+# The named characters that markup itself needs and those usual in prose; the ampersand is last.
+NAMED = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
+    ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&hellip;", "\u2026"), ("&amp;", "&"),
+)
+
+
+def unescaped(text: Column) -> Column:
+    """Markup's named characters as themselves."""
+    for name, character in NAMED:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
 
 
 def citation(vendor: Column, title: Column, source: Column) -> Column:
@@ -139,13 +163,16 @@ def citation(vendor: Column, title: Column, source: Column) -> Column:
 
 
 def without_fences(text: Column) -> Column:
-    """JSON text out of a fenced block."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^```[a-zA-Z]*[ \\t]*\\n?", ""), "\\n?```$", ""))
+    """JSON text out of a fenced block: its first line and last mark go, and a language's name before the text."""
+    whole = stripped(text)
+    inner = F.regexp_replace(F.regexp_replace(whole, "^[^\\n]*\\n", ""), "```$", "")
+    return F.when(whole.startswith("```"), stripped(F.regexp_replace(inner, "(?U)^\\s*json", ""))).otherwise(whole)
 
 
 def section_of(path: Column) -> Column:
-    """A page's place: its path without index.html or .html."""
-    return F.regexp_replace(F.regexp_replace(path, "(^|/)index\\.html?$", ""), "\\.html?$", "")
+    """A page's place: its path without a last index.html, or without .html in its last part."""
+    head, last = F.regexp_extract(path, "^(.*/)?", 0), F.substring_index(path, "/", -1)
+    return F.when(last == "index.html", F.regexp_replace(head, "/$", "")).otherwise(F.concat(head, F.replace(last, F.lit(".html"), F.lit(""))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -81,18 +81,19 @@ def migration_diff(ctx: GraphContext, source: str, target: str) -> DataFrame:
 
 
 def extension_surface(ctx: GraphContext, vendor: str) -> DataFrame:
-    """Direct data objects of overlays judged extensions that map nowhere into the reference; '' means all vendors."""
+    """Labelled direct data objects of overlays judged extensions that map nowhere into the reference; '' means all vendors."""
     direct = values(ctx, t.SUBCLASS, "term", "parent").where(F.col("parent").endswith("#DataObject") & F.col("term").startswith(vendor)).select("term", "parent")
     judged = ctx.triples().where(F.col("p").endswith("verdict") & (F.col("o") == "vendor-extension")).select(F.col("s").alias("term"))
     inside = matches(ctx).where(F.col("obj").startswith(ctx.ref)).select("term")
-    return direct.join(judged, "term").join(inside, "term", "left_anti").join(values(ctx, t.LABEL, "term", "label"), "term", "left").select("term", "label").orderBy("term")
+    rows = direct.join(judged, "term").join(inside, "term", "left_anti").join(values(ctx, t.LABEL, "term", "label"), "term")
+    return rows.select(t.namespace(F.col("term")).alias("vendor"), "term", "label").orderBy("vendor", "label")
 
 
 def drill_down(ctx: GraphContext, concept: str) -> DataFrame:
     docs = ctx.triples().where(F.col("p").endswith("#sourceDoc")).select(F.col("s").alias("term"), F.col("o").alias("source_doc"))
     rows = matches(ctx).where(F.col("obj") == concept)
     rows = rows.join(values(ctx, t.LABEL, "term", "label"), "term", "left").join(verdicts(ctx), "term", "left").join(docs, "term", "left")
-    return rows.select("term", "match", "label", "verdict", "source_doc").orderBy("term")
+    return rows.select(t.namespace(F.col("term")).alias("vendor"), "term", "match", "label", "verdict", "source_doc").orderBy("vendor", "term")
 
 
 def completeness_guard(ctx: GraphContext) -> DataFrame:

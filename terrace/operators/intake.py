@@ -16,22 +16,25 @@ VERDICTS = ("covered", "partial", "vendor-extension", "absent", "needs-verificat
 NODE_TYPES = ("Data Object", "Operation", "Capability")
 PROMPT_CHARS = 12_000
 LOW_CONFIDENCE = 0.6
+#: Where lines end, in any script.
+LINE_ENDS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
 def is_bullet(line: Column) -> Column:
-    return line.rlike("^[-*•·]") | line.rlike("^\\(?[0-9]+[.)][ \\t]")
+    return line.rlike("^[-*•·]") | line.rlike("(?U)^\\(?\\d+[.)]\\s")
 
 
 def without_bullet(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, "^([-*•·]+|\\(?[0-9]+[.)])[ \\t]*", ""))
+    """Without the one mark or number that makes it a bullet."""
+    return F.regexp_replace(line, "(?U)^\\(?\\d+[.)]\\s*|^[-*•·]\\s*", "")
 
 
 def is_heading(line: Column) -> Column:
-    """At most 80 characters and nine words, no closing mark, half of the words capitalised."""
-    words = F.filter(F.split(line, "[ \\t]+"), lambda w: w != "")
+    """At most 80 characters and nine words, no closing mark, half of the words capitalised in any script."""
+    words = F.filter(F.split(line, "(?U)\\s+"), lambda w: w != "")
     n = F.size(words)
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    return (F.length(line) <= 80) & (n > 0) & (n <= 9) & ~line.rlike("[.,;:]$") & ~is_bullet(line) & (capital >= F.greatest(F.lit(1), F.floor(n / 2)))
+    capital = F.size(F.filter(words, lambda w: w.rlike("^\\p{Lu}")))
+    return (F.length(line) <= 80) & (n > 0) & (n <= 9) & ~line.rlike("[.,;:]$") & ~line.rlike("^[-*•·]") & (capital >= F.greatest(F.lit(1), F.floor(n / 2)))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,8 +42,8 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Blank lines go and don't end a list; a heading or body line does.
     """
-    rows = docs.select(key, F.posexplode(F.split(F.col(text), "\\n")).alias("line", "content"))
-    rows = rows.withColumn("content", F.trim(F.regexp_replace("content", "[ \\t\\r]+", " "))).where("content <> ''")
+    rows = docs.select(key, F.posexplode(F.split(F.col(text), LINE_ENDS)).alias("line", "content"))
+    rows = rows.withColumn("content", t.stripped(F.regexp_replace("content", "[ \\t]+", " "))).where("content <> ''")
     rows = rows.withColumn("kind", F.when(is_bullet(F.col("content")), "bullet").when(is_heading(F.col("content")), "heading").otherwise("body"))
     ordered = Window.partitionBy(key).orderBy("line")
     rows = rows.withColumn("section", F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(ordered))
@@ -56,7 +59,7 @@ def sections(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "body", F.struct("line", "content")))), lambda x: x["content"]), " ").alias("text"),
     )
     top = F.col("section") == 0
-    return parts.where("text <> ''").select(key, "section", F.when(top, "(top)").otherwise(F.col("heading")).alias("heading"), F.when(top, 0).otherwise(1).alias("level"), "text")
+    return parts.where("text <> ''").select(key, "section", F.when(top, "(top)").otherwise(F.col("heading")).alias("heading"), F.when(top, 1).otherwise(2).alias("level"), "text")
 
 
 def lists(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -65,14 +68,33 @@ def lists(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.where("list is not null").groupBy(key, "list").agg(items.alias("items"))
 
 
+def text_records(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", title: str | None = None) -> DataFrame:
+    """Concept records of texts without markup, such as a PDF's: name from the given title, else the first line that isn't blank, else
+    the source's stem; sections and lists by lines(); a text without words gets `_read_error`, since it needs OCR."""
+    clean = lambda c: t.stripped(F.regexp_replace(c, "[ \\t]+", " "))
+    base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), (clean(F.col(title)) if title else F.lit(None).cast("string")).alias("title"))
+    rows = lines(base, key)
+    first = rows.groupBy(key).agg(F.min_by("content", "line").alias("first"))
+    parts = sections(rows, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "heading", "level", "text"))), lambda x: F.struct(x["heading"].alias("heading"), x["level"].alias("level"), x["text"].alias("text"))).alias("sections"))
+    listed = lists(rows, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "items"))), lambda x: x["items"]).alias("lists"))
+    out = base.join(first, key, "left").join(parts, key, "left").join(listed, key, "left")
+    stem = F.regexp_replace(F.regexp_replace("source", "^.*/", ""), "\\.[^.]*$", "")
+    prose = clean(F.replace("text", F.lit("\n"), F.lit(" ")))
+    none = lambda name: F.array().cast(dict(x.split(" ", 1) for x in RECORD.split(", "))[name])
+    error = F.when(prose == "", "no text layer (scanned?): needs OCR")
+    return out.select(key, F.coalesce(F.nullif("title", F.lit("")), "first", stem).alias("concept_name"), "source", F.regexp_replace("source", "\\.[^.]*$", "").alias("section"), prose.alias("prose"), F.coalesce("sections", none("sections")).alias("sections"), F.coalesce("lists", none("lists")).alias("lists"), none("tables").alias("tables"), error.alias("_read_error"))
+
+
 def prompt_text(record: DataFrame) -> DataFrame:
     """A record as text for a mapper: sections or else prose, lists, table headers, cut at PROMPT_CHARS."""
-    part = F.array_join(F.transform("sections", lambda s: F.concat(F.lit("## "), F.coalesce(s["heading"], F.lit("")), F.lit("\n"), F.coalesce(s["text"], F.lit("")))), "\n")
-    body = F.when(F.size("sections") > 0, part).otherwise(F.coalesce("prose", F.lit("")))
-    listed = F.array_join(F.transform("lists", lambda x: F.concat(F.lit("- "), F.array_join(x, "; "))), "\n")
-    tables = F.array_join(F.transform("tables", lambda x: F.concat(F.lit("| "), F.array_join(x["headers"], " | "))), "\n")
-    joined = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("concept_name", F.lit(""))), body, F.nullif(listed, F.lit("")), F.nullif(tables, F.lit("")))
-    return record.withColumn("prompt", F.substring(joined, 1, PROMPT_CHARS))
+    none = F.array().cast("array<string>")
+    told = F.filter("sections", lambda s: F.coalesce(s["text"], F.lit("")) != "")
+    sections = F.transform(told, lambda s: F.concat(F.lit("## "), F.coalesce(s["heading"], F.lit("")), F.lit("\n"), s["text"]))
+    prose = F.when(F.coalesce("prose", F.lit("")) != "", F.array("prose")).otherwise(none)
+    lists = F.transform(F.filter("lists", lambda x: F.size(x) > 0), lambda x: F.concat(F.lit("Constraints/List:\n- "), F.array_join(x, "\n- ")))
+    tables = F.transform(F.filter("tables", lambda x: F.size(x["headers"]) > 0), lambda x: F.concat(F.lit("Table headers: "), F.array_join(x["headers"], " | ")))
+    parts = F.concat(F.when(F.size(sections) > 0, sections).otherwise(prose), F.coalesce(lists, none), F.coalesce(tables, none))
+    return record.withColumn("prompt", F.substring(F.array_join(parts, "\n\n"), 1, PROMPT_CHARS))
 
 
 def label_mapper(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -88,41 +110,43 @@ def label_mapper(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.select(*records.columns, F.to_json(F.struct(concept.alias("concept"), F.array().cast(nothing[0]).alias("attributes"), F.array().cast(nothing[1]).alias("relationships"))).alias("mapped_json"))
 
 
-def problems_of(part: Column, allowed: Column | None = None) -> Column:
-    """What is wrong with one mapped part, as an array of messages."""
+def problems_of(part: Column, of_concept: bool = False) -> Column:
+    """What is wrong with one mapped part, as an array of messages; a concept's confidence is not looked at."""
     match, verdict, confidence = part["match_type"], part["verdict"], part["confidence"]
-    target = F.coalesce(part["maps_to_neutral"], F.lit(""))
     checks = [
-        F.when(F.coalesce(F.trim(part["name"]), F.lit("")) == "", "name is missing"),
         F.when((F.coalesce(match, F.lit("")) != "") & ~match.isin(*t.MATCHES), F.concat(F.lit("unknown match type "), match)),
         F.when((F.coalesce(verdict, F.lit("")) != "") & ~verdict.isin(*VERDICTS), F.concat(F.lit("unknown verdict "), verdict)),
-        F.when(confidence.isNotNull() & ~confidence.between(0, 1), "confidence is not within 0 and 1"),
-        F.when((target != "") & (F.coalesce(match, F.lit("")) == ""), "mapping without match type"),
     ]
-    if allowed is not None:
-        checks.append(F.when((target != "") & ~F.array_contains(allowed, target), F.concat(F.lit("not in the vocabulary: "), target)))
+    if not of_concept:
+        checks.append(F.when(confidence.isNotNull() & ~confidence.between(0, 1), "confidence is not within 0 and 1"))
     return F.array_compact(F.array(*checks))
 
 
-def checked(mapped: DataFrame, vocabulary: Column | None = None, column: str = "mapped_json") -> DataFrame:
+def checked(mapped: DataFrame, column: str = "mapped_json") -> DataFrame:
     """Adds mapped (parsed) and problems; JSON that can't be read is one problem."""
     rows = mapped.withColumn("mapped", F.from_json(t.without_fences(F.col(column)), MAPPED))
     none = F.array().cast("array<string>")
-    parts = lambda c: F.coalesce(F.flatten(F.transform(c, lambda x: problems_of(x, vocabulary))), none)
-    own = F.concat(problems_of(F.col("mapped.concept"), vocabulary), parts("mapped.attributes"), parts("mapped.relationships"))
+    parts = lambda c: F.coalesce(F.flatten(F.transform(c, lambda x: problems_of(x))), none)
+    own = F.concat(problems_of(F.col("mapped.concept"), True), parts("mapped.attributes"), parts("mapped.relationships"))
     kind = F.when(~F.coalesce(F.col("mapped.concept.type"), F.lit("")).isin("", *NODE_TYPES), F.array(F.lit("unknown node type"))).otherwise(F.array().cast("array<string>"))
     unread = F.col("mapped").isNull() | F.col("mapped.concept").isNull()
     return rows.withColumn("problems", F.when(unread, F.array(F.lit("no readable mapping"))).otherwise(F.array_compact(F.concat(F.coalesce(own, F.array().cast("array<string>")), kind))))
 
 
-def map_records(records: DataFrame, mapper: Callable[[DataFrame], DataFrame], vocabulary: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def map_records(records: DataFrame, mapper: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(good, failed): rows with problems go to the mapper once more, with the problems as `feedback`."""
-    first = checked(mapper(records), vocabulary)
+    first = checked(mapper(records))
     good, bad = first.where(F.size("problems") == 0), first.where(F.size("problems") > 0)
-    again = checked(mapper(bad.select(*records.columns, F.array_join("problems", "; ").alias("feedback"))), vocabulary)
+    again = checked(mapper(bad.select(*records.columns, F.array_join("problems", "; ").alias("feedback"))))
     return good.unionByName(again.where(F.size("problems") == 0), allowMissingColumns=True), again.where(F.size("problems") > 0)
 
 
+def write_draft(sheets: dict[str, DataFrame], path: str) -> None:
+    """Each sheet as CSV with headers in a folder of its name, behind the rows that are there."""
+    for name, rows in sheets.items():
+        rows.write.mode("append").option("header", True).csv(f"{path}/{name}")
+
+
 def draft_sheets(good: DataFrame, vendor: str) -> dict[str, DataFrame]:
     """Three sheets of mapped rows; rows of little confidence are flagged."""
     flag = lambda c: F.coalesce(F.col(c) < LOW_CONFIDENCE, F.lit(False)).alias("Low confidence")

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
+from terrace.plans.graph import checkpointed
 
 SIZE, OVERLAP = 220, 40
 BLANK = "[ \\t\\r\\n\\f]+"
 #: Elements whose content is no text of a page.
 DROPPED = ("script", "style", "nav", "header", "footer", "noscript")
-#: Marks of windows that hold no prose.
-NOISE = r"(?i)(all rights reserved|copyright|table of contents|page not found)"
+#: Marks of windows that hold a diagram and no prose.
+NOISE = r"(graph TD;|classDef |stroke-width:|fill:#)"
 
 
 def page_title(html: Column, suffix: str = "") -> Column:
     """<title> without the site's suffix, else the first h1, else null."""
-    inner = lambda tag: F.nullif(t.collapsed(F.regexp_replace(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", "")), F.lit(""))
+    inner = lambda tag: F.nullif(t.collapsed(t.unescaped(F.regexp_replace(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", ""))), F.lit(""))
     title = inner("title")
     if suffix:
         title = F.when(title.endswith(suffix), F.trim(F.substring(title, F.lit(1), F.length(title) - len(suffix)))).otherwise(title)
-    return F.coalesce(F.nullif(title, F.lit("")), F.rtrim(inner("h1"), F.lit("#")))
+    return F.trim(F.rtrim(F.coalesce(F.nullif(title, F.lit("")), inner("h1")), F.lit("#")))
 
 
 def page_text(html: Column) -> Column:
@@ -30,7 +31,7 @@ def page_text(html: Column) -> Column:
     for tag in DROPPED:
         bare = F.regexp_replace(bare, f"(?is)<{tag}[ >].*?</{tag}>", " ")
     bare = F.regexp_replace(bare, "(?s)<!--.*?-->", " ")
-    return t.collapsed(F.regexp_replace(bare, "<[^>]*>", " "))
+    return t.collapsed(t.unescaped(F.regexp_replace(bare, "<[^>]*>", " ")))
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -38,18 +39,22 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     words = F.filter(F.split(F.col(text), BLANK), lambda w: w != "")
     rows = docs.select(key, words.alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(size - overlap))
-    rows = rows.select(key, "words", F.posexplode(starts).alias("chunk", "start"))
-    own = F.slice("words", F.col("start") + 1, size)
-    rows = rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.size(own).cast("long").alias("n_words"), F.array_join(own, " ").alias("chunk_text"))
+    # Cut within the row, so that a window's row carries its own words alone.
+    windows = F.transform(starts, lambda s: F.slice("words", s + 1, size))
+    rows = rows.select(key, F.posexplode(windows).alias("chunk", "own"))
+    rows = rows.select(key, F.col("chunk").cast("long").alias("chunk"), F.size("own").cast("long").alias("n_words"), F.array_join("own", " ").alias("chunk_text"))
     return rows.where(~((F.col("n_words") <= 60) & F.col("chunk_text").rlike(NOISE)))
 
 
-def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """The offline default vectoriser: signed feature hashing of words."""
-    words = F.filter(F.split(F.lower(text), BLANK), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    cell = lambda d: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.when(F.pmod(h, F.lit(dims)) == d, F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: cell(d).cast("float"))
+def hashed_vectors(rows: DataFrame, key: str = "id", text: str = "text", dims: int = 64) -> DataFrame:
+    """rows with vector, of length one: the offline default vectoriser, signed feature hashing of words; without words a zero vector."""
+    words = rows.select(key, F.explode(F.filter(F.split(F.lower(F.col(text)), BLANK), lambda w: w != "")).alias("w")).select(key, F.xxhash64("w").alias("h"))
+    sign = F.when(F.pmod(F.shiftright("h", 40), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    cells = words.groupBy(key, F.pmod("h", F.lit(dims)).cast("int").alias("cell")).agg(F.sum(sign).alias("x"))
+    sparse = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "x"))).alias("cells"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.element_at("cells", d), F.lit(0.0)))
+    out = rows.join(sparse, key, "left").withColumn("vector", F.transform(t.normalised(dense), lambda x: F.coalesce(x, F.lit(0.0)).cast("float")))
+    return out.drop("cells")
 
 
 def top_k(index: DataFrame, question: list[float], k: int = 4, least: float = 0.35, vendor: str | None = None, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -78,12 +83,21 @@ def read_index(spark, path: str) -> DataFrame:
     return rows.withColumn("vendor", F.coalesce(F.nullif("vendor", F.lit("")), name))
 
 
+def indexed(chunked: DataFrame, done: DataFrame, vendor: str) -> DataFrame:
+    """Index rows of chunks (source, title, chunk, text) whose source isn't done: id, text, title, source, vendor, vector."""
+    rows = resume(chunked, done).withColumn("vendor", F.lit(vendor))
+    return hashed_vectors(rows).select("id", "text", "title", "source", "vendor", "vector")
+
+
 def resume(docs: DataFrame, done: DataFrame, source: str = "source") -> DataFrame:
-    """Rows whose source isn't done; they are numbered from the highest id on, by partitions, without gaps in a source's order."""
+    """Rows whose source isn't done; they are numbered from the highest id on, by source and chunk, without gaps."""
     fresh = docs.join(done.select(source).distinct(), source, "left_anti")
     top = done.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    counts = fresh.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(source, F.coalesce(before, F.lit(0)).alias("before"))
+    # Sources are summed by ranges first, so that no task sees a row of every source.
+    counts = checkpointed(fresh.groupBy(source).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(source).withColumn("_range", F.spark_partition_id()))
+    ranges = counts.groupBy("_range").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", inside).join(ranges.select("_range", earlier.alias("earlier")), "_range").select(source, (F.col("before") + F.col("earlier")).alias("before"))
     place = F.row_number().over(Window.partitionBy(source).orderBy("chunk"))
     return fresh.join(counts, source).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + place).drop("top", "before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +14,19 @@ from terrace.plans.graph import GraphContext
 
 
 def resolve_concept(ctx: GraphContext, phrase: str, prefer: str | None = None, most: int = 200) -> DataFrame:
-    """Labelled terms that contain the phrase, best first: iri, label, score."""
-    wanted = phrase.strip().lower()
-    label = F.lower("label")
-    mine = F.col("iri").startswith(ctx.namespaces.get(prefer, "\0")) if prefer else F.lit(False)
-    in_ref, exact = F.col("iri").startswith(ctx.ref), label == wanted
-    score = F.when(exact & mine, 0).when(exact & ~in_ref, 1).when(exact, 2).when(mine, 3).otherwise(4)
-    found = values(ctx, t.LABEL, "iri", "label").where(label.contains(wanted)).orderBy("iri", "label").limit(most)
-    return found.select("iri", "label", score.alias("score")).orderBy("score", "iri", "label")
+    """Labelled terms that contain the phrase, best first: iri, label, score, prefix.
+
+    An exact label of the preferred overlay comes before one of another overlay and one of the reference, then partial
+    labels of the preferred overlay and of any; contexts never count as exact of an overlay, contexts and operations come last.
+    """
+    exact = t.stripped(F.lower("label")) == phrase.strip().lower()
+    ns, iri = t.namespace_last(F.col("iri")), F.lower("iri")
+    mine = ns == ctx.namespaces.get(prefer or "", "")
+    context = iri.contains("context")
+    plain = ~context & ~iri.contains("operation") & ~iri.contains("manage")
+    score = F.when(exact & mine & ~context, 0).when(exact & (ns != ctx.ref) & ~context, 1).when(exact & (ns == ctx.ref), 2).when(plain & mine, 3).when(plain, 4).otherwise(6)
+    found = values(ctx, t.LABEL, "iri", "label").where(F.lower("label").contains(phrase.replace('"', "").lower())).orderBy("iri", "label").limit(most)
+    return found.select("iri", "label", score.alias("score"), t.layer_of(F.col("iri"), ctx.namespaces).alias("prefix")).orderBy("score", "iri", "label")
 
 
 def concept_mappings(ctx: GraphContext, concept: str) -> DataFrame:
@@ -82,20 +88,21 @@ def find_paths(ctx: GraphContext, a: str, b: str) -> tuple[DataFrame, DataFrame
     return direct, two_hop_paths(ctx, a, b) if direct.isEmpty() else None
 
 
-def _keying(ctx: GraphContext, links: DataFrame, prop: str) -> DataFrame:
-    return links.join(values(ctx, t.LABEL, prop, f"{prop}_label"), prop, "left")
-
-
 def context_bridge(ctx: GraphContext, a: str, b: str, most: int = 40) -> DataFrame:
     """Classes with an object property to each of two concepts; context tables first."""
     links = object_links(ctx)
     left = links.where(F.col("range") == a).select(F.col("domain").alias("ctx"), F.col("prop").alias("pa"))
     right = links.where(F.col("range") == b).select(F.col("domain").alias("ctx"), F.col("prop").alias("pb"))
     rows = left.join(right, "ctx").where(~F.col("ctx").isin(a, b)).dropDuplicates(["ctx", "pa", "pb"])
-    rows = _keying(ctx, _keying(ctx, rows, "pa"), "pb")
+    label = lambda c: values(ctx, t.LABEL, c, f"{c}_label").groupBy(c).agg(F.min(f"{c}_label").alias(f"{c}_label"))
+    comment = values(ctx, t.COMMENT, "ctx", "comment").groupBy("ctx").agg(F.min("comment").alias("comment"))
+    for more in (label("pa"), label("pb"), label("ctx"), comment):
+        rows = rows.join(more, more.columns[0], "left")
     starts = lambda c: F.coalesce(F.lower(c).startswith("key"), F.lit(False))
-    table = F.lower("ctx").contains("context") | starts("pa_label") | starts("pb_label")
-    return rows.select("ctx", "pa", "pb", table.alias("is_context_table")).orderBy(F.desc("is_context_table"), "ctx", "pa", "pb").limit(most)
+    rows = rows.withColumn("pa_is_key", starts("pa_label")).withColumn("pb_is_key", starts("pb_label"))
+    table = F.lower("ctx").contains("context") | F.col("pa_is_key") | F.col("pb_is_key")
+    out = rows.select("ctx", F.col("ctx_label").alias("label"), "comment", "pa", "pa_label", "pa_is_key", "pb", "pb_label", "pb_is_key", table.alias("is_context_table"))
+    return out.orderBy(F.desc("is_context_table"), "ctx", "pa", "pb").limit(most)
 
 
 def contexts_keying_on(ctx: GraphContext, concept: str, most: int = 60) -> DataFrame:
@@ -109,18 +116,25 @@ def trace_concept(ctx: GraphContext, concept: str) -> dict[str, DataFrame]:
     return {"mappings": concept_mappings(ctx, concept), "attributes": concept_attributes(ctx, concept), "links_out": links_out(ctx, concept), "links_in": links_in(ctx, concept)}
 
 
-#: What separates two concepts in a question, and what stands around them.
-SEPARATORS = r"\s+(?:and|versus|vs\.?|relate to|related to|to|with)\s+"
-LEADING = r"^(?:how (?:does|do|is|are)|what (?:is|are)|which|where (?:is|are)|show|trace|explain|find|the|a|an)\s+"
-TRAILING = r"(?:\s+(?:related|connected|linked|mapped|used))?[?.! ]*$"
+# What separates two concepts in a question, in the order in which it is looked for, and what stands around a concept.
+SEPARATORS = (" related to ", " connected to ", " linked to ", " and ", " vs ", " versus ")
+LEADING_TWO = r"(?i)^(how is|how are|how does|what is|explain|show me|tell me about)\s+"
+LEADING_ONE = r"(?i)^(how does|how is|what is|explain|show me|tell me about|describe)\s+"
+TRAILING_ONE = r"(?i)\s+(work|function|behave)$"
 
 
 def extract_concepts(question: Column) -> Column:
     """Up to two phrases of a question, by rule."""
-    bare = F.regexp_replace(F.lower(F.trim(question)), TRAILING, "")
-    strip = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), LEADING, ""), LEADING, ""), LEADING, "")
-    parts = F.transform(F.split(bare, SEPARATORS), strip)
-    return F.slice(F.filter(parts, lambda x: x != ""), 1, 2)
+    bare = F.rtrim(t.stripped(question), F.lit("?"))
+    low = F.lower(bare)
+    single = t.stripped(F.regexp_replace(t.stripped(F.regexp_replace(bare, LEADING_ONE, "")), TRAILING_ONE, ""))
+    out = F.array(single)
+    for sep in reversed(SEPARATORS):
+        at = F.instr(low, sep)
+        left = t.stripped(F.regexp_replace(F.substring(bare, F.lit(1), at - 1), LEADING_TWO, ""))
+        right = t.stripped(F.substring(bare, at + len(sep), F.length(bare)))
+        out = F.when(at > 0, F.array(left, right)).otherwise(out)
+    return F.filter(out, lambda x: x != "")
 
 
 def answer(ctx: GraphContext, question: str) -> dict:
@@ -145,41 +159,70 @@ def graph_layers(ctx: GraphContext) -> DataFrame:
     return rows.orderBy(F.col("layer") != ctx.reference, "layer")
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("source", "target")).alias("id")).where(F.col("id").startswith("http")).distinct()
+
+
+@dataclass(frozen=True)
+class _View:
+    """What a view of the graph is made of, section by section: classes, then the ends of the edges that bring them in."""
+
+    classes: DataFrame  # id, type
+    operates: DataFrame  # source, target
+    mapped: DataFrame  # source, target, match
+    known: DataFrame  # id: nodes before mappings
+    nodes: DataFrame  # id: nodes with the ends of mappings
+
+
+def _view(ctx: GraphContext, layer: str | None) -> _View:
+    """layer: None for all, else classes of this layer alone; operations of this and the reference layer, and this layer's mappings,
+    bring in both their ends."""
+    within = lambda c, *more: t.layer_of(F.col(c), ctx.namespaces).isin(layer, *more) if layer else F.lit(True)
+    named = F.col("id").startswith("http")
+    typed = ctx.triples().where((F.col("p") == t.TYPE) & (F.col("o") == t.CLASS)).select(F.col("s").alias("id"), F.lit(2).alias("rank"), F.lit("Class").alias("type"))
+    kinds = [objects_under(ctx, f"{ctx.ref}{k}").select(F.col("obj").alias("id"), F.lit(n).alias("rank"), F.lit(k).alias("type")) for n, k in enumerate(("DataObject", "Capability"))]
+    classes = reduce(DataFrame.unionByName, [*kinds, typed]).where(named & within("id")).groupBy("id").agg(F.min_by("type", "rank").alias("type"))
+    operates = ctx.triples().where(F.col("p").endswith("#operatesOn")).select(F.col("s").alias("source"), F.col("o").alias("target")).where(within("source", ctx.reference))
+    mapped = matches(ctx, "source", "match", "target").where(within("source"))
+    known = classes.select("id").union(_ends(operates)).distinct()
+    return _View(classes, operates, mapped, known, known.union(_ends(mapped)).distinct())
+
+
 def graph_nodes(ctx: GraphContext, layer: str | None = None, attributes: bool = False) -> DataFrame:
-    """id, label, layer, type, verdict of classes, and of attributes if wanted; the first type of Data Object, Capability, Operation, Class holds."""
-    classes = ctx.triples().where((F.col("p") == t.TYPE) & (F.col("o") == t.CLASS) & (F.col("s_kind") == "iri")).select(F.col("s").alias("id")).distinct()
-    kinds = [objects_under(ctx, f"{ctx.ref}{r}").select(F.col("obj").alias("id"), F.lit(k).alias("rank"), F.lit(n).alias("type")) for k, (r, n) in enumerate((("DataObject", "Data Object"), ("Capability", "Capability"), ("Operation", "Operation")))]
-    own = [values(ctx, t.SUBCLASS, "id", "parent").where(F.col("parent").endswith(f"#{r}")).select("id", F.lit(k + 10).alias("rank"), F.lit(n).alias("type")) for k, (r, n) in enumerate((("DataObject", "Data Object"), ("Capability", "Capability"), ("Operation", "Operation")))]
-    best = reduce(DataFrame.unionByName, [*kinds, *own]).groupBy("id").agg(F.min_by("type", "rank").alias("type"))
+    """id, label, layer, type, kind, verdict of the classes of a view and of what its edges bring in, which has neither label nor
+    verdict of its own; with attributes, of the view's datatype properties. Of types DataObject, Capability, Class the first holds."""
+    view = _view(ctx, layer)
     labels = values(ctx, t.LABEL, "id", "label").groupBy("id").agg(F.max("label").alias("label"))
     judged = ctx.triples().where(F.col("p").endswith("#verdict")).groupBy(F.col("s").alias("id")).agg(F.max("o").alias("verdict"))
-    nodes = classes.join(best, "id", "left").withColumn("type", F.coalesce("type", F.lit("Class")))
+    own = view.classes.join(labels, "id", "left").join(judged, "id", "left")
+    nodes = view.nodes.join(own, "id", "left").withColumn("type", F.coalesce("type", F.lit("Class"))).withColumn("kind", F.lit(None).cast("string"))
     if attributes:
-        known = nodes.select(F.col("id").alias("domain"))
-        more = _with_domain(ctx, t.DATATYPE_PROPERTY).join(known, "domain", "left_semi").select(F.col("prop").alias("id"), F.lit("Attribute").alias("type")).distinct()
-        nodes = nodes.unionByName(more.join(nodes, "id", "left_anti"))
-    nodes = nodes.join(labels, "id", "left").join(judged, "id", "left").withColumn("layer", t.layer_of(F.col("id"), ctx.namespaces))
-    nodes = nodes.select("id", F.coalesce("label", t.graph_local(F.col("id"))).alias("label"), "layer", "type", "verdict")
-    return nodes.where(F.col("layer").isin(layer, ctx.reference)) if layer else nodes
+        more = _with_domain(ctx, t.DATATYPE_PROPERTY).where(F.col("prop").startswith("http")).join(view.nodes.withColumnRenamed("id", "domain"), "domain", "left_semi").select(F.col("prop").alias("id")).distinct().join(labels.withColumnRenamed("label", "named"), "id", "left")
+        nodes = nodes.withColumn("here", F.lit(True)).join(more.withColumn("attribute", F.lit(True)), "id", "full")
+        fresh = F.col("here").isNull()
+        nodes = nodes.withColumn("type", F.when(fresh, "DatatypeProperty").otherwise(F.col("type"))).withColumn("kind", F.when(fresh, "datatype")).withColumn("label", F.coalesce("named", "label"))
+    return nodes.select("id", F.coalesce("label", t.graph_local(F.col("id"))).alias("label"), t.layer_of(F.col("id"), ctx.namespaces).alias("layer"), "type", "kind", "verdict")
 
 
 def graph_edges(ctx: GraphContext, layer: str | None = None, attributes: bool = False) -> DataFrame:
-    """source, target, label, match_type, directed between nodes; of edges with equal ends and match type or label the first section's."""
-    ids = graph_nodes(ctx, layer, attributes).select("id")
+    """source, target, label, match_type, directed: operations, object properties between nodes, mappings, attributes; of edges with
+    equal ends and match type or label the first section's."""
+    view = _view(ctx, layer)
+    none = F.lit(None).cast("string").alias("match_type")
+    ends = lambda nodes, c: nodes.select(F.col("id").alias(c))
+    links = object_links(ctx).join(ends(view.known, "domain"), "domain", "left_semi").join(ends(view.known, "range"), "range", "left_semi")
+    name = t.local_name(F.col("match"))
     sections = [
-        values(ctx, t.SUBCLASS, "source", "target").withColumn("label", F.lit("subClassOf")).withColumn("match_type", F.lit(None).cast("string")),
-        values(ctx, f"{ctx.ref}operatesOn", "source", "target").withColumn("label", F.lit("operatesOn")).withColumn("match_type", F.lit(None).cast("string")),
-        object_links(ctx).join(values(ctx, t.LABEL, "prop", "name"), "prop", "left").select(F.col("domain").alias("source"), F.col("range").alias("target"), F.coalesce("name", t.graph_local(F.col("prop"))).alias("label"), F.lit(None).cast("string").alias("match_type")),
-        matches(ctx, "source", "p", "target").select("source", "target", t.local_name(F.col("p")).alias("label"), t.local_name(F.col("p")).alias("match_type")),
+        view.operates.select("source", "target", F.lit("operatesOn").alias("label"), none),
+        links.join(values(ctx, t.LABEL, "prop", "name"), "prop", "left").select(F.col("domain").alias("source"), F.col("range").alias("target"), F.coalesce("name", t.graph_local(F.col("prop"))).alias("label"), none),
+        view.mapped.select("source", "target", name.alias("label"), name.alias("match_type")),
     ]
     if attributes:
-        sections.append(_with_domain(ctx, t.DATATYPE_PROPERTY).select(F.col("domain").alias("source"), F.col("prop").alias("target"), F.lit("attribute").alias("label"), F.lit(None).cast("string").alias("match_type")))
+        own = _with_domain(ctx, t.DATATYPE_PROPERTY).join(ends(view.nodes, "domain"), "domain", "left_semi").join(values(ctx, t.RANGE, "prop", "range"), "prop", "left")
+        sections.append(own.select(F.col("domain").alias("source"), F.col("prop").alias("target"), F.coalesce(t.graph_local(F.col("range")), F.lit("literal")).alias("label"), none))
     rows = reduce(DataFrame.unionByName, [s.withColumn("section", F.lit(k)) for k, s in enumerate(sections)])
-    rows = rows.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    key = F.coalesce("match_type", "label")
-    first = F.row_number().over(Window.partitionBy("source", "target", key).orderBy("section", "label"))
-    rows = rows.withColumn("place", first).where("place = 1")
-    return rows.select("source", "target", "label", "match_type", F.col("match_type").isNull().alias("directed"))
+    first = F.row_number().over(Window.partitionBy("source", "target", F.coalesce("match_type", "label")).orderBy("section", "label"))
+    return rows.withColumn("place", first).where("place = 1").select("source", "target", "label", "match_type", F.lit(True).alias("directed"))
 
 
 def without_operations(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphContext:
     ref = lambda *parts: _iri(REF, *parts)
     one = spark.range(1)
     roots = [x for name, label in (("DataObject", "Data Object"), ("Capability", "Capability")) for x in (_rows(one, ref(name), t.TYPE, t.CLASS), _rows(one, ref(name), t.LABEL, label, "lit"))]
-    types, linked = part.select("p_type").distinct(), part.where("p_size > 45")
+    types = part.select("p_type").distinct()
     cap = ref("Cap_", F.col("p_type"))
     object_of = ref("S", (F.col("p_partkey") % n).cast("string"))
     key = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("key "), F.col("p_name"))).otherwise(F.col("p_name"))
@@ -59,8 +59,8 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphContext:
         *_class(nation, ref("N", F.col("n_nationkey").cast("string")), ref("R", F.col("n_regionkey").cast("string")), F.col("n_name")),
         *_class(supplier, ref("S", F.col("s_suppkey").cast("string")), ref("N", F.col("s_nationkey").cast("string")), F.col("s_name")),
         *_class(types, cap, f"{REF}Capability", F.col("p_type")),
-        _rows(linked, cap, f"{REF}operatesOn", object_of),
-        *_property(linked, ref("P", F.col("p_partkey").cast("string")), t.OBJECT_PROPERTY, cap, object_of, key),
+        _rows(part, cap, f"{REF}operatesOn", object_of),
+        *_property(part, ref("P", F.col("p_partkey").cast("string")), t.OBJECT_PROPERTY, cap, object_of, key),
         *_property(supplier, ref("locatedIn", F.col("s_suppkey").cast("string")), t.OBJECT_PROPERTY, ref("S", F.col("s_suppkey").cast("string")), ref("N", F.col("s_nationkey").cast("string")), "located in"),
         *_property(nation, ref("name", F.col("n_nationkey").cast("string")), t.DATATYPE_PROPERTY, ref("N", F.col("n_nationkey").cast("string")), t.XSD + "string", "name"),
     ]
@@ -77,8 +77,8 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphContext:
         _rows(customer.where(mapped), term, match, target),
         _rows(customer.join(first, customer.c_custkey == first.o_custkey), term, F.concat(ns, F.lit("sourceDoc")), F.concat(F.lit("order/"), F.col("first").cast("string")), "lit"),
     ]
-    # One scan a table for all layers; a layer is a filter on its graph.
+    # A pattern's predicate is a constant of its branch, so that only the branches, and tables, that can have it are read.
     graph = F.concat(F.lit("urn:graph:"), F.regexp_extract("s", f"^{BASE}([^#]+)#", 1))
-    whole = _quads([*reference, *overlays]).withColumn("g", graph).persist()
+    whole = _quads([*reference, *overlays]).withColumn("g", graph)
     layers = {p: (f"{BASE}{p}#", whole.where(F.col("g") == f"urn:graph:{p}")) for p in ("ref", *SEGMENTS)}
     return GraphContext(spark, layers, whole=whole)

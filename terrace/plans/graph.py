@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,10 +42,9 @@ class GraphContext:
         return out
 
     def triples(self) -> DataFrame:
-        """The union of all layers; the same triple in two layers is one."""
-        if "triples" not in self._held:
-            self._held["triples"] = self.quads().select("s", "s_kind", "p", "o", "o_kind").dropDuplicates(["s", "p", "o", "o_kind"]).persist()
-        return self._held["triples"]
+        """The union of all layers; the same triple in two layers is one. Filters on its columns go below the deduplication, so a
+        pattern shuffles its own triples alone."""
+        return self.quads().select("s", "s_kind", "p", "o", "o_kind").dropDuplicates(["s", "s_kind", "p", "o", "o_kind"])
 
     def pattern(self, s: str | None = None, p: str | None = None, o: str | None = None, g: str | None = None) -> DataFrame:
         """Quads that fit the given terms."""
@@ -77,21 +77,28 @@ def vendors(triples: DataFrame) -> DataFrame:
     return triples.where(F.col("p").endswith("#verdict")).select(t.namespace(F.col("s")).alias("ns")).distinct()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Spark's reliable checkpoint, in the folder that the session names; a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrace-"))
+    return df.checkpoint()
+
+
 def closure(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
     """(child, parent) edges, roots(root) -> root, node, depth of every node that one step or more lead down to.
 
     Breadth first: each round joins the newest nodes with the edges and drops those known, so cycles end. The
     rounds' nodes are checkpointed; their number is the depth, which `most` bounds against bad data.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrace-"))
     step = lambda front: front.join(edges, F.col("at") == F.col("parent")).select("root", F.col("child").alias("node"))
-    seen = front = step(roots.select("root", F.col("root").alias("at"))).distinct().withColumn("depth", F.lit(1)).checkpoint()
+    seen = step(roots.select("root", F.col("root").alias("at"))).distinct().withColumn("depth", F.lit(1))
+    seen = front = checkpointed(seen)
     for depth in range(2, most + 2):
-        new = step(front.select("root", F.col("node").alias("at"))).distinct().join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = checkpointed(step(front.select("root", F.col("node").alias("at"))).distinct().join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return seen
         seen, front = seen.unionByName(new), new

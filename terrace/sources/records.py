@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from terrace.operators.intake import RECORD
 
@@ -22,7 +24,11 @@ from terrace.operators.intake import RECORD
 BOILERPLATE = {"script", "style", "nav", "header", "footer", "noscript", "aside"}
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4}
 EMPTY = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-NOISE = re.compile(r"^(?:-->|<!--|copyright|all rights reserved)", re.I)
+NOISE = re.compile(r"(graph TD;|classDef |stroke-width:|fill:#|-->)")  # marks of diagrams
+
+
+#: Pages whose records are held at a time.
+PAGES = 64
 
 
 def clean(text: str) -> str:
@@ -30,12 +36,13 @@ def clean(text: str) -> str:
 
 
 class Page(HTMLParser):
-    """One pass over a page: title, headings, text blocks, lists and tables as they close."""
+    """One pass over a page: title, headings, text blocks, lists and tables in the order in which they open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.dropped = 0
         self.open: list[tuple[str, list[str], list]] = []
+        self.places: list[int] = []
         self.title = ""
         self.blocks: list[tuple[str, str]] = []
         self.lists: list[list[str]] = []
@@ -51,6 +58,11 @@ class Page(HTMLParser):
             elif tag == "li":
                 self._close("li", {"ul", "ol"})
             self.open.append((tag, [], []))
+            # A block's place is kept where it opens, its text comes when it closes.
+            kept = self.blocks if tag in HEADINGS or tag in ("p", "li") else self.lists if tag in ("ul", "ol") else self.tables if tag == "table" else None
+            self.places.append(len(kept) if kept is not None else -1)
+            if kept is not None:
+                kept.append(None)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BOILERPLATE:
@@ -64,30 +76,30 @@ class Page(HTMLParser):
             at = len(names) - 1 - names[::-1].index(tag)
             if not stop.intersection(names[at:]):
                 while len(self.open) > at:
-                    self._end(*self.open.pop())
+                    self._end(self.places.pop(), *self.open.pop())
 
-    def _end(self, tag: str, text: list[str], parts: list) -> None:
+    def _end(self, place: int, tag: str, text: list[str], parts: list) -> None:
         whole = clean("".join(text))
         above = self.open[-1] if self.open else None
         if tag == "title":
             self.title = self.title or whole
             return
         if tag in HEADINGS or tag in ("p", "li"):
-            self.blocks.append((tag, whole))
+            self.blocks[place] = (tag, whole)
         if tag == "li" and above and above[0] in ("ul", "ol"):
             above[2].append(whole)
-        elif tag in ("ul", "ol") and any(parts):
-            self.lists.append([x for x in parts if x])
+        elif tag in ("ul", "ol"):
+            self.lists[place] = [x for x in parts if x and not NOISE.search(x)]
         elif tag in ("td", "th"):
             row = next((x for x in reversed(self.open) if x[0] == "tr"), None)
             if row:
                 row[2].append(whole)
         elif tag == "tr":
             table = next((x for x in reversed(self.open) if x[0] == "table"), None)
-            if table and any(parts):
+            if table and (any(parts) or not table[2]):
                 table[2].append(parts)
         elif tag == "table" and parts:
-            self.tables.append({"headers": parts[0], "rows": parts[1:]})
+            self.tables[place] = {"headers": parts[0], "rows": parts[1:]}
         if above:
             above[1].append(" " + "".join(text) + " ")
 
@@ -101,7 +113,8 @@ class Page(HTMLParser):
     def close(self) -> None:
         super().close()
         while self.open:
-            self._end(*self.open.pop())
+            self._end(self.places.pop(), *self.open.pop())
+        self.blocks, self.lists, self.tables = ([x for x in kept if x] for kept in (self.blocks, self.lists, self.tables))
 
 
 def sections_of(blocks: list[tuple[str, int, str]]) -> list[dict]:
@@ -112,7 +125,7 @@ def sections_of(blocks: list[tuple[str, int, str]]) -> list[dict]:
             if text:
                 out.append({"heading": heading, "level": level, "text": " ".join(text)})
             heading, level, text = body, own, []
-        elif body and not NOISE.match(body):
+        elif body and not NOISE.search(body):
             text.append(body)
     return out
 
@@ -123,7 +136,8 @@ def html_record(html: str, source: str, suffix: str = "") -> dict:
     page.close()
     title = page.title.removesuffix(suffix).strip() if suffix else page.title
     name = title or next((x for k, x in page.blocks if k == "h1" and x), "") or source.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    place = re.sub(r"(^|/)index\.html?$|\.html?$", "", source)
+    head, slash, last = source.rpartition("/")
+    place = head if last == "index.html" else head + slash + last.replace(".html", "")
     blocks = [("heading" if k in HEADINGS else "text", HEADINGS.get(k, 0), x) for k, x in page.blocks]
     return {"concept_name": name.rstrip("# "), "source": source, "section": place, "prose": clean(" ".join(page.all)), "sections": sections_of(blocks), "lists": page.lists, "tables": page.tables, "_read_error": None}
 
@@ -181,26 +195,32 @@ def read_one(data: bytes, source: str) -> dict:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All HTML and DOCX files under a path, lock files and archive leftovers skipped, ordered by source."""
+    """All HTML and DOCX files under a path, a row each; lock files and archive leftovers are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,htm,docx,pdf}").load(path)
     files = files.where(~F.col("path").rlike("/(~\\$|__MACOSX/)")).select("path", "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(StructType.fromDDL(RECORD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([read_one(bytes(c), p) for p, c in zip(batch["path"], batch["content"], strict=True)])
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pa.RecordBatch.from_pylist([read_one(content.as_py(), path.as_py())], arrow)
 
-    return files.mapInPandas(run, RECORD).orderBy("source")
+    return files.mapInArrow(run, RECORD)
 
 
 def page_records(pages: DataFrame, key: str, html: str, source: str) -> DataFrame:
     """Records of a table of pages."""
-    kind = dict(pages.dtypes)[key]
+    kind, arrow = dict(pages.dtypes)[key], to_arrow_schema(StructType.fromDDL(RECORD))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([{key: k, **html_record(h or "", s or "")} for k, h, s in zip(batch[key], batch[html], batch[source], strict=True)])
+            for i in range(0, len(batch), PAGES):
+                some = batch.slice(i, PAGES)
+                rows = pa.RecordBatch.from_pylist([html_record(h.as_py() or "", s.as_py() or "") for h, s in zip(some[html], some[source], strict=True)], arrow)
+                yield pa.RecordBatch.from_arrays([some[key], *rows.columns], [key, *rows.schema.names])
 
-    return pages.select(key, html, source).mapInPandas(run, f"{key} {kind}, {RECORD}")
+    return pages.select(key, html, source).mapInArrow(run, f"{key} {kind}, {RECORD}")
 
 
 def write_records(records: DataFrame, path: str) -> None:

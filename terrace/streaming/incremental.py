@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrace.operators.retrieve import chunks, page_text, page_title
+from terrace.operators.retrieve import chunks, indexed, page_text, page_title
 
 
 def index_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint: str, vendor: str) -> StreamingQuery:
@@ -20,6 +20,9 @@ def index_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint:
         text = batch.select(F.col("url").alias("source"), page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("text"))
         rows = chunks(text, "source").join(text.select("source", "title"), "source")
         # An epoch that is tried again writes over its own folder.
-        rows.select("source", "title", "chunk", F.col("chunk_text").alias("text"), F.lit(vendor).alias("vendor")).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+        rows = rows.select("source", "title", "chunk", F.col("chunk_text").alias("text"))
+        earlier = "source string, id long, epoch long"
+        done = spark.read.schema(earlier).parquet(out_dir).where(F.col("epoch") < epoch) if epoch else spark.createDataFrame([], earlier)
+        indexed(rows, done, vendor).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     return pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
