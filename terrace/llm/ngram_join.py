@@ -47,12 +47,15 @@ BAND = 4
 SHARE = {2: 4, 3: 6}
 #: Rounds of pivots end when the pairs left are at most so many times the members left, when a round leaves more than so much of
 #: them, or after so many rounds.
-FEW_PAIRS, SLOW, MOST_ROUNDS = 2, 0.8, 8
-CELLS = 64
+FEW_PAIRS, SLOW, MOST_ROUNDS = 64, 0.8, 8
+#: What is known of a signature's member.
+MEMBER = ("id", "n", "c", "x", "alone", "low", "high", "root")
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 4 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Shingle hashes keep their upper 56 bits; the lower ones are zero and cost nothing in an exchange.
+SPARE = np.uint64(8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,7 +75,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS_A_SHINGLE) -> Iterator[np.n
         h = np.zeros(max(0, n), np.uint64)
         for k in range(words):
             h = h * _K + w[k : k + n] if n > 0 else h
-        h = mix(h)
+        h = mix(h) >> SPARE << SPARE
         for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
             if b - a >= words:
                 yield np.unique(h[a : b - words + 1])
@@ -80,7 +83,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS_A_SHINGLE) -> Iterator[np.n
                 whole = np.array([b - a], np.uint64)
                 for x in w[a:b]:
                     whole = whole * _K + x
-                yield mix(whole)
+                yield mix(whole) >> SPARE << SPARE
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -135,7 +138,7 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, like: int = LIKE) -
                 alone.add(key)
                 units += 1
             else:
-                group = groups.setdefault((k, key % (width // SHARE[k])), [])
+                group = groups.setdefault((k, (key >> int(SPARE)) % (width // SHARE[k])), [])
                 group.append(key)
                 units += len(group) >= k
             if units >= need:
@@ -153,20 +156,19 @@ def signatures(n: int, keys: np.ndarray, counts: np.ndarray, like: int = LIKE) -
 def _index(held: DataFrame, like: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, ids, sizes, shared, alone = [], [], [], [], []
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
             for id_, n, keys, counts in zip(*(batch[c].to_pylist() for c in ("id", "n", "found", "counts")), strict=True):
                 times = np.frombuffer(counts, np.uint32)
                 # Who shares a rare shingle with a class has that signature too, so a combination's members need only be held against frequent ones.
+                low, high = packed_cells(np.frombuffer(keys, np.uint64)[times > RARE])
                 for one, own, c in zip((True, False), signatures(n, np.frombuffer(keys, np.uint64), times, like), (len(times), int((times > RARE).sum())), strict=True):
-                    sigs.append(np.fromiter(own, np.uint64).view(np.int64))
-                    ids.append(np.full(len(own), id_, np.int64))
-                    sizes.append(np.full(len(own), n, np.int64))
-                    shared.append(np.full(len(own), c, np.int64))
-                    alone.append(np.full(len(own), one))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, ids, sizes, shared, alone)], ["sig", "id", "n", "c", "alone"])
+                    columns[0].append(np.fromiter(own, np.uint64).view(np.int64))
+                    for column, value in zip(columns[1:], (id_, n, c, one, low, high), strict=True):
+                        column.append(np.full(len(own), value))
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["sig", "id", "n", "c", "alone", "low", "high"])
 
-    return held.select("id", "n", "found", "counts").mapInArrow(run, "sig long, id long, n long, c long, alone boolean")
+    return held.select("id", "n", "found", "counts").mapInArrow(run, "sig long, id long, n long, c long, alone boolean, low long, high long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
@@ -189,26 +191,30 @@ def verified(pairs: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, common long, frequent long, linked boolean")
 
 
-def _cells(held: DataFrame) -> DataFrame:
-    """id, cells: how many of a class's frequent shingles fall into each of CELLS cells of the hash."""
+def packed_cells(frequent: np.ndarray) -> tuple[int, int]:
+    """How many of the keys fall into each of 16 cells of the hash, a byte a cell; -1, -1 where a byte doesn't hold that."""
+    counts = np.bincount((frequent >> SPARE & np.uint64(15)).astype(np.int64), minlength=16)
+    if counts.max(initial=0) > 255:
+        return -1, -1
+    low, high = counts.astype(np.uint8).view(np.int64).tolist()
+    return low, high
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = []
-            for keys, times in zip(batch["found"], batch["counts"], strict=True):
-                frequent = np.frombuffer(keys.as_buffer(), np.uint64)[np.frombuffer(times.as_buffer(), np.uint32) > RARE]
-                counts.append(np.bincount((frequent % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(counts, pa.list_(pa.int32()))], ["id", "cells"])
 
-    return held.select("id", "found", "counts").mapInArrow(run, "id long, cells array<int>")
+def _in_cells(*sides: tuple[Column, Column]) -> Column:
+    """What two classes can have in common cell by cell; null where one has no cells."""
+    known = (sides[0][0] != -1) | (sides[0][1] != -1), (sides[1][0] != -1) | (sides[1][1] != -1)
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(255)
+    return F.when(known[0] & known[1], sum((F.least(byte(sides[0][half], k), byte(sides[1][half], k)) for half in range(2) for k in range(8)), F.lit(0)))
 
 
 def _may_link(like: int) -> Column:
     """Whether members (n, c, x) and (m, d, y) of a signature can be alike enough. n: shingles; c: those that they can have in common
-    with members; x: those that they have in common with the signature's first pivot, so that others are at most c - x."""
+    with members; x: those that they have in common with the signature's first pivot, so that others are at most c - x; members of a
+    combination have no rare shingle in common, and of frequent ones no more than cell by cell."""
     most = F.least("c", "d")
     through = F.least("x", "y") + F.least(F.col("c") - F.col("x"), F.col("d") - F.col("y"))
-    return (F.least("m", "n") * 100 >= F.greatest("m", "n") * like) & (F.least(most, F.coalesce(through, most)) * (100 + like) >= (F.col("m") + F.col("n")) * like)
+    cells = F.when(~F.col("alone"), _in_cells((F.col("low"), F.col("high")), (F.col("low2"), F.col("high2"))))
+    return (F.least("m", "n") * 100 >= F.greatest("m", "n") * like) & (F.least(most, F.coalesce(through, most), F.coalesce(cells, most)) * (100 + like) >= (F.col("m") + F.col("n")) * like)
 
 
 def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
@@ -216,14 +222,14 @@ def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
     rows = index.withColumn("root", F.col("id")).withColumn("x", F.lit(None).cast("long"))
     found, before = None, None
     for turn in range(MOST_ROUNDS):
-        member = F.struct("id", "n", "c", "x", "root")
+        member = F.struct("id", "n", "c", "x", "low", "high", "root")
         # Who shares the most with others is compared with all first: near copies mostly link to it. So does the last root's
         # member, which mostly stands outside of a large component.
         chosen = F.array_distinct(F.array(F.max_by(member, F.struct(F.col("c") / F.col("n"), "id")), F.max_by(member, F.struct("root", "id"))))
         groups = rows.groupBy("sig").agg(chosen.alias("pivots"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"))
         # The signatures in question; a later round reads these rows alone.
         held_rows = written(rows.join(groups.where("lo < hi").select("sig", "pivots", "least"), "sig"), "mixed")
-        pairs = held_rows.select("id", "n", "c", "x", "root", F.explode("pivots").alias("p")).where("root <> p.root").select(F.col("p.id").alias("a"), F.col("id").alias("b"), "n", "c", "x", F.col("p.n").alias("m"), F.col("p.c").alias("d"), F.col("p.x").alias("y"))
+        pairs = held_rows.select(*MEMBER, F.explode("pivots").alias("p")).where("root <> p.root").select(*MEMBER, F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("d"), F.col("p.x").alias("y"), F.col("p.low").alias("low2"), F.col("p.high").alias("high2"))
         told = written(verified(pairs.where(_may_link(like)).select("a", "b").distinct(), held, like), "told")
         new = told.where("linked").select("a", "b")
         found = new if found is None else found.union(new)
@@ -235,7 +241,7 @@ def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
             rows = rows.withColumn("x", F.when(F.col("id") == first, F.col("c")).when(F.col("alone"), F.col("common")).otherwise(F.col("frequent")))
         # Pivots are done, and so is who can't be alike enough to any member.
         fine = ~F.exists("pivots", lambda p: p["id"] == F.col("id")) & (F.col("c") * (100 + like) >= (F.col("n") + F.col("least")) * like)
-        rows = written(rows.where(fine).select("sig", "id", "n", "c", "alone", "root", "x"), "rows")
+        rows = written(rows.where(fine).select("sig", *MEMBER), "rows")
         settle(index.sparkSession)
         per_root = rows.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("k"))
         open_ = per_root.groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).where("pairs > 0")
@@ -244,13 +250,9 @@ def links(index: DataFrame, held: DataFrame, like: int = LIKE) -> DataFrame:
             break
         before = pairs_left
     still = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    mine = rows.join(still, "sig")
-    mine = written(mine.join(_cells(held.join(mine.select("id").distinct(), "id", "left_semi")), "id"), "rest")
-    other = mine.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("cells").alias("cells2"))
-    # Of frequent shingles a pair can't have more in common than cell by cell.
-    in_cells = F.aggregate(F.zip_with("cells", "cells2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    may = _may_link(like) & (F.col("alone") | (in_cells * (100 + like) >= (F.col("m") + F.col("n")) * like))
-    pairs = mine.join(other, "sig").where((F.col("root") != F.col("root2")) & (F.col("id") < F.col("b"))).where(may).select(F.col("id").alias("a"), "b")
+    mine = written(rows.join(still, "sig"), "rest")
+    other = mine.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("x").alias("y"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("root").alias("root2"))
+    pairs = mine.join(other, "sig").where((F.col("root") != F.col("root2")) & (F.col("id") < F.col("b"))).where(_may_link(like)).select(F.col("id").alias("a"), "b")
     told = written(verified(pairs.distinct(), held, like), "told")
     return found.union(told.where("linked").select("a", "b"))
 
