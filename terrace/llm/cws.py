@@ -5,7 +5,8 @@ term draws r and c from Gamma(2, 1), each a sum of two exponentials, and b from
 t = floor(ln(weight) / r + b) the sample is the term of the least ln(c) - r * (t - b + 1), together
 with t. Two texts agree in a sample with a probability of their generalised Jaccard similarity.
 
-Words are hashed, sorted and counted within the row; the rows of its terms are folded to SAMPLES
+Words are hashed, sorted and counted within the row, those of a text and its edited form together, so that
+terms of both share their draws; the rows of its terms are folded to SAMPLES
 minima by an aggregation whose partitioning the texts already have, so that only whole texts and
 finished fingerprints cross a shuffle. A sample packs the order of its value into the upper half of a
 long and a hash of (term, t) into the lower; the minimum then is the sample.
@@ -35,10 +36,10 @@ SEED = 77
 STEPS = 1 << 24
 
 
-def term_weights(text: Column) -> Column:
-    """The distinct words of a text as an array of (term hash, count)."""
-    words = F.sort_array(F.transform(F.split(F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), " "), lambda w: F.xxhash64(w)))
-    return words
+def hashed_words(text: Column, kind: int) -> Column:
+    """The lower-case words of a text as hashes whose last bit is kind."""
+    words = F.split(F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), " ")
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(-2).bitwiseOR(kind))
 
 
 def _starts(words: Column) -> Column:
@@ -64,34 +65,51 @@ _X = (np.arange(1 << 16) + 0.5) / (1 << 16)
 _LOG = np.polyfit(_X, -np.log((1 + _X) / 2), 6)
 
 
-def _sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """A long: the order of the sample's value, then a hash of (term, t)."""
+def _draws(term: Column, k: Column) -> tuple[Column, Column, Column, Column]:
+    """r, ln(c), b of a term's k-th sample, and a hash for its name."""
     h1 = F.xxhash64(term, k, F.lit(SEED))
     h2 = F.xxhash64(h1)
     h3 = F.xxhash64(h2)
     r = _exponential(h1) + _exponential(F.shiftrightunsigned(h1, 32))
     log_c = F.log(_exponential(h2) + _exponential(F.shiftrightunsigned(h2, 32)))
     b = (F.shiftrightunsigned(h3, 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    return r, log_c, b, h3
+
+
+def _sample(r: Column, log_c: Column, b: Column, h3: Column, log_weight: Column) -> Column:
+    """A long: the order of the sample's value, then a hash of (term, t). Null without a weight."""
     t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
     value = log_c - r * (t - b + 1)
     # Within a step the hash of (term, t) decides.
     order = F.least(F.greatest(((value + 64) * STEPS).cast("long"), F.lit(0)), F.lit((1 << 31) - 1))
-    return F.shiftleft(order, 32).bitwiseOR(F.shiftrightunsigned(h3, 32).bitwiseXOR(t.bitwiseAND((1 << 32) - 1)))
+    return F.when(log_weight.isNotNull(), F.shiftleft(order, 32).bitwiseOR(F.shiftrightunsigned(h3, 32).bitwiseXOR(t.bitwiseAND((1 << 32) - 1))))
+
 
+def fingerprints(rows: DataFrame, keys: list[str], texts: tuple[str, ...] = ("text",)) -> DataFrame:
+    """keys and one or two texts -> keys and, for each text, its fingerprint (an array of SAMPLES longs) under its name.
 
-def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, text -> keys, fingerprint (an array of SAMPLES longs); rows must be partitioned by keys or some of them."""
-    words = rows.select(*keys, term_weights(F.col("text")).alias("words"))
-    found = words.select(*keys, "words", _starts(F.col("words")).alias("starts"))
-    # (term, weight): a term's count is the way to the next start.
+    rows must be partitioned by keys or some of them. Two texts of a row share the draws of the terms that both have.
+    """
+    words = F.concat(*(hashed_words(F.col(c), kind) for kind, c in enumerate(texts)))
+    found = rows.select(*keys, F.sort_array(words).alias("words")).select(*keys, "words", _starts(F.col("words")).alias("starts"))
+    # A run's count is the way to the next start; a term's run of the first text stands before that of the second.
     ends = lambda i: F.coalesce(F.get("starts", i + 1), F.size("words"))
-    terms = F.transform("starts", lambda s, i: F.struct(F.get("words", s).alias("term"), F.log((ends(i) - s).cast("double")).alias("w")))
-    exploded = found.select(*keys, F.explode(terms).alias("x")).select(*keys, "x.term", "x.w")
+    runs = F.transform("starts", lambda s, i: F.struct(F.get("words", s).alias("v"), F.log((ends(i) - s).cast("double")).alias("w")))
+    found = found.select(*keys, runs.alias("runs"))
+    run = lambda i: F.get("runs", i)
+    second = lambda x: x["v"].bitwiseAND(1) == 1
+    same = lambda x, y: F.coalesce(x["v"].bitwiseAND(-2) == y["v"].bitwiseAND(-2), F.lit(False))
+    terms = F.transform("runs", lambda x, i: F.when(~second(x) | (i == 0) | ~same(x, run(i - 1)), F.struct(x["v"].bitwiseAND(-2).alias("term"), F.when(~second(x), x["w"]).alias("w0"), F.when(second(x), x["w"]).when(same(x, run(i + 1)), run(i + 1)["w"]).alias("w1"))))
+    exploded = found.select(*keys, F.explode(F.filter(terms, lambda x: x.isNotNull())).alias("x")).select(*keys, "x.term", "x.w0", "x.w1")
     exploded = exploded.withColumn("g", F.explode(F.array(*(F.lit(g) for g in range(0, SAMPLES, GROUP)))))
-    folded = exploded.groupBy(*keys, "g").agg(*(F.min(_sample(F.col("term"), F.col("w"), F.col("g") + F.lit(k))).alias(f"m{k}") for k in range(GROUP)))
+    draws = [[x.alias(f"{n}{k}") for n, x in zip("rcbh", _draws(F.col("term"), F.col("g") + F.lit(k)), strict=True)] for k in range(GROUP)]
+    drawn = exploded.select(*keys, "g", "w0", "w1", *(x for own in draws for x in own))
+    least = [F.min(_sample(*(F.col(f"{n}{k}") for n in "rcbh"), F.col(f"w{kind}"))).alias(f"m{kind}{k}") for kind in range(len(texts)) for k in range(GROUP)]
+    folded = drawn.groupBy(*keys, "g").agg(*least)
     low = lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
-    parts = folded.select(*keys, "g", F.array(*(low(f"m{k}") for k in range(GROUP))).alias("part"))
-    return parts.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", "part"))), lambda x: x["part"])).alias("fingerprint"))
+    parts = folded.select(*keys, "g", *(F.array(*(low(f"m{kind}{k}") for k in range(GROUP))).alias(f"part{kind}") for kind in range(len(texts))))
+    whole = F.array_sort(F.collect_list(F.struct("g", *(f"part{kind}" for kind in range(len(texts))))))
+    return parts.groupBy(*keys).agg(whole.alias("parts")).select(*keys, *(F.flatten(F.col(f"parts.part{kind}")).alias(c) for kind, c in enumerate(texts)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -134,11 +152,9 @@ def report(docs: DataFrame) -> DataFrame:
     heads = texts.join(asked, ["id", "h"]).select(F.col("for_id").alias("id"), F.col("for_h").alias("h"), F.expr("substring(text, 1, cut)").alias("head"), "cut")
     both = texts.join(heads, ["id", "h"])
     edited = F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.col("head"))
-    both = both.select("id", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), edited.alias("text")))).alias("v")).select("id", "h", "v.kind", "v.text")
-    marks = fingerprints(both, ["id", "h", "kind"])
-    digests = both.where("kind = 1").select("id", "h", F.sha2("text", 256).alias("edited_sha256"))
-    pick = lambda k: F.first(F.when(F.col("kind") == k, F.col("fingerprint")), ignorenulls=True)
-    own = marks.groupBy("id", "h").agg(pick(0).alias("own"), pick(1).alias("edited"))
+    both = both.select("id", "h", F.col("text").alias("own"), edited.alias("edited"))
+    own = fingerprints(both, ["id", "h"], ("own", "edited"))
+    digests = both.select("id", "h", F.sha2("edited", 256).alias("edited_sha256"))
     # Written, since a fingerprint is wanted twice: for its document and for the one before.
     own = written(own.join(digests, ["id", "h"]).join(order, ["id", "h"]), "fingerprints")
     after = own.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("after"))

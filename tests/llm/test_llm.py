@@ -260,7 +260,7 @@ def test_fingerprint_error_at_the_near_line(spark):
     for i in range(0, 800, 2):
         w = [f"w{x}" for x in rng.choice(10**6, 40, replace=False)]
         rows += [(i, " ".join(w[:35])), (i + 1, " ".join(w[:30] + w[35:]))]
-    marks = {r.id: [int(x) for x in r.fingerprint] for r in cws.fingerprints(spark.createDataFrame(rows, "id long, text string").repartition(4, "id"), ["id"]).collect()}
+    marks = {r.id: [int(x) for x in r.text] for r in cws.fingerprints(spark.createDataFrame(rows, "id long, text string").repartition(4, "id"), ["id"]).collect()}
     shares = np.array([np.mean(np.array(marks[i]) == np.array(marks[i + 1])) for i in range(0, 800, 2)])
     assert min(map(len, marks.values())) >= 64
     assert abs(shares.mean() - 0.75) < 0.015 and shares.std() < 0.063
