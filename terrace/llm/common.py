@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,14 +95,20 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def trim() -> None:
-    """Give freed memory of a Python worker back; workers outlive their tasks."""
-    import ctypes
+@lru_cache(1)
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, told to take every block of a megabyte or more from the system and to give it back when it is freed."""
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        library.mallopt(-3, 1 << 20)
+    except (OSError, AttributeError):  # another C library
+        return None
+    pa.set_memory_pool(pa.system_memory_pool())
+    return library
 
-    import pyarrow as pa
 
+def trim() -> None:
+    """Give freed memory of a Python worker back; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if (library := _allocator()) is not None:
+        library.malloc_trim(0)

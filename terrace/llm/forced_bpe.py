@@ -146,7 +146,10 @@ class ForcedBPE:
 @lru_cache(2)
 def forced_bpe(path: str) -> ForcedBPE:
     """One coder a worker: it outlives the tasks."""
-    return ForcedBPE(path)
+    trim()
+    coder = ForcedBPE(path)
+    trim()
+    return coder
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") -> DataFrame:

@@ -197,6 +197,7 @@ def train(docs: DataFrame) -> Markov:
                 for text in batch["text"]:
                     counts += pair_counts(runs_of(text.as_py() or ""))
             at = np.flatnonzero(counts)
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
 
         return count
