@@ -6,11 +6,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words everywhere here: runs of characters other than blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,6 +71,25 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def by_arrow(df: DataFrame, kept: list[str], source: str, fields: T.StructType, work: Callable[[pa.Array], Iterator[tuple[int, int, dict[str, pa.Array]]]]) -> DataFrame:
+    """The kept columns of df and new fields that work() makes of the column source, as (first row, rows, columns by name) of each
+    part of a batch; one named like the source takes its place. Columns are numbered on the way, so they may have any name."""
+    places = {c: f"c{i}" for i, c in enumerate(kept)}
+    inside = [F.col(quoted(c)).alias(p) for c, p in places.items()]
+    given = [T.StructField(p, df.schema[c].dataType) for c, p in places.items()]
+    new = [f for f in fields if f.name not in places]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, made in work(batch["source"]):
+                columns = [made[c] if c in made else batch[p].slice(lo, n) for c, p in places.items()] + [made[f.name] for f in new]
+                yield pa.RecordBatch.from_arrays(columns, [*places.values(), *(f"n{i}" for i in range(len(new)))])
+            trim()
+
+    schema = T.StructType([*given, *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new))])
+    return df.select(*inside, F.col(quoted(source)).alias("source")).mapInArrow(run, schema).toDF(*kept, *(f.name for f in new))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """For small frames: Spark's reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

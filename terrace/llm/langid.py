@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.llm.common import quoted, trim
+from terrace.llm.common import by_arrow, trim
 from terrace.llm.ngram_join import mix
 from terrace.llm.words import slices
 
@@ -229,15 +229,12 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     kept = [c for c in docs.columns if c not in RESULTS]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, texts in slices(batch["text"], SLICE_BYTES):
-                got = list(zip(*sent.value.predict(texts.to_pylist()), strict=True))
-                new = [pa.array(x, t) for x, (_, t) in zip(got, RESULTS.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, len(texts)) for c in kept), *new], [*kept, *RESULTS])
-            trim()
+    def work(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array]]]:
+        for lo, some in slices(texts, SLICE_BYTES):
+            got = list(zip(*sent.value.predict(some.to_pylist()), strict=True))
+            yield lo, len(some), {c: pa.array(x, t) for (c, (_, t)), x in zip(RESULTS.items(), got, strict=True)}
 
-    return docs.select(*map(quoted, kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, t) for c, (t, _) in RESULTS.items())]))
+    return by_arrow(docs, kept, "text", T.StructType([T.StructField(c, t) for c, (t, _) in RESULTS.items()]), work)
 
 
 def report(docs: DataFrame) -> DataFrame:

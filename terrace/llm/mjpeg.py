@@ -8,11 +8,13 @@ a baseline decoder reads every coefficient back exactly.
 
 Reading: the RIFF tree is walked, frames are found by the idx1 index (or, where it is absent or wrong,
 by walking the movi list), and baseline frames are decoded: this file's own kind by reshaping bits,
-any other (three components or one, no subsampling beyond 4:4:4 needed) by a plain Huffman decoder.
-Shots are cut where the luminance histogram's difference exceeds an adaptive threshold.
+any other, subsampled ones included, by a plain Huffman decoder. Shots are cut where the luminance
+histogram's difference exceeds an adaptive threshold.
 
 Defined results: null text counts as empty; an empty payload is one MCU of blanks; bytes that are no
-AVI give no frames, no clips and an empty payload; an empty table gives no rows.
+AVI give no frames, no clips and an empty payload; a frame that can't be read (damaged, progressive,
+without its tables) or a file cut short leaves what was read before and after, and media_error says what
+was wrong first, else it is null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from terrace.llm.common import by_arrow
 from terrace.llm.words import raw, slices
 
 MCU = 192
 MCUS_A_FRAME = 16
 FPS = 25
 BINS = 16
-#: A difference of histograms is a cut beyond LEAST_CUT and beyond mean + SPREAD deviations of the WINDOW before.
-LEAST_CUT, SPREAD, WINDOW = 0.25, 3.0, 12
+#: A difference of histograms is a cut beyond LEAST_CUT and beyond mean + SPREAD deviations of the WINDOW before; with less than SOME
+#: differences before, beyond FIRST_CUT.
+LEAST_CUT, SPREAD, WINDOW, SOME, FIRST_CUT = 0.08, 3.0, 12, 3, 0.25
 
 #: The coefficients' zigzag order, by diagonals that turn at the edges.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -205,12 +210,14 @@ def parse_jpeg(frame: bytes) -> Jpeg:
     raise ValueError("no scan")
 
 
-def _huffman_blocks(jpeg: Jpeg) -> np.ndarray:
-    """Coefficients (MCU, component, 64) of any baseline frame without subsampling, bit by bit."""
-    if any(sampling != 0x11 for _, sampling, _ in jpeg.components):
-        raise ValueError("subsampled frames are not read")
-    total = -(-jpeg.height // 8) * -(-jpeg.width // 8)
-    out, done = np.zeros((total, len(jpeg.scan), 64), np.int32), 0
+def _huffman_blocks(jpeg: Jpeg) -> list[np.ndarray]:
+    """Coefficients (blocks, 64) of each component of any baseline frame, in the scan's order, bit by bit."""
+    sampling = {c: (s >> 4, s & 15) for c, s, _ in jpeg.components}
+    # A scan of one component has a block a unit, whatever its sampling.
+    shape = [sampling[c] if len(jpeg.scan) > 1 else (1, 1) for c, _ in jpeg.scan]
+    wide, high = (8 * max(x[i] for x in shape) for i in range(2))
+    total = -(-jpeg.height // high) * -(-jpeg.width // wide)
+    out, done = [np.zeros((total * h * v, 64), np.int32) for h, v in shape], 0
     for part in re.split(rb"\xff[\xd0-\xd7]", jpeg.data):
         bits = np.unpackbits(np.frombuffer(part.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
         at, last = 0, [0] * len(jpeg.scan)
@@ -218,6 +225,8 @@ def _huffman_blocks(jpeg: Jpeg) -> np.ndarray:
         def take(n: int) -> int:
             nonlocal at
             value = 0
+            if at + n > len(bits) + 16:
+                raise ValueError("the scan ends early")
             for b in bits[at : at + n]:
                 value = value << 1 | b
             at += n
@@ -237,16 +246,18 @@ def _huffman_blocks(jpeg: Jpeg) -> np.ndarray:
 
         for _ in range(min(jpeg.restart or total, total - done)):
             for c, (_, tables) in enumerate(jpeg.scan):
-                last[c] += value(symbol(jpeg.tables[tables >> 4]))
-                out[done, c, 0], k = last[c], 1
-                while k < 64:
-                    s = symbol(jpeg.tables[0x10 | tables & 15])
-                    if s == 0:
-                        break
-                    k += s >> 4
-                    if s & 15:
-                        out[done, c, k] = value(s & 15)
-                    k += 1
+                each = shape[c][0] * shape[c][1]
+                for block in range(done * each, (done + 1) * each):
+                    last[c] += value(symbol(jpeg.tables[tables >> 4]))
+                    out[c][block, 0], k = last[c], 1
+                    while k < 64:
+                        s = symbol(jpeg.tables[0x10 | tables & 15])
+                        if s == 0:
+                            break
+                        k += s >> 4
+                        if s & 15:
+                            out[c][block, k] = value(s & 15)
+                        k += 1
             done += 1
     return out
 
@@ -261,17 +272,18 @@ def decode_units(jpeg: Jpeg) -> np.ndarray | None:
     return None if bits[:, :, 0].any() else np.packbits(bits[:, :, 1:], axis=2).reshape(len(parts), MCU)
 
 
-def coefficients(jpeg: Jpeg) -> np.ndarray:
+def coefficients(jpeg: Jpeg) -> list[np.ndarray]:
+    """(blocks, 64) of each component."""
     units = decode_units(jpeg)
     if units is None:
         return _huffman_blocks(jpeg)
     values = units.astype(np.int32)
-    return np.where(values >= 128, values, values - 255).reshape(-1, 3, 64)
+    return list(np.where(values >= 128, values, values - 255).reshape(-1, 3, 64).transpose(1, 0, 2))
 
 
-def luminance(jpeg: Jpeg, blocks: np.ndarray) -> np.ndarray:
-    """Samples 0 to 255 of the first component, (MCU, 64)."""
-    scaled = (blocks[:, 0] * jpeg.quantisers[jpeg.components[0][2]]).astype(np.float32)
+def luminance(jpeg: Jpeg, blocks: list[np.ndarray]) -> np.ndarray:
+    """Samples 0 to 255 of the first component, (blocks, 64)."""
+    scaled = (blocks[0] * jpeg.quantisers[jpeg.components[0][2]]).astype(np.float32)
     return np.clip(np.rint(scaled @ INVERSE + 128), 0, 255).astype(np.uint8)
 
 
@@ -283,28 +295,36 @@ def clips(histograms: np.ndarray) -> list[tuple[int, int]]:
     cuts = []
     for t, d in enumerate(steps):
         before = steps[max(0, t - WINDOW) : t]
-        if d > max(LEAST_CUT, before.mean() + SPREAD * before.std() if len(before) else 0):
+        if d > (max(LEAST_CUT, before.mean() + SPREAD * before.std()) if len(before) >= SOME else FIRST_CUT):
             cuts.append(t + 1)
     return list(zip([0, *cuts], [*cuts, len(histograms)], strict=True))
 
 
-def read_media(media: bytes) -> tuple[bytes, str, list[dict]]:
-    """(payload, feature, clips) of an AVI file; feature: frame size, frames, clips' frames and mean histogram."""
-    avi = read_avi(media)
+def read_media(media: bytes) -> tuple[bytes, str, list[dict], str | None]:
+    """(payload, feature, clips, error) of an AVI file; feature: frame size, frames, clips' frames and mean histogram."""
+    avi, error = Avi(), None
+    try:
+        avi = read_avi(media)
+    except (ValueError, IndexError, struct.error) as e:
+        error = f"file: {e}"
     units, histograms = [], []
-    for frame in avi.frames:
-        jpeg = parse_jpeg(frame)
-        own = decode_units(jpeg)
+    for i, frame in enumerate(avi.frames):
+        try:
+            jpeg = parse_jpeg(frame)
+            own = decode_units(jpeg)
+            light = luminance(jpeg, coefficients(jpeg))
+            histograms.append(np.bincount((light >> 4).ravel(), minlength=BINS) / light.size)
+        except (ValueError, IndexError, KeyError, ZeroDivisionError, struct.error) as e:
+            error = error or f"frame {i}: {type(e).__name__} {e}"
+            continue
         if own is not None:
             units.append(own)
-        light = luminance(jpeg, coefficients(jpeg))
-        histograms.append(np.bincount((light >> 4).ravel(), minlength=BINS) / light.size)
     shots = clips(np.array(histograms))
     payload = np.concatenate(units).tobytes()[: avi.payload_bytes] if units else b""
     mean = np.mean(histograms, axis=0) if histograms else np.zeros(BINS)
     feature = f"{avi.width}x{avi.height};frames={len(avi.frames)};clips={','.join(f'{a}-{b}' for a, b in shots)};hist={','.join(str(round(1000 * x)) for x in mean.tolist())}"
     rows = [{"clip": i, "first_frame": a, "last_frame": b - 1, "start_s": a / avi.fps, "end_s": b / avi.fps} for i, (a, b) in enumerate(shots)] if avi.fps else []
-    return payload, feature, rows
+    return payload, feature, rows, error
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -328,20 +348,17 @@ CLIP = "array<struct<clip:long,first_frame:long,last_frame:long,start_s:double,e
 
 def decode_media(media: DataFrame) -> DataFrame:
     """Adds payload, feature and clips to rows with a column media; the other columns stay."""
-    kept = [c for c in media.columns if c not in ("payload", "feature", "clips")]
-    types = dict(media.dtypes)
+    new_columns = ("payload", "feature", "clips", "media_error")
+    kept = [c for c in media.columns if c not in new_columns]
     clip_type = pa.list_(pa.struct([("clip", pa.int64()), ("first_frame", pa.int64()), ("last_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                got = [read_media(x.as_py() or b"") for x in some["media"]]
-                new = [pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], clip_type)]
-                yield pa.RecordBatch.from_arrays([*(some[c] for c in kept), *new], [*kept, "payload", "feature", "clips"])
+    def work(files: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array]]]:
+        for lo in range(0, len(files), 512):
+            got = list(zip(*(read_media(x.as_py() or b"") for x in files.slice(lo, 512)), strict=True))
+            kinds = (pa.binary(), pa.string(), clip_type, pa.string())
+            yield lo, len(got[0]), {c: pa.array(x, kind) for c, x, kind in zip(new_columns, got, kinds, strict=True)}
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "payload binary", "feature string", f"clips {CLIP}"])
-    return media.select(*kept).mapInArrow(run, schema)
+    return by_arrow(media, kept, "media", T.StructType.fromDDL(f"payload binary, feature string, clips {CLIP}, media_error string"), work)
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:
@@ -361,4 +378,6 @@ def media_digests(docs: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "clips",
+        "media_error",
     )

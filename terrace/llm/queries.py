@@ -23,7 +23,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.ngram_join import clusters
 
-    return clusters(documents(spark, sf_dir))
+    return clusters(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,13 @@ def op10_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_lattice_lm, op4_pareto_mix, op5_secret_scan, op6_forced_bpe, op7_language_id, op8_weighted_fingerprints, op9_pfp_dedup, op10_mjpeg)}
-ORACLES: dict[str, str] = {}
+
+#: The n-gram join by comparing all texts that share a shingle; components by a recursive union.
+OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS set FROM s), c AS (SELECT set, min(doc_id) AS class, min(n) AS n FROM k WHERE n > 0 GROUP BY set),
+x AS (SELECT c.class, c.n, unnest(s.g) AS g FROM c JOIN s ON s.doc_id = c.class),
+p AS (SELECT a.class AS a, b.class AS b FROM x a JOIN x b ON a.g = b.g AND a.class < b.class GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(node, seen) AS (SELECT class, class FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen), m AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(m.root, k.doc_id) AS component_id, coalesce(c.class, k.doc_id) AS class_id FROM k LEFT JOIN c ON c.set = k.set AND k.n > 0 LEFT JOIN m ON m.node = c.class"""
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2}

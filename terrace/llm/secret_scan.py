@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.llm.common import quoted, trim
+from terrace.llm.common import by_arrow, trim
 from terrace.llm.words import slices
 
 # The plain patterns and their least lengths.
@@ -42,8 +42,12 @@ KINDS = ("assign", "access", "hex", "markov")
 
 SLICE_BYTES = 4 << 20
 #: Characters of the shortest run that is scored and of the shortest random string.
-LEAST_RUN = 16
-ANY_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST_RUN = 12
+ANY_RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}")
+#: What is ordinary by its form: UUIDs, and words between separators, which are shorter than KEY_WORD.
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+WORD_PIECE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z0-9])")
+KEY_WORD = 16
 SEPARATORS = "+/_.=-"
 WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
@@ -113,7 +117,13 @@ class Markov:
         codes = CODE[np.frombuffer(("\0" + run).encode("ascii"), np.uint8)]
         gains = np.minimum(self.ratios[codes[:-1], codes[1:]], MOST_GAIN)
         seam = codes >= SEPARATED
-        return np.where(seam[:-1] | seam[1:], np.minimum(gains, 0.0), gains)
+        gains = np.where(seam[:-1] | seam[1:], np.minimum(gains, 0.0), gains)
+        for m in WORD_PIECE.finditer(run):
+            if len(m[0]) < KEY_WORD:
+                gains[m.start() : m.end()] = np.minimum(gains[m.start() : m.end()], 0.0)
+        for m in UUID.finditer(run):
+            gains[m.start() : m.end()] = -MOST_GAIN
+        return gains
 
     def segments(self, run: str) -> list[tuple[int, int]]:
         """(start, end) of the run's random segments, widened to separators, in ascending order."""
@@ -242,20 +252,16 @@ def scan(docs: DataFrame, model: Markov) -> DataFrame:
     """docs with a column spans; the other columns stay."""
     kept = [c for c in docs.columns if c != "spans"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, texts in slices(batch["text"], SLICE_BYTES):
-                found = [[{"kind": k, "start": a, "end": b} for a, b, k in model.spans(t.as_py())] if t.is_valid else [] for t in texts]
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(lo, len(texts)) for c in kept), pa.array(found, _SPANS)], [*kept, "spans"])
-            trim()
+    def work(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array]]]:
+        for lo, some in slices(texts, SLICE_BYTES):
+            found = [[{"kind": k, "start": a, "end": b} for a, b, k in model.spans(t.as_py())] if t.is_valid else [] for t in some]
+            yield lo, len(some), {"spans": pa.array(found, _SPANS)}
 
-    return docs.select(*map(quoted, kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL(f"spans {SPANS}")]))
+    return by_arrow(docs, kept, "text", T.StructType.fromDDL(f"spans {SPANS}"), work)
 
 
 def redacted(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text, overlapping ones together, replaced by mark; rows and columns stay."""
-    kept = docs.columns
-
     def clean(text: str | None) -> str | None:
         spans = model.spans(text) if text else []
         out, last = [], 0
@@ -265,14 +271,11 @@ def redacted(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFram
                 last = b
         return "".join([*out, text[last:]]) if spans else text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, texts in slices(batch["text"], SLICE_BYTES):
-                cleaned = pa.array([clean(t.as_py()) for t in texts], batch["text"].type)
-                yield pa.RecordBatch.from_arrays([cleaned if c == "text" else batch[c].slice(lo, len(texts)) for c in kept], kept)
-            trim()
+    def work(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, pa.Array]]]:
+        for lo, some in slices(texts, SLICE_BYTES):
+            yield lo, len(some), {"text": pa.array([clean(t.as_py()) for t in some], texts.type)}
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_arrow(docs, docs.columns, "text", T.StructType([docs.schema["text"]]), work)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -154,6 +155,8 @@ def test_secret_spans(spark, docs, empty):
     model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert [k for *_, k in model.spans("key qZ7xW2vK9pL4mN8rT5yB3cD6 here")] == ["markov"]
     assert model.spans("onlyordinarywordsinthistext internationalization2 here") == []
+    docs = docs.withColumnsRenamed({"n_chars": "a`b", "spans": "c0", "lang": "source "})
+    assert secret_scan.scan(docs, model).columns == [*docs.columns, "spans"] and langid.identify(docs, langid.train(docs.withColumn("lang", F.lit("en")))).columns == [*docs.columns, *langid.RESULTS]
     out = secret_scan.redacted(docs, model)
     assert out.columns == docs.columns and out.where("text like '%AKIA%'").count() == 0
     assert secret_scan.scan(docs, model).schema["spans"].dataType.simpleString().startswith("array")
@@ -244,11 +247,13 @@ def test_media(spark, docs, empty):
     broken = avi.replace(b"idx1", b"JUNK")
     assert mjpeg.read_media(broken)[0] == bytes(range(256)) * 24
     jpeg = mjpeg.parse_jpeg(mjpeg.read_avi(avi).frames[0])
-    assert (mjpeg._huffman_blocks(jpeg) == mjpeg.coefficients(jpeg)).all()
+    assert all((a == b).all() for a, b in zip(mjpeg._huffman_blocks(jpeg), mjpeg.coefficients(jpeg), strict=True))
     image = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(mjpeg.read_avi(avi).frames[0]))
     assert (image.getWidth(), image.getHeight()) == (jpeg.width, jpeg.height)
     light = np.zeros((20, 16))
     light[:10, 0], light[10:, 9] = 1, 1
+    rows = mjpeg.clip_rows(mjpeg.decode_media(spark.createDataFrame([(1, bytearray(mjpeg.write_avi(prose(6, 2000).encode()[:6144] + bytes(range(256)) * 48)), "x")], "doc_id long, media binary, b string").withColumnRenamed("b", "a`b"))).collect()
+    assert [r.clip for r in rows] == list(range(len(rows))) and len(rows) == 2 and rows[0].start_s == 0 and rows[0].end_s == rows[1].start_s == pytest.approx(2 / 25)
     assert mjpeg.clips(light) == [(0, 10), (10, 20)]
     assert mjpeg.media_digests(empty).count() == 0
 
@@ -308,3 +313,80 @@ def test_secret_segments(spark):
         assert found(f"the {before}{key}{after} of") == [key]
     assert found("a kQ7xZ9f8e7d6c5b4a39281WqzKp b") == ["kQ7xZ", "WqzKp"]
     assert [k for *_, k in model.spans("a 4713332104704538 b")] == ["hex"]
+
+
+def test_recall_and_precision_of_secrets(spark):
+    model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    letters = secret_scan.ALPHABET
+    for k, alphabet in enumerate((letters[:62], letters[:64], letters[:62] + "-_", letters[26:62], letters[:26] + letters[52:62], letters[:52])):
+        for size in (12, 16, 24, 40):
+            keys = _keys(100 * k + size, 150, alphabet, size)
+            assert sum(sum(b - a for a, b, _ in model.spans(f"the key {x} here")) >= 0.75 * size for x in keys) >= 0.9 * len(keys)
+    rng = np.random.default_rng(9)
+    plain = [str(uuid.UUID(bytes=rng.bytes(16))) for _ in range(100)] + """https://www.example.com/products/category/item-description.html /usr/local/lib/python3.11/site-packages/numpy/core getElementsByTagName
+        my_very_long_identifier_name_for_testing com.example.application.services.UserService 2024-05-17T12:33:45.123Z user.name+tag@example.com README_INSTALLATION_GUIDE.md""".split()
+    assert not [x for x in plain if any(k == "markov" for *_, k in model.spans(f"see {x} there"))]
+
+
+def test_likeness_is_the_generalised_jaccard_similarity(spark):
+    rng = np.random.default_rng(10)
+    texts = []
+    for i in range(60):
+        a = [f"w{i}x{x}" for x in rng.integers(0, 40, 150)]  # words of its own: draws are shared by word
+        b = [x if rng.random() > i / 60 else f"v{i}x{rng.integers(0, 30)}" for x in a]
+        texts.append((i, " ".join(a), " ".join(b)))
+    rows = cws.fingerprints(spark.createDataFrame(texts, "id long, own string, edited string").repartition(4, "id"), ["id"], ("own", "edited")).collect()
+    singly = {r.id: r.edited for r in cws.fingerprints(spark.createDataFrame(texts, "id long, own string, edited string").repartition(4, "id"), ["id"], ("edited",)).collect()}
+    got = {r.id: np.mean(np.array(r.own) == np.array(r.edited)) for r in rows}
+    assert all(singly[r.id] == r.edited for r in rows)
+    count = lambda x: collections.Counter(x.split())
+    true = {i: sum((count(a) & count(b)).values()) / sum((count(a) | count(b)).values()) for i, a, b in texts}
+    errors = np.array([got[i] - true[i] for i in true])
+    assert abs(errors.mean()) < 0.02 and errors.std() < 0.07
+
+
+def test_long_words_and_absent_labels(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = lattice_lm.Pieces.of(path)
+    logs, word = np.log(pieces.first), prose(7, 60).replace(" ", "").encode()
+    assert lattice_lm.long_word_log(pieces, logs, word) == pytest.approx(lattice_lm.forward(list(lattice_lm.arcs(pieces, m := next(lattice_lm.by_length([word]))[1])), logs, *m.shape)[-1, 0])
+    rows = spark.createDataFrame([(i, prose(i, 30)) for i in range(30)] + [(99, "Zq9" * 50_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice_lm.scores(rows, path, 1).collect()}
+    assert got[99].n_tokens == 2 and np.isfinite(got[99].score)
+
+
+def test_frames_that_are_damaged_cut_short_or_subsampled(spark):
+    avi = mjpeg.write_avi(np.random.default_rng(0).bytes(256 * 48))
+    frames = mjpeg.read_avi(avi).frames
+    hurt = avi.replace(frames[1], b"\xff\xd8" + b"\0" * (len(frames[1]) - 2))
+    payload, feature, clips, error = mjpeg.read_media(hurt)
+    assert error.startswith("frame 1") and "frames=4" in feature and clips and payload
+    assert mjpeg.read_media(frames[0].replace(b"\xff\xc0", b"\xff\xc2"))[3] is None and mjpeg.read_media(avi)[3] is None
+    for size in (3, 13, 90, 300, len(avi) // 2):
+        assert mjpeg.read_media(avi[:size])[0] == avi[:0] or mjpeg.read_media(avi[:size])[1]
+    jvm, out = spark._jvm, spark._jvm.java.io.ByteArrayOutputStream()
+    image = jvm.java.awt.image.BufferedImage(40, 24, 1)
+    for y in range(24):
+        for x in range(40):
+            image.setRGB(x, y, (6 * x) << 16 | (10 * y) << 8 | (255 - 6 * x))
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    jpeg = mjpeg.parse_jpeg(bytes(out.toByteArray()))
+    assert any(s != 0x11 for _, s, _ in jpeg.components)
+    light = mjpeg.luminance(jpeg, mjpeg.coefficients(jpeg))
+    expected = np.mean([0.299 * 6 * x + 0.587 * 10 * y + 0.114 * (255 - 6 * x) for y in range(16) for x in range(32)])
+    blocks = light.reshape(-1, 2, 2, 64)[[0, 1]]  # the MCUs of the first row that lie inside
+    assert abs(blocks.mean() - expected) < 3
+
+
+def test_ngram_join_gives_what_its_sql_gives(spark):
+    import duckdb
+
+    from terrace.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    df = QUERIES["op2_ngram_join"](spark, folder)
+    result = con.execute(ORACLES["op2_ngram_join"])
+    assert [d[0] for d in result.description] == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(result.fetchall())
