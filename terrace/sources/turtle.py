@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
-from terrace.plans.graph import QUAD
+from terrace.plans.graph import QUAD, GraphContext
 
 TOKEN = re.compile(
     r'(?P<space>[ \t\r\n]+|#[^\n]*)|(?P<iri><[^<>"{}|^`\\\x00-\x20]*>)|(?P<text>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|\'(?:[^\'\\\n]|\\.)*\')'
@@ -163,6 +163,16 @@ def parse_column(files: DataFrame, prefix: str) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, QUAD)
 
 
+def parse_layer(spark: SparkSession, text: str, prefix: str) -> DataFrame:
+    """Quads of one Turtle text that is at hand, such as an upload; TurtleError before anything is made of it."""
+    return spark.createDataFrame([(*row, f"urn:graph:{prefix}") for row in parse(text, f"{prefix}n")], QUAD)
+
+
+def load_layer(ctx: GraphContext, prefix: str, text: str) -> GraphContext:
+    """ctx with a layer read from Turtle text added or replaced; what can't be read leaves ctx as it is."""
+    return ctx.with_layer(prefix, parse_layer(ctx.spark, text, prefix))
+
+
 def value_lists(quads: DataFrame, most: int = 1000) -> DataFrame:
     """head, place, value of RDF lists."""
     first = quads.where(F.col("p") == t.RDF + "first").select(F.col("s").alias("node"), F.col("o").alias("value"))

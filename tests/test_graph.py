@@ -7,7 +7,7 @@ from terrace.functions import terms as t
 from terrace.operators import compare, generate, intake, trace
 from terrace.plans.graph import QUAD, GraphContext, closure
 from terrace.sources import records
-from terrace.sources.turtle import TurtleError, parse, read_turtle, write_turtle
+from terrace.sources.turtle import TurtleError, parse, parse_layer, read_turtle, value_lists, write_turtle
 
 NS, V = "http://k/ns-ref#", "http://k/ns-v#"
 
@@ -67,6 +67,7 @@ def test_turtle_terms_and_round_trip(spark, tmp_path):
     rows = parse(TTL)
     objects = {(o, kind, dt, lang) for _, _, _, o, kind, dt, lang in rows}
     assert {('a "q"', "lit", None, None), ("b", "lit", None, "en"), ("3", "lit", t.XSD + "integer", None), ("2.5", "lit", t.XSD + "decimal", None), ("true", "lit", t.XSD + "boolean", None)} <= objects
+    assert [(r.place, r.value) for r in value_lists(parse_layer(spark, TTL, "ref")).orderBy("place").collect()] == [(0, "u"), (1, "v")]
     assert sum(p == t.RDF + "first" for _, _, p, *_ in rows) == 2
     with pytest.raises(TurtleError):
         parse("x:y a x:z .")
