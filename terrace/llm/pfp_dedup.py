@@ -45,8 +45,8 @@ ENTRY = 200
 BASE, BASE2 = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
 SLICE_BYTES = 1 << 20
 BUCKET_BYTES = 12 << 20
-#: Occurrences that a task sends at a time.
-CHUNK = 100_000
+#: Occurrences that a task sends at a time, and those whose bytes are gathered or compared side by side (with all of the last key's).
+CHUNK, SIDE = 50_000, 8_000
 
 #: A fixed odd 64-bit number for each byte.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -174,6 +174,20 @@ def _first_level(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 SENT = {"steps": "u8", "check": "u4", "rows": "u4", "place": "u4", "before": "u1", "after": "u1"}
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """data[starts[i] : starts[i] + sizes[i]] of every i, one after the other, SIDE at a time."""
+    return b"".join([ragged(data, starts[i : i + SIDE], sizes[i : i + SIDE]).tobytes() for i in range(0, len(starts), SIDE)])
+
+
+def beside(rows: int, width: int, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Each row's bytes of data from column shift on, zeros around them."""
+    out = np.zeros((rows, width), np.uint8)
+    for i in range(0, rows, SIDE):
+        own, at = sizes[i : i + SIDE], np.arange(i, min(rows, i + SIDE)) * width + shift[i : i + SIDE]
+        out.ravel()[np.repeat(at - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] = ragged(data, starts[i : i + SIDE], own)
+    return out
+
+
 def _sent(parts: list[tuple], names: list[bytes], buckets: int) -> Iterator[dict]:
     key, check, row, place, before, after = (np.concatenate(x) for x in zip(*(p[:6] for p in parts), strict=True))
     sizes = before.astype(np.int64) + after
@@ -188,7 +202,7 @@ def _sent(parts: list[tuple], names: list[bytes], buckets: int) -> Iterator[dict
             own = order[lo:hi]
             used, number = np.unique(row[own], return_inverse=True)
             columns = {"steps": np.diff(key[own], prepend=np.uint64(0)), "check": check[own], "rows": number.astype(np.uint32), "place": place[own], "before": before[own], "after": after[own]}
-            yield {"bucket": b, "names": b"".join([names[i] for i in used]), "data": packer.compress(ragged(data, starts[own], sizes[own]).tobytes())} | {k: pack(v) for k, v in columns.items()}
+            yield {"bucket": b, "names": b"".join([names[i] for i in used]), "data": packer.compress(gathered(data, starts[own], sizes[own]))} | {k: pack(v) for k, v in columns.items()}
 
 
 def repeated_starts(key: np.ndarray, check: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -287,14 +301,13 @@ def _second_level(held: DataFrame, length: int, buckets: int) -> DataFrame:
         order = np.argsort(key, kind="stable")
         cut = 0
         while cut < len(order):
-            end = min(len(order), cut + CHUNK)
+            end = min(len(order), cut + SIDE)
             while end < len(order) and key[order[end]] == key[order[end - 1]]:
                 end += 1
             own = order[cut:end]
-            left, right = np.zeros((len(own), WINDOW), np.uint8), np.zeros((len(own), wide), np.uint8)
-            for matrix, at, size, shift in ((left, starts[own], before[own].astype(np.int64), WINDOW - before[own].astype(np.int64)), (right, starts[own] + before[own], after[own].astype(np.int64), np.zeros(len(own), np.int64))):
-                flat = np.repeat(np.arange(len(own)) * matrix.shape[1] + shift, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                matrix.ravel()[flat] = ragged(data, at, size)
+            n_left, n_right = before[own].astype(np.int64), after[own].astype(np.int64)
+            left = beside(len(own), WINDOW, data, starts[own], n_left, WINDOW - n_left)
+            right = beside(len(own), wide, data, starts[own] + n_left, n_right, np.zeros(len(own), np.int64))
             bits[own] = repeated_starts(key[own], check[own], left, right, before[own], after[own])
             cut = end
         some = np.flatnonzero(bits)
