@@ -6,13 +6,15 @@ overlay whose customers map to reference objects.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
-from terrace.plans.graph import GraphContext
+from terrace.plans.graph import GraphContext, shared_folder
+from terrace.plans.store import GraphStore
 
 BASE = "https://kg.example.org/ns-"
 SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
@@ -82,3 +84,16 @@ def star_graph(spark: SparkSession, sf_dir: str) -> GraphContext:
     whole = _quads([*reference, *overlays]).withColumn("g", graph)
     layers = {p: (f"{BASE}{p}#", whole.where(F.col("g") == f"urn:graph:{p}")) for p in ("ref", *SEGMENTS)}
     return GraphContext(spark, layers, whole=whole)
+
+
+_GRAPHS: dict[tuple[str, str], GraphContext] = {}
+
+
+def stored_star(spark: SparkSession, sf_dir: str) -> GraphContext:
+    """star_graph() out of a store, which each application builds once for a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        store = GraphStore(spark, f"{shared_folder(spark)}/star-{uuid.uuid4().hex}")
+        store.load_all(star_graph(spark, sf_dir).quads())
+        _GRAPHS[key] = store.context()
+    return _GRAPHS[key]

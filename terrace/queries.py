@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
-from terrace.operators import compare, generate, intake, retrieve, trace
-from terrace.plans.fixture import BASE, REF, star_graph
+from terrace.operators import compare, generate, intake, retrieve, texts, trace
+from terrace.plans.fixture import BASE, REF, stored_star
+from terrace.plans.graph import shared_folder
+from terrace.plans.store import GraphStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +44,7 @@ def query(name: str, sql: str | None = None):
 
 
 def on_graph(name: str, build: Callable, sql: str) -> None:
-    query(name, WITH + sql)(lambda spark, d: build(star_graph(spark, d)))
+    query(name, WITH + sql)(lambda spark, d: build(stored_star(spark, d)))
 
 
 on_graph("q1_coverage_by_object", compare.coverage_by_object, "SELECT o.obj, o.label, e.vendor, e.term, e.match, e.verdict FROM obj o LEFT JOIN edge e ON e.obj = o.obj")
@@ -62,6 +65,28 @@ UNION ALL SELECT 'urn:graph:' || seg, count(*) * 4 + count(*) FILTER (mapped) +
 on_graph("q12_coverage_buckets", compare.coverage_buckets, "SELECT o.obj, o.label, coalesce(string_agg(DISTINCT e.seg, ',' ORDER BY e.seg), '') AS covered_by, CASE WHEN count(DISTINCT e.seg) = 0 THEN 'none' WHEN count(DISTINCT e.seg) >= (SELECT count(DISTINCT seg) FROM cust) THEN 'all' ELSE 'some' END AS bucket FROM obj o LEFT JOIN edge e ON e.obj = o.obj GROUP BY 1, 2")
 on_graph("q13_vocabulary", compare.vocabulary, "SELECT DISTINCT 'DataObject' AS kind, label AS name FROM obj UNION SELECT DISTINCT 'Capability', p_type FROM part")
 
+#: The catalog's queries as text, each with the SQL of its builder, and texts that no builder has.
+_GIVEN = {"VENDOR": f"{BASE}building#", "FROM": f"{BASE}building#", "TO": f"{BASE}machinery#", "REF_CONCEPT": f"{REF}N3"}
+for _name, _same in (("coverage_by_object", "q1_coverage_by_object"), ("coverage_by_capability", "q2_coverage_by_capability"), ("gap_by_vendor", "q3_gap_by_vendor_building"), ("convergence", "q4_convergence"), ("migration_diff", "q5_migration_building_machinery"), ("extension_surface", "q6_extension_surface_building"), ("drill_down", "q7_drill_down"), ("completeness_guard", "q8_completeness_guard")):
+    query(f"s4_text_{_name}", ORACLES[_same])(lambda spark, d, n=_name: texts.TextEngine(stored_star(spark, d)).run(n, _GIVEN))
+on_graph("s4_text_match_kinds", lambda g: texts.TextEngine(g).run("match_kinds"), "SELECT vendor, kind, count(*) AS edges, count(*) FILTER (verdict = 'covered') AS covered FROM edge GROUP BY 1, 2")
+on_graph("s4_text_undocumented_terms", lambda g: texts.TextEngine(g).run("undocumented_terms", {"VENDOR": ""}), "SELECT term, name AS label, verdict FROM cust WHERE k NOT IN (SELECT o_custkey FROM orders)")
+on_graph("s4_text_vendor_overlap", lambda g: texts.TextEngine(g).run("vendor_overlap"), "SELECT a.vendor AS one, b.vendor AS other, count(*) AS objects FROM (SELECT DISTINCT vendor, obj FROM edge) a JOIN (SELECT DISTINCT vendor, obj FROM edge) b ON a.obj = b.obj AND a.vendor < b.vendor GROUP BY 1, 2")
+
+
+@query("s2_replaced_layer", WITH + f"""SELECT 'urn:graph:' || seg AS g, p, count(*) AS n FROM (SELECT k, seg, unnest(list_filter(['{t.TYPE}', '{t.SUBCLASS}', '{t.LABEL}', vendor || 'verdict', CASE WHEN mapped THEN '{SK}' || kind END, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = k) THEN vendor || 'sourceDoc' END], lambda x: x IS NOT NULL)) AS p FROM cust)
+WHERE seg = 'machinery' OR seg = 'building' AND k % 2 = 0 GROUP BY 1, 2""")
+def _replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Two layers in a store of their own, one of them then replaced by the half of its terms."""
+    quads = stored_star(spark, d).quads().where(F.col("g").isin("urn:graph:building", "urn:graph:machinery"))
+    store = GraphStore(spark, f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex}")
+    store.load_all(quads)
+    store.load("building", quads.where(F.col("g") == "urn:graph:building").where(F.regexp_extract("s", "#C([0-9]+)$", 1).cast("long") % 2 == 0))
+    return store.context().quads().groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+on_graph("s3_pattern_scan", lambda g: g.pattern(p=t.SUBCLASS, o=f"{REF}R1", g="urn:graph:ref").select("s", "o"), f"SELECT '{REF}N' || n_nationkey AS s, '{REF}R1' AS o FROM nation WHERE n_regionkey = 1")
+
 _N = f"{REF}N3"
 on_graph("g1_resolve_concept", lambda g: trace.resolve_concept(g, "customer#00000001", "building", 200), f"SELECT iri, label, CASE WHEN starts_with(iri, '{BASE}building#') THEN 3 ELSE 4 END::INTEGER AS score, seg AS prefix FROM (SELECT term AS iri, name AS label, seg FROM cust WHERE contains(lower(name), 'customer#00000001') ORDER BY 1, 2 LIMIT 200)")
 on_graph("g1_resolve_exact", lambda g: trace.resolve_concept(g, "ASIA"), "SELECT obj AS iri, label, CASE WHEN lower(label) = 'asia' THEN 2 ELSE 4 END::INTEGER AS score, 'ref' AS prefix FROM obj WHERE contains(lower(label), 'asia')")
@@ -83,7 +108,7 @@ _FIRST = f", f AS (SELECT '{REF}Cap_' || p_type AS cap, '{REF}S' || s_suppkey AS
 
 
 def on_path(name: str, build: Callable, sql: str) -> None:
-    query(name, WITH.rstrip() + _FIRST + "\n" + sql)(lambda spark, d: build(star_graph(spark, d), *_path_ends(spark, d)))
+    query(name, WITH.rstrip() + _FIRST + "\n" + sql)(lambda spark, d: build(stored_star(spark, d), *_path_ends(spark, d)))
 
 
 on_path("g6_direct_paths", lambda g, cap, obj, nation: trace.direct_paths(g, obj, cap), "SELECT 'b->a' AS dir, prop, label FROM link, f WHERE domain = f.cap AND range = f.obj")

@@ -173,14 +173,14 @@ def load_layer(ctx: GraphContext, prefix: str, text: str) -> GraphContext:
     return ctx.with_layer(prefix, parse_layer(ctx.spark, text, prefix))
 
 
-def value_lists(quads: DataFrame, most: int = 1000) -> DataFrame:
+def value_lists(quads: DataFrame) -> DataFrame:
     """head, place, value of RDF lists."""
     first = quads.where(F.col("p") == t.RDF + "first").select(F.col("s").alias("node"), F.col("o").alias("value"))
     rest = quads.where(F.col("p") == t.RDF + "rest").select(F.col("s").alias("node"), F.col("o").alias("next"))
     heads = first.select("node").join(rest.select(F.col("next").alias("node")), "node", "left_anti")
     from terrace.plans.graph import closure
 
-    down = closure(rest.select(F.col("next").alias("child"), F.col("node").alias("parent")), heads.select(F.col("node").alias("root")), most)
+    down = closure(rest.select(F.col("next").alias("child"), F.col("node").alias("parent")), heads.select(F.col("node").alias("root")))
     every = heads.select(F.col("node").alias("head"), "node", F.lit(0).alias("place")).unionByName(down.select(F.col("root").alias("head"), "node", F.col("depth").alias("place")))
     return every.join(first, "node").select("head", "place", "value")
 
