@@ -189,6 +189,26 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", "concept_name", "section", F.size("lists").alias("lists"), F.size("tables").alias("tables"))
 
 
+_CLEAN = f"trim(regexp_replace(x, '{_ANY_BLANK}', ' ', 'g'))"
+
+
+@query("r3_html_sections", f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
+c AS (SELECT doc_id, i, {_CLEAN} AS x, sum((i % 7 = 2)::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l),
+b AS (SELECT doc_id, section, max(x) FILTER (i % 7 = 2) AS heading, string_agg(x, ' ' ORDER BY i) FILTER (i % 7 NOT IN (2, 4) AND x <> '' AND NOT regexp_matches(x, '(graph TD;|classDef |stroke-width:|fill:#|-->)')) AS body FROM c GROUP BY doc_id, section)
+SELECT doc_id, 'Document ' || doc_id AS concept_name, (row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1)::INTEGER AS place, CASE WHEN section = 0 THEN '(top)' ELSE heading END AS heading, CASE WHEN section = 0 THEN 0 ELSE 2 END AS level, md5(body) AS digest FROM b WHERE body IS NOT NULL""")
+def _html_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages: the name in an h1 of the boilerplate, every seventh line a heading with a mark, some headings blank, some lines in lists."""
+    from terrace.sources.records import page_records
+
+    marked = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    wrap = lambda before, x, after: F.concat(F.lit(before), x, F.lit(after))
+    line = lambda x, i: F.when(i % 7 == 2, wrap("<h2>", x, " #</h2>")).when(i % 7 == 4, F.lit("<h3> \n</h3>")).when(i % 7 == 5, wrap("<ul><li>", x, "</li></ul>")).otherwise(wrap("<p>", x, "</p>"))
+    body = F.array_join(F.transform(F.split(marked, "\n"), line), "\n")
+    pages = _docs(spark, d).select("doc_id", F.concat(F.lit("<html><header><h1>Document "), F.col("doc_id").cast("string"), F.lit("#</h1><p>menu</p></header>"), F.coalesce(body, F.lit("")), F.lit("</html>")).alias("html"), F.lit("d/page.html").alias("source"))
+    rows = page_records(pages, "doc_id", "html", "source")
+    return rows.select("doc_id", "concept_name", F.posexplode("sections").alias("place", "s")).select("doc_id", "concept_name", "place", "s.heading", "s.level", F.md5("s.text").alias("digest"))
+
+
 _LINES = """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM (SELECT doc_id, regexp_replace(text, '\\r\\n|[\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g') AS text FROM documents)),
 c AS (SELECT doc_id, line, regexp_replace(regexp_replace(raw, '[ \\t]+', ' ', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS content FROM l),
 b AS (SELECT *, regexp_matches(content, '^[-*•·]') OR regexp_matches(content, '^\\(?\\p{Nd}+[.)][\\s\\p{Z}]') AS bullet, list_filter(string_split_regex(content, '[\\s\\p{Z}]+'), lambda x: x <> '') AS w FROM c WHERE content <> ''),

@@ -23,6 +23,7 @@ from terrace.operators.intake import RECORD
 # Elements whose content is dropped, headings that open sections, elements without an end.
 BOILERPLATE = {"script", "style", "nav", "header", "footer", "noscript", "aside"}
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4}
+RAW = {"script", "style", "template"}
 EMPTY = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 NOISE = re.compile(r"(graph TD;|classDef |stroke-width:|fill:#|-->)")  # marks of diagrams
 
@@ -36,85 +37,74 @@ def clean(text: str) -> str:
 
 
 class Page(HTMLParser):
-    """One pass over a page: title, headings, text blocks, lists and tables in the order in which they open."""
+    """A page's elements and strings in the order in which they begin: tag (None for a string), parent, end of what lies within.
 
-    def __init__(self) -> None:
+    An end tag closes what is open back to its own start and is ignored without one; nothing else closes an element.
+    """
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.dropped = 0
-        self.open: list[tuple[str, list[str], list]] = []
-        self.places: list[int] = []
-        self.title = ""
-        self.blocks: list[tuple[str, str]] = []
-        self.lists: list[list[str]] = []
-        self.tables: list[dict] = []
-        self.all: list[str] = []
+        self.tags: list[str | None] = []
+        self.parents: list[int] = []
+        self.ends: list[int] = []
+        self.text: list[str] = []
+        self.open: list[int] = []
+        self.feed(html)
+        self.close()
+        self._shut(0)
+
+    def _add(self, tag: str | None, text: str) -> None:
+        self.tags.append(tag)
+        self.parents.append(self.open[-1] if self.open else -1)
+        self.ends.append(len(self.tags))
+        self.text.append(text)
+
+    def _shut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.ends[self.open.pop()] = len(self.tags)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BOILERPLATE:
-            self.dropped += 1
-        elif not self.dropped and tag not in EMPTY:
-            if tag == "p":
-                self._close("p", {"li", "td", "th", "div", "body"})
-            elif tag == "li":
-                self._close("li", {"ul", "ol"})
-            self.open.append((tag, [], []))
-            # A block's place is kept where it opens, its text comes when it closes.
-            kept = self.blocks if tag in HEADINGS or tag in ("p", "li") else self.lists if tag in ("ul", "ol") else self.tables if tag == "table" else None
-            self.places.append(len(kept) if kept is not None else -1)
-            if kept is not None:
-                kept.append(None)
+        self._add(tag, "")
+        if tag not in EMPTY:
+            self.open.append(len(self.tags) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BOILERPLATE:
-            self.dropped = max(0, self.dropped - 1)
-        elif not self.dropped:
-            self._close(tag, set())
-
-    def _close(self, tag: str, stop: set[str]) -> None:
-        names = [t for t, _, _ in self.open]
-        if tag in names:
-            at = len(names) - 1 - names[::-1].index(tag)
-            if not stop.intersection(names[at:]):
-                while len(self.open) > at:
-                    self._end(self.places.pop(), *self.open.pop())
-
-    def _end(self, place: int, tag: str, text: list[str], parts: list) -> None:
-        whole = clean("".join(text))
-        above = self.open[-1] if self.open else None
-        if tag == "title":
-            self.title = self.title or whole
-            return
-        if tag in HEADINGS or tag in ("p", "li"):
-            self.blocks[place] = (tag, whole)
-        if tag == "li" and above and above[0] in ("ul", "ol"):
-            above[2].append(whole)
-        elif tag in ("ul", "ol"):
-            self.lists[place] = [x for x in parts if x and not NOISE.search(x)]
-        elif tag in ("td", "th"):
-            row = next((x for x in reversed(self.open) if x[0] == "tr"), None)
-            if row:
-                row[2].append(whole)
-        elif tag == "tr":
-            table = next((x for x in reversed(self.open) if x[0] == "table"), None)
-            if table and (any(parts) or not table[2]):
-                table[2].append(parts)
-        elif tag == "table" and parts:
-            self.tables[place] = {"headers": parts[0], "rows": parts[1:]}
-        if above:
-            above[1].append(" " + "".join(text) + " ")
+        depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.tags[self.open[k]] == tag), None)
+        if depth is not None:
+            self._shut(depth)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped:
-            if self.open:
-                self.open[-1][1].append(data)
-            if not any(t == "title" for t, _, _ in self.open):
-                self.all.append(data)
-
-    def close(self) -> None:
-        super().close()
-        while self.open:
-            self._end(self.places.pop(), *self.open.pop())
-        self.blocks, self.lists, self.tables = ([x for x in kept if x] for kept in (self.blocks, self.lists, self.tables))
+        # What scripts and styles hold is no text of the page.
+        if not self.open or self.tags[self.open[-1]] not in RAW:
+            self._add(None, data)
+
+    def within(self, i: int, *tags: str) -> list[int]:
+        return [j for j in range(i + 1, self.ends[i] if i >= 0 else len(self.tags)) if self.tags[j] in tags]
+
+    def strings(self, i: int = -1) -> list[str]:
+        return [self.text[j] for j in range(i + 1, self.ends[i] if i >= 0 else len(self.tags)) if self.tags[j] is None]
+
+    def words(self, i: int, between: str = " ") -> str:
+        """The stripped strings of an element."""
+        return clean(between.join(x for y in self.strings(i) if (x := y.strip())))
+
+    def without(self, tags: set[str]) -> None:
+        """Drop elements with all that they hold."""
+        kept, until = [], 0
+        for i, tag in enumerate(self.tags):
+            if i >= until:
+                if tag in tags:
+                    until = self.ends[i]
+                else:
+                    kept.append(i)
+        place = {i: k for k, i in enumerate(kept)}
+        before, k = [0] * (len(self.tags) + 1), 0
+        for i in range(len(self.tags)):
+            before[i] = k
+            k += i in place
+        before[-1] = k
+        self.parents, self.ends = [place.get(self.parents[i], -1) for i in kept], [before[self.ends[i]] for i in kept]
+        self.tags, self.text = [self.tags[i] for i in kept], [self.text[i] for i in kept]
 
 
 def sections_of(blocks: list[tuple[str, int, str]]) -> list[dict]:
@@ -123,62 +113,135 @@ def sections_of(blocks: list[tuple[str, int, str]]) -> list[dict]:
     for kind, own, body in [*blocks, ("heading", 0, "")]:
         if kind == "heading":
             if text:
-                out.append({"heading": heading, "level": level, "text": " ".join(text)})
+                out.append({"heading": heading, "level": level, "text": clean(" ".join(text))})
             heading, level, text = body, own, []
-        elif body and not NOISE.search(body):
+        elif body:
             text.append(body)
     return out
 
 
-def html_record(html: str, source: str, suffix: str = "") -> dict:
-    page = Page()
-    page.feed(html)
-    page.close()
-    title = page.title.removesuffix(suffix).strip() if suffix else page.title
-    name = title or next((x for k, x in page.blocks if k == "h1" and x), "") or source.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+def place_of(source: str) -> str:
     head, slash, last = source.rpartition("/")
-    place = head if last == "index.html" else head + slash + last.replace(".html", "")
-    blocks = [("heading" if k in HEADINGS else "text", HEADINGS.get(k, 0), x) for k, x in page.blocks]
-    return {"concept_name": name.rstrip("# "), "source": source, "section": place, "prose": clean(" ".join(page.all)), "sections": sections_of(blocks), "lists": page.lists, "tables": page.tables, "_read_error": None}
+    return head if last == "index.html" else head + slash + last.replace(".html", "")
+
+
+def stem(source: str) -> str:
+    return source.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def html_record(html: str, source: str, suffix: str = "") -> dict:
+    """The title is that of the page, else of its first h1 wherever it stands, else the file's; structure and prose leave the boilerplate out."""
+    page = Page(html)
+    titles, tops = page.within(-1, "title"), page.within(-1, "h1")
+    own = [j for j in range(len(page.tags)) if titles and page.parents[j] == titles[0]]
+    title = page.text[own[0]].strip() if len(own) == 1 else ""
+    title = title[: -len(suffix)].strip() if suffix and title.endswith(suffix) else title
+    title = title or (page.words(tops[0], "") if tops else stem(source))
+    page.without(BOILERPLATE)
+    blocks = []
+    for i in page.within(-1, *HEADINGS, "p", "li"):
+        text, level = page.words(i), HEADINGS.get(page.tags[i])
+        if text and level:
+            blocks.append(("heading", level, text.rstrip("#").strip()))
+        elif text and not NOISE.search(text):
+            blocks.append(("text", 0, text))
+    lists = [[x for j in page.within(i, "li") if page.parents[j] == i and (x := page.words(j)) and not NOISE.search(x)] for i in page.within(-1, "ul", "ol")]
+    tables = []
+    for i in page.within(-1, "table"):
+        rows = [[page.words(c) for c in page.within(r, "th", "td")] for r in page.within(i, "tr")]
+        if rows:
+            tables.append({"headers": rows[0], "rows": [r for r in rows[1:] if any(r)]})
+    return {"concept_name": title.rstrip("#").strip(), "source": source, "section": place_of(source), "prose": clean(" ".join(page.strings())), "sections": sections_of(blocks), "lists": [x for x in lists if x], "tables": tables, "_read_error": None}
 
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+CORE_TITLE = "{http://purl.org/dc/elements/1.1/}title"
+
+
+def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
+
+
+def _style_names(styles: ElementTree.Element | None) -> tuple[dict[str, str], str]:
+    """Names of paragraph styles by their ids, and the name of the default one."""
+    names, usual = {}, ""
+    for e in styles.iter(f"{WORD}style") if styles is not None else ():
+        if e.get(f"{WORD}type", "paragraph") == "paragraph":
+            name = e.find(f"{WORD}name")
+            names[e.get(f"{WORD}styleId", "")] = shown = name.get(f"{WORD}val", "") if name is not None else ""
+            usual = shown if e.get(f"{WORD}default") in ("1", "true") else usual
+    return names, usual
+
+
+def _paragraph_text(p: ElementTree.Element) -> str:
+    """Of the runs of a paragraph and of its links; what is deleted or lies in frames isn't among them."""
+    runs = [r for e in p for r in ([e] if e.tag == f"{WORD}r" else e.findall(f"{WORD}r") if e.tag == f"{WORD}hyperlink" else [])]
+    shown = {f"{WORD}tab": "\t", f"{WORD}br": "\n", f"{WORD}cr": "\n", f"{WORD}noBreakHyphen": "-"}
+    return "".join(x.text or "" if x.tag == f"{WORD}t" else shown.get(x.tag, "") for r in runs for x in r)
+
+
+def _table_rows(table: ElementTree.Element) -> list[list[str]]:
+    """Cells by row; one that spans columns stands in each, one that goes on from above has that one's text."""
+    rows: list[list[str]] = []
+    for tr in table.findall(f"{WORD}tr"):
+        cells: list[str] = []
+        for tc in tr.findall(f"{WORD}tc"):
+            span, merged = tc.find(f"{WORD}tcPr/{WORD}gridSpan"), tc.find(f"{WORD}tcPr/{WORD}vMerge")
+            goes_on = merged is not None and merged.get(f"{WORD}val", "continue") == "continue" and rows and len(cells) < len(rows[-1])
+            text = rows[-1][len(cells)] if goes_on else clean("\n".join(_paragraph_text(p) for p in tc.findall(f"{WORD}p")))
+            cells += [text] * (int(span.get(f"{WORD}val", "1")) if span is not None else 1)
+        rows.append(cells)
+    return rows
 
 
 def docx_record(data: bytes, source: str) -> dict:
-    """Paragraphs by style: headings, list items, others; tables row by row."""
+    """Paragraphs by the names of their styles: headings and titles, list items, which go into lists alone, others; tables row by row.
+
+    The name is the document's own title, else its first heading, else the file's. Without a table of styles their ids, with
+    blanks between their words, serve as names.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
-    blocks, lists, tables, prose = [], [], [], []
-    text_of = lambda e: clean("".join(x.text or "" for x in e.iter(f"{WORD}t")))
-    listed = False
+        styles, core = _part(z, "word/styles.xml"), _part(z, "docProps/core.xml")
+    names, usual = _style_names(styles)
+    kept = core.findtext(CORE_TITLE) if core is not None else None
+    title = kept.strip() if kept else None
+    blocks, lists, tables, every, pending = [], [], [], [], []
     for e in body if body is not None else []:
-        if e.tag == f"{WORD}p":
-            style = e.find(f"{WORD}pPr/{WORD}pStyle")
-            style = style.get(f"{WORD}val", "") if style is not None else ""
-            text, heading = text_of(e), re.match(r"(?:Heading\s*(\d+)|Title)$", style)
-            item = style.startswith("List") or e.find(f"{WORD}pPr/{WORD}numPr") is not None
-            if heading:
-                blocks.append(("heading", int(heading[1] or 1), text))
-            elif text:
-                blocks.append(("text", 0, text))
-                prose.append(text)
-                if item:
-                    lists = [*lists[:-1], [*lists[-1], text]] if listed else [*lists, [text]]
-            listed = item and bool(text) or listed and not text
-        elif e.tag == f"{WORD}tbl":
-            rows = [[text_of(c) for c in r.iter(f"{WORD}tc")] for r in e.iter(f"{WORD}tr")]
-            rows = [r for r in rows if any(r)]
-            listed = False
-            if rows:
-                tables.append({"headers": rows[0], "rows": rows[1:]})
+        if e.tag == f"{WORD}tbl":
+            if pending:
+                lists.append(pending)
+                pending = []
+            if rows := _table_rows(e):
+                tables.append({"headers": rows[0], "rows": [r for r in rows[1:] if any(r)]})
+        if e.tag != f"{WORD}p":
+            continue
+        text = _paragraph_text(e)
+        every.append(text)
+        if not (text := clean(text)):
+            continue
+        style = e.find(f"{WORD}pPr/{WORD}pStyle")
+        key = style.get(f"{WORD}val", "") if style is not None else ""
+        name = (names.get(key, usual) if styles is not None else re.sub(r"(?<=[a-z])(?=[A-Z0-9])", " ", key)).lower()
+        heading = re.match(r"heading\s+(\d+)", name)
+        if not heading and name != "title" and ("list" in name or "bullet" in name):
+            pending.append(text)
+            continue
+        if pending:
+            lists.append(pending)
+            pending = []
+        if heading or name == "title":
+            blocks.append(("heading", int(heading[1]) if heading else 1, text))
+            title = text if title is None else title
+        else:
+            blocks.append(("text", 0, text))
     sections = sections_of(blocks)
-    name = next((x for k, _, x in blocks if k == "heading" and x), source.rsplit("/", 1)[-1].rsplit(".", 1)[0])
-    return {"concept_name": name, "source": source, "section": source.rsplit(".", 1)[0], "prose": " ".join(s["text"] for s in sections) or " ".join(prose), "sections": sections, "lists": lists, "tables": tables, "_read_error": None}
+    prose = clean(" ".join(s["text"] for s in sections)) or clean(" ".join(every))
+    return {"concept_name": title or stem(source), "source": source, "section": stem(source), "prose": prose, "sections": sections, "lists": [*lists, pending] if pending else lists, "tables": tables, "_read_error": None}
 
 
 def failed(source: str, error: str) -> dict:
-    return {"concept_name": source.rsplit("/", 1)[-1].rsplit(".", 1)[0], "source": source, "section": "", "prose": "", "sections": [], "lists": [], "tables": [], "_read_error": error}
+    return {"concept_name": stem(source), "source": source, "section": "", "prose": "", "sections": [], "lists": [], "tables": [], "_read_error": error}
 
 
 def read_one(data: bytes, source: str) -> dict:

@@ -87,12 +87,56 @@ def test_files_become_records(spark, tmp_path):
     got = {r.source.rsplit("/", 1)[-1]: r for r in records.read_records(spark, str(tmp_path)).collect()}
     assert set(got) == {"x.docx", "b.html", "c.pdf"} and got["c.pdf"]._read_error and got["b.html"].concept_name == "T"
     x, b = got["x.docx"], got["b.html"]
-    assert (x.concept_name, [(s.heading, s.level, s.text) for s in x.sections], x.lists, x.tables[0].rows) == ("Lot", [("Lot", 1, "intro"), ("Setup", 2, "one two end")], [["one", "two"]], [["v"]])
+    assert (x.concept_name, [(s.heading, s.level, s.text) for s in x.sections], x.lists, x.tables[0].rows) == ("Lot", [("Lot", 1, "intro"), ("Setup", 2, "end")], [["one", "two"]], [["v"]])
     assert [(s.heading, s.level, s.text) for s in b.sections] == [("H", 1, "a b b")] and b.lists == [["a", "b"]]
     records.write_records(records.read_records(spark, str(tmp_path)), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
+def test_pages_by_their_own_structure():
+    page = """<html><head><title>Order guide#</title><title>second</title></head><body><header><h1>Order#</h1></header><p>lead</p>
+    <h2> Setup # </h2><p>one<p>two</p></p><h3> </h3><p>three <b>four</b>five</p><script>var x = 'no'</script><h4>Empty</h4>
+    <ul><li>a<ul><li>b</li></ul></li><li>graph TD; c</li></ul><table><tr><th></th><th>k</th></tr><tr><td></td></tr><tr><td>v<table><tr><td>in</td></tr></table></td></tr></table>
+    <nav><p>menu</p></nav>last</body></html>"""
+    r = records.html_record(page, "d/order/index.html")
+    assert (r["concept_name"], r["section"]) == ("Order guide", "d/order")
+    assert [(s["heading"], s["level"], s["text"]) for s in r["sections"]] == [("(top)", 0, "lead"), ("Setup", 2, "one two two three four five"), ("Empty", 4, "a b b")]
+    assert r["lists"] == [["a b"], ["b"]]
+    assert r["tables"] == [{"headers": ["", "k"], "rows": [["v in", "in"], ["in"]]}, {"headers": ["in"], "rows": []}]
+    assert r["prose"] == "Order guide# second lead Setup # one two three four five Empty a b graph TD; c k v in last"
+    assert records.html_record(page.replace("<title>Order guide#</title><title>second</title>", ""), "x.html")["concept_name"] == "Order"
+    assert records.html_record(page.replace("guide#", "guide - Docs"), "x.html", " - Docs")["concept_name"] == "Order guide"
+    assert records.html_record("<p>x", "a/b.html")["concept_name"] == "b" and records.html_record("", "")["sections"] == []
+
+
+def test_word_files_by_style_names():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    kinds = {"a": "heading 2", "b": "List Paragraph", "c": "My Bullets", "t": "Title", "n": "Normal", "h": "Heading"}
+    styles = "".join(f'<w:style w:type="paragraph" w:styleId="{k}"{" w:default=\'1\'" if v == "Normal" else ""}><w:name w:val="{v}"/></w:style>' for k, v in kinds.items())
+    para = lambda style, text: f'<w:p><w:pPr>{f"<w:pStyle w:val=\'{style}\'/>" if style else ""}</w:pPr>{text}</w:p>'
+    run = lambda x: f"<w:r><w:t>{x}</w:t></w:r>"
+    cell = lambda x, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p>{run(x)}</w:p></w:tc>"
+    table = f'<w:tbl><w:tr>{cell("", "<w:gridSpan w:val=\'2\'/>")}{cell("u")}</w:tr><w:tr>{cell("x")}{cell("y")}{cell("z", "<w:vMerge w:val=\'restart\'/>")}</w:tr><w:tr>{cell("")}{cell("")}{cell("", "<w:vMerge/>")}</w:tr></w:tbl>'
+    body = [para("n", run("lead --&gt;")), para("a", run("Setup")), para("", run("plain")), para("b", run("one")), para("n", ""), para("c", run("two")), para("ListBullet", run("no such style")), para("b", run("three")), table, para("h", run("loose") + "<w:hyperlink><w:r><w:tab/><w:t>link</w:t></w:r></w:hyperlink><w:del><w:r><w:delText>gone</w:delText></w:r></w:del>")]
+
+    def packed(body, title=None, **parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{"".join(body)}</w:body></w:document>')
+            z.writestr("word/styles.xml", f'<w:styles xmlns:w="{w}">{styles}</w:styles>')
+            if title is not None:
+                z.writestr("docProps/core.xml", f'<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{title}</dc:title></c>')
+        return out.getvalue()
+
+    r = records.docx_record(packed(body, " The Lot "), "d/x.docx")
+    assert (r["concept_name"], r["section"]) == ("The Lot", "x")
+    assert [(s["heading"], s["level"], s["text"]) for s in r["sections"]] == [("(top)", 0, "lead -->"), ("Setup", 2, "plain no such style loose link")]
+    assert r["lists"] == [["one", "two"], ["three"]] and r["prose"] == "lead --> plain no such style loose link"
+    assert r["tables"] == [{"headers": ["", "", "u"], "rows": [["x", "y", "z"], ["", "", "z"]]}]
+    assert records.docx_record(packed(body), "d/x.docx")["concept_name"] == "Setup"
+    assert records.docx_record(packed([para("b", run("only"))]), "d/x.docx") | {"lists": 0} == {"concept_name": "x", "source": "d/x.docx", "section": "x", "prose": "only", "sections": [], "lists": 0, "tables": [], "_read_error": None}
+
+
 def test_texts_become_records(spark):
     rows = spark.createDataFrame([(1, "Route Setup\n- one\n\n2) two\nplain text here.\r\nÜBER Alles\nmore", "d/a.pdf", None), (2, " \n ", "d/scan.pdf", None), (3, "x y z", "c.pdf", " My  Title ")], "doc_id int, text string, source string, title string")
     got = {r.doc_id: r for r in intake.text_records(rows, title="title").collect()}
