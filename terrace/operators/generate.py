@@ -89,7 +89,8 @@ def cell(rows: DataFrame, name: str) -> Column:
 
 def template_version(cells: DataFrame) -> DataFrame:
     """Of (row, col, value) cells of a guide: version right of the first 'Template version', and warning where another is expected. No row: an older workbook."""
-    after = F.lead("value").over(Window.partitionBy("row").orderBy("col"))
+    along = Window.partitionBy("row").orderBy("col")
+    after = F.when(F.lead("col").over(along) == F.col("col") + 1, F.lead("value").over(along))
     found = cells.withColumn("version", t.stripped(after)).where(F.lower(t.stripped(F.col("value"))) == "template version").orderBy("row", "col").limit(1)
     warning = F.when(F.col("version") != TEMPLATE_VERSION, F.concat(F.lit("template version "), F.col("version"), F.lit(f" where {TEMPLATE_VERSION} is expected")))
     return found.where(F.coalesce("version", F.lit("")) != "").select("version", warning.alias("warning"))
