@@ -82,7 +82,7 @@ def text_records(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     prose = clean(F.replace("text", F.lit("\n"), F.lit(" ")))
     none = lambda name: F.array().cast(dict(x.split(" ", 1) for x in RECORD.split(", "))[name])
     error = F.when(prose == "", "no text layer (scanned?): needs OCR")
-    return out.select(key, F.coalesce(F.nullif("title", F.lit("")), "first", stem).alias("concept_name"), "source", F.regexp_replace("source", "\\.[^.]*$", "").alias("section"), prose.alias("prose"), F.coalesce("sections", none("sections")).alias("sections"), F.coalesce("lists", none("lists")).alias("lists"), none("tables").alias("tables"), error.alias("_read_error"))
+    return out.select(key, F.coalesce(F.nullif("title", F.lit("")), "first", stem).alias("concept_name"), "source", stem.alias("section"), prose.alias("prose"), F.coalesce("sections", none("sections")).alias("sections"), F.coalesce("lists", none("lists")).alias("lists"), none("tables").alias("tables"), error.alias("_read_error"))
 
 
 def prompt_text(record: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Readers of semi-structured documents: HTML and DOCX files and plain text become concept records.
+"""Readers of semi-structured documents: HTML, DOCX and PDF files become concept records.
 
 Files are read by Spark as binaries, so any store will do; a file that can't be read gives a record with `_read_error`.
 """
@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from terrace.operators.intake import RECORD
+from terrace.sources.pdf import pdf_records
 
 # Elements whose content is dropped, headings that open sections, elements without an end.
 BOILERPLATE = {"script", "style", "nav", "header", "footer", "noscript", "aside"}
@@ -245,7 +246,7 @@ def failed(source: str, error: str) -> dict:
 
 
 def read_one(data: bytes, source: str) -> dict:
-    """By suffix; PDF needs a library that is not there, so only its name is kept."""
+    """By suffix, without regard to case."""
     try:
         low = source.lower()
         if low.endswith((".html", ".htm")):
@@ -258,10 +259,10 @@ def read_one(data: bytes, source: str) -> dict:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All HTML and DOCX files under a path, a row each; lock files and archive leftovers are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,htm,docx,pdf}").load(path)
-    files = files.where(~F.col("path").rlike("/(~\\$|__MACOSX/)")).select("path", "content")
-
+    """All HTML, DOCX and PDF files under a path, a row each; lock files and archive leftovers are skipped."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.where(F.col("path").rlike(r"(?i)\.(html?|docx|pdf)$") & ~F.col("path").rlike("/(~\\$|__MACOSX/)")).select("path", "content")
+    paged = F.lower("path").endswith(".pdf")
     arrow = to_arrow_schema(StructType.fromDDL(RECORD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 yield pa.RecordBatch.from_pylist([read_one(content.as_py(), path.as_py())], arrow)
 
-    return files.mapInArrow(run, RECORD)
+    whole = files.where(~paged).mapInArrow(run, RECORD)
+    return whole.unionByName(pdf_records(files.where(paged)).select(*whole.columns))
 
 
 def page_records(pages: DataFrame, key: str, html: str, source: str) -> DataFrame:
