@@ -237,6 +237,45 @@ def _text_records(spark: SparkSession, d: str) -> DataFrame:
     return intake.text_records(_docs(spark, d)).select("doc_id", "concept_name", F.size("sections").alias("sections"), F.size("lists").alias("lists"), F.col("_read_error").isNotNull().alias("needs_ocr"))
 
 
+_R9 = ORACLES["r9_text_records"]
+
+
+@query("s10_pdf_records", _R9.replace("FROM documents)", "FROM (SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7E\\n]', '?', 'g') AS text FROM documents))").replace("coalesce(f.first, d.source)", "coalesce(f.first, d.doc_id::VARCHAR)"))
+def _pdf_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as PDF files, a line below the other with the lower ones written first, and their records."""
+    from terrace.sources.pdf import pdf_records
+
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7E\\n]", "?"), "([()\\\\])", "\\\\$1")
+    line = lambda x, i: F.concat(F.lit("1 0 0 1 72 "), (-12 * i).cast("string"), F.lit(" Tm ("), x, F.lit(") Tj"))
+    content = F.concat(F.lit("BT /F1 10 Tf "), F.array_join(F.reverse(F.transform(F.split(plain, "\n"), line)), " "), F.lit(" ET"))
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj 3 0 obj << /Contents 4 0 R /Resources << /Font << /F1 << /Subtype /Type1 >> >> >> >> endobj 4 0 obj << /Length "
+    whole = F.concat(F.lit(head), F.length(content).cast("string"), F.lit(" >> stream\n"), content, F.lit("\nendstream endobj trailer << /Root 1 0 R >>"))
+    files = _docs(spark, d).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), whole.cast("binary").alias("content"))
+    rows = pdf_records(files)
+    return rows.select(F.regexp_extract("source", "([0-9]+)", 1).cast("long").alias("doc_id"), "concept_name", F.size("sections").alias("sections"), F.size("lists").alias("lists"), F.col("_read_error").isNotNull().alias("needs_ocr"))
+
+
+@query("k2_draft_workbooks", "SELECT sheet, sum(n)::BIGINT AS n, sum(v)::DOUBLE AS confidence FROM (SELECT '1. Nodes' AS sheet, count(*) AS n, sum(c_custkey % 100) AS v FROM customer UNION ALL SELECT '2. Data Properties', count(*), sum(o_custkey % 100) FROM orders UNION ALL SELECT '3. Object Properties', count(*), sum(c_custkey % 100) FROM customer) GROUP BY 1")
+def _draft_workbooks(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as concepts with their orders as attributes, drafted into workbooks and read from these again."""
+    from terrace.sources import workbook
+
+    table = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    blank = [F.lit("").alias(c) for c in ("maps_to_neutral", "match_type", "verdict")]
+    rest = lambda key: [*blank, (F.col(key) % 100 / 100).alias("confidence"), F.lit("").alias("source"), F.lit("").alias("notes")]
+    orders = table("orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"), F.lit("string").alias("datatype"), F.lit("").alias("value_kind"), *rest("o_custkey"))).alias("attributes"))
+    rows = table("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    concept = F.struct(F.col("c_name").alias("name"), F.lit("Data Object").alias("type"), *rest("c_custkey"))
+    relation = F.array(F.struct(F.lit("lies in").alias("name"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("target"), *rest("c_custkey")))
+    good = rows.select(F.struct(concept.alias("concept"), "attributes", relation.alias("relationships")).alias("mapped"))
+    path = f"{shared_folder(spark)}/drafts-{uuid.uuid4().hex}"
+    workbook.save_workbooks(workbook.draft_workbooks(intake.draft_sheets(good, "v"), workbook.plain_template()), path)
+    cells = workbook.cells(spark, path)
+    heads = cells.where("row = 1 and value = 'Confidence'").select("path", "sheet", "col")
+    found = cells.where("row > 1").join(heads, ["path", "sheet", "col"]).groupBy("sheet")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double") * 100)).alias("confidence"))
+
+
 @query("d4_resume", "WITH c AS (SELECT source, doc_id AS chunk FROM documents WHERE source NOT IN ('src0', 'src1')), t AS (SELECT coalesce(max(doc_id), -1) AS top FROM documents WHERE source IN ('src0', 'src1')) SELECT source, chunk, (top + row_number() OVER (ORDER BY source, chunk))::BIGINT AS id FROM c, t")
 def _resume(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).select("source", F.col("doc_id").alias("chunk"))

@@ -161,6 +161,35 @@ MARKED = ("Confidence", "Name", "Attribute", "Property")
 MARK = "FFFFE9B8"
 
 
+# Headers of a draft's sheets.
+HEADERS = {
+    "nodes": ("Layer", "Name", "IRI local name", "Type", "Maps to neutral", "Match type", "Verdict", "Confidence", "Source doc", "Notes"),
+    "data properties": ("Layer", "Data object", "Attribute", "IRI local name", "Datatype", "Value kind", "Maps to neutral attribute", "Match type", "Verdict", "Confidence", "Source doc", "Notes"),
+    "object properties": ("Layer", "Property", "IRI local name", "Domain", "Range", "Maps to neutral", "Match type", "Verdict", "Confidence", "Source doc", "Notes"),
+}
+
+
+def plain_template() -> bytes:
+    """A workbook of the three sheets with nothing but their headers, for want of a template."""
+    space = MAIN[1:-1]
+    rows = {kind: "".join(f'<c r="{column_name(c)}1" t="inlineStr"><is><t>{escape(x)}</t></is></c>' for c, x in enumerate(names, 1)) for kind, names in HEADERS.items()}
+    kinds = list(enumerate(HEADERS, 1))
+    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{types}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{types}.worksheet+xml"/>' for i, _ in kinds) + "</Types>",
+        "_rels/.rels": f'<Relationships xmlns="{PACKAGE[1:-1]}"><Relationship Id="r1" Type="{links}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{LINKED[1:-3]}"><sheets>' + "".join(f'<sheet name="{DRAFT_SHEETS[k]}" sheetId="{i}" r:id="r{i}"/>' for i, k in kinds) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{PACKAGE[1:-1]}">' + "".join(f'<Relationship Id="r{i}" Type="{links}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in kinds) + f'<Relationship Id="r9" Type="{links}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{space}"><fonts count="1"><font/></fonts><fills count="2"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="1"><xf/></cellXfs></styleSheet>',
+    } | {f"xl/worksheets/sheet{i}.xml": f'<worksheet xmlns="{space}"><sheetData><row r="1">{rows[k]}</row></sheetData></worksheet>' for i, k in kinds}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 class Template:
     """A workbook whose three sheets take a draft's rows; all other parts stay as they are, byte for byte."""
 
