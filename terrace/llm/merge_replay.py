@@ -32,7 +32,11 @@ from terrace.llm.common import trim
 from terrace.llm.words import slices
 
 #: Text bytes whose distinct words are merged together, and bytes of words in one chain of symbols.
-SHARE_BYTES, CHAIN_BYTES = 12 << 20, 2 << 20
+SHARE_BYTES, CHAIN_BYTES = 12 << 20, 4 << 20
+#: From so many places on, those of a rank are merged by array operations; the result is the same.
+MANY = 40
+#: Words that a worker keeps from share to share: those that came more than once.
+KEPT = 120_000
 #: Pairs are looked up by left << SHIFT | right.
 SHIFT = 20
 
@@ -55,6 +59,9 @@ class MergeReplay:
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         #: Every way to make a token of two: the pair's key to the token's rank.
         self.pairs = {a << SHIFT | b: rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None}
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        self.kept: dict[str, tuple[int, str, bytes]] = {}
         self.byte_pairs = np.full((256, 256), self.most, np.int32)
         for token, rank in self.ranks.items():
             if len(token) == 2:
@@ -95,6 +102,9 @@ class MergeReplay:
             if places is None:
                 rank += 1
                 continue
+            if len(places) >= MANY and self._merge_many(rank, np.unique(np.asarray(places, np.int64)), symbol, after, before, index):
+                rank += 1
+                continue
             places = places.tolist() if isinstance(places, np.ndarray) else sorted(places)
             back = rank
             for n, left in enumerate(places):
@@ -109,19 +119,12 @@ class MergeReplay:
                 for where, key in ((before[left], c << SHIFT | rank if c >= 0 else -1), (left, rank << SHIFT | d if d >= 0 else -1)):
                     made = merged(key)
                     if made is not None:
-                        if made in index:
-                            held = index[made]
-                            if not isinstance(held, list):
-                                index[made] = held = held.tolist()
-                            held.append(where)
-                        else:
-                            index[made] = [where]
+                        self._add(index, made, [where])
                         back = min(back, made)
                 if back < rank:
                     # The smaller rank comes first in this word; what is left here waits.
                     if rest := places[n + 1 :]:
-                        held = index.get(rank, [])
-                        index[rank] = [*held, *rest]
+                        self._add(index, rank, rest)
                     break
             rank = back if back < rank else rank + 1
         flat = np.frombuffer(symbol, np.int32)
@@ -131,22 +134,77 @@ class MergeReplay:
         for a, b in zip(bounds, bounds[1:], strict=False):
             yield ids[a:b]
 
+    @staticmethod
+    def _add(index: dict, rank: int, places: list[int]) -> None:
+        held = index.get(rank)
+        if held is None:
+            index[rank] = list(places)
+        elif isinstance(held, list):
+            held.extend(places)
+        else:
+            index[rank] = [*held.tolist(), *places]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank that each pair of symbols makes, self.most for none."""
+        keys = left.astype(np.int64) << SHIFT | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == keys), self.pair_ranks[at], self.most)
+
+    def _merge_many(self, rank: int, places: np.ndarray, *held) -> bool:
+        """All places of a rank at once. Not done, and False, where places overlap or a smaller rank comes up on the way."""
+        symbol, after, before = (np.frombuffer(x, np.int32) for x in held[:3])
+        index = held[3]
+        right = after[places]
+        fits = self._ranks(symbol[places], symbol[right]) == rank if len(self.pair_keys) else np.zeros(len(places), bool)
+        places, right = places[fits], right[fits]
+        if not len(places):
+            return True
+        if (right[:-1] == places[1:]).any():
+            return False
+        beyond, ahead = after[right], before[places]
+        joined = np.concatenate([[False], ahead[1:] == right[:-1]])  # right behind the place before
+        new = np.full(len(places), rank, np.int32)
+        ahead = np.where(joined, np.concatenate([[0], places[:-1]]), ahead)
+        lefts = self._ranks(np.where(joined, rank, symbol[ahead]), new)
+        rights = self._ranks(new, symbol[beyond])
+        if lefts.min() < rank or rights.min() < rank:
+            return False
+        symbol[places], symbol[right] = rank, -2
+        after[places] = beyond
+        before[beyond] = places
+        rights = np.where(np.concatenate([joined[1:], [False]]), self.most, rights)
+        where, made = np.concatenate([ahead, places]), np.concatenate([lefts, rights])
+        where, made = where[made < self.most], made[made < self.most]
+        if not len(made):
+            return True
+        order = np.argsort(made, kind="stable")
+        where, made = where[order].tolist(), made[order]
+        cuts = np.flatnonzero(np.diff(made, prepend=-1)).tolist()
+        for a, b, r in zip(cuts, [*cuts[1:], len(where)], made[cuts].tolist(), strict=True):
+            self._add(index, r, where[a:b])
+        return True
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, decimal ids joined by a blank, the bytes they decode to) of each text."""
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         coded = [np.fromiter(map(numbers.__getitem__, self.find(text)), np.int32) if text else () for text in (x.as_py() for x in texts)]
-        counts, shown, decoded = [], [], []
-        for ids in self.replay([w.encode() for w in numbers]):
-            counts.append(len(ids))
-            shown.append(" ".join([self.shown[i] for i in ids]))
-            decoded.append(b"".join([self.bytes_of[i] for i in ids]))
+        words, seen = list(numbers), np.bincount(np.concatenate([c for c in coded if len(c)] or [np.zeros(0, np.int32)]), minlength=len(numbers))
         numbers.clear()
-        sizes = np.array(counts, np.int64)
+        fresh = self.replay([w.encode() for w in words if w not in self.kept])
+        found = [self.kept.get(w) or self._told(next(fresh)) for w in words]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        self.kept.update((words[i], found[i]) for i in np.flatnonzero(seen > 1)[:KEPT].tolist())
+        sizes, shown, decoded = np.array([x[0] for x in found], np.int64), [x[1] for x in found], [x[2] for x in found]
         for own in coded:
             codes = own.tolist() if len(own) else []
             yield int(sizes[own].sum()) if codes else 0, " ".join([shown[i] for i in codes]), b"".join([decoded[i] for i in codes])
 
+    def _told(self, ids: list[int]) -> tuple[int, str, bytes]:
+        """Number of ids, the ids as text, and what they decode to."""
+        return len(ids), " ".join([self.shown[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+
 
 @lru_cache(2)
 def merge_replay(path: str, pattern: str) -> MergeReplay:
