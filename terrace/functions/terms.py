@@ -16,6 +16,7 @@ STANDARD = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "skos": SKOS, "xsd": XSD}
 
 TYPE, LABEL, COMMENT = RDF + "type", RDFS + "label", RDFS + "comment"
 SUBCLASS, DOMAIN, RANGE = RDFS + "subClassOf", RDFS + "domain", RDFS + "range"
+UNION = OWL + "unionOf"
 CLASS, OBJECT_PROPERTY, DATATYPE_PROPERTY = OWL + "Class", OWL + "ObjectProperty", OWL + "DatatypeProperty"
 
 MATCHES = ("closeMatch", "broadMatch", "narrowMatch", "relatedMatch")
@@ -83,10 +84,19 @@ def literal(text: Column) -> Column:
 
 
 def as_number(text: Column) -> Column:
-    """Number text without a needless fraction; null for what is no finite number."""
+    """A number as its shortest text: whole ones without a fraction, others from 1e-4 on in plain digits, smaller ones with an
+    exponent of two digits at least; null for what is no finite number and for whole ones from 1e38 on."""
     value = stripped(text).try_cast("double")
-    fine = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e15)
-    return F.when(fine, F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string")))
+    size, shown = F.abs(value), value.cast("string")
+    whole = F.when(size < 9e18, value.cast("long").cast("string")).otherwise(value.try_cast("decimal(38, 0)").cast("string"))
+    plain = F.regexp_replace(shown.try_cast("decimal(38, 22)").cast("string"), "0+$", "")
+    small = F.concat(F.regexp_replace(F.substring_index(shown, "E", 1), "\\.0$", ""), F.lit("e-"), F.lpad(F.substring_index(shown, "E-", -1), 2, "0"))
+    return F.when(value.isNotNull() & ~F.isnan(value) & (size < float("inf")), F.when((size >= 1e16) | (value == F.floor(value)), whole).when(size >= 1e-4, plain).otherwise(small))
+
+
+def number_type(number: Column) -> Column:
+    """The datatype that Turtle gives a number's text."""
+    return F.when(number.contains("e"), XSD + "double").when(number.contains("."), XSD + "decimal").otherwise(XSD + "integer")
 
 
 def norm(text: Column) -> Column:

@@ -336,7 +336,7 @@ def _text(value: Column) -> Column:
 
 def _number(rows: DataFrame, names: Names) -> Column:
     number = t.as_number(cell(rows, "confidence"))
-    return _fact(f"{names.ns}confidence", number, "lit", F.when(number.contains("."), t.XSD + "decimal").otherwise(t.XSD + "integer"))
+    return _fact(f"{names.ns}confidence", number, "lit", t.number_type(number))
 
 
 def _comment(rows: DataFrame, *parts: tuple[str, str]) -> Column:
@@ -468,7 +468,7 @@ def precedence_triples(tiers: DataFrame, names: Names) -> DataFrame:
     local = t.local_iri(F.col("order"))
     s = F.concat(table, F.lit("_precedence"), F.when(local != "", local).otherwise(F.col("number").cast("string")))
     number = t.as_number(F.col("order"))
-    facts = [_fact(t.TYPE, names.own("PrecedenceTier"), "iri"), _fact(f"{names.ns}ofTable", table, "iri"), _fact(f"{names.ns}tierOrder", number, "lit", F.when(number.contains("."), t.XSD + "decimal").otherwise(t.XSD + "integer")), _fact(t.COMMENT, _text(F.col("notes")))]
+    facts = [_fact(t.TYPE, names.own("PrecedenceTier"), "iri"), _fact(f"{names.ns}ofTable", table, "iri"), _fact(f"{names.ns}tierOrder", number, "lit", t.number_type(number)), _fact(t.COMMENT, _text(F.col("notes")))]
     key = F.concat(table, F.lit("_field"), F.col("field_place").cast("string"))
     return _facts(tiers.where("coalesce(at, 0) = 0"), "context precedence", s, facts).unionByName(_facts(tiers, "context precedence", s, [_fact(f"{names.ns}keyField", key, "iri")]))
 

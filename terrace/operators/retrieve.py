@@ -9,7 +9,8 @@ from terrace.functions import terms as t
 from terrace.plans.graph import checkpointed
 
 SIZE, OVERLAP = 220, 40
-BLANK = "[ \\t\\r\\n\\f]+"
+#: White space of any script, the four separators of the control characters included.
+BLANK = "[\\s\\x1C-\\x1F\\x85\\p{Z}]+"
 #: Elements whose content is no text of a page.
 DROPPED = ("script", "style", "nav", "header", "footer", "noscript")
 #: Marks of windows that hold a diagram and no prose.

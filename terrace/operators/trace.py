@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
 from terrace.operators.compare import matches, objects_under, values
-from terrace.plans.graph import GraphContext
+from terrace.plans.graph import GraphContext, checkpointed, closure, value_lists
 
 
 def resolve_concept(ctx: GraphContext, phrase: str, prefer: str | None = None, most: int = 200) -> DataFrame:
@@ -37,6 +37,22 @@ def concept_mappings(ctx: GraphContext, concept: str) -> DataFrame:
     return out.unionByName(into).join(values(ctx, t.LABEL, "other", "label"), "other", "left").select("dir", "match", "other", "label")
 
 
+def with_unions(ctx: GraphContext) -> GraphContext:
+    """The graph with a domain or range that is a union told as each of its members as well; without unions it stays as it is.
+
+    A union's members are the values of the list behind owl:unionOf; of unions within unions the inner ones are told too.
+    """
+    triples = ctx.triples()
+    lists = triples.where(F.col("p").isin(t.UNION, t.RDF + "first", t.RDF + "rest"))
+    edges = value_lists(lists).join(lists.where(F.col("p") == t.UNION).select(F.col("s").alias("union"), F.col("o").alias("head")), "head").select(F.col("value").alias("child"), F.col("union").alias("parent"))
+    edges = checkpointed(edges.distinct())
+    below = closure(edges, edges.select(F.col("parent").alias("root")).distinct()).select(F.col("root").alias("o"), F.col("node").alias("member"))
+    kinds = triples.select(F.col("s").alias("member"), F.col("s_kind").alias("kind")).distinct()
+    members = below.join(kinds, "member", "left").select("o", "member", F.coalesce("kind", F.lit("iri")).alias("kind"))
+    told = triples.where(F.col("p").isin(t.DOMAIN, t.RANGE)).join(members, "o").select("s", "s_kind", "p", F.col("member").alias("o"), F.col("kind").alias("o_kind"))
+    return replace(ctx, merged=triples.unionByName(checkpointed(told.join(triples, told.columns, "left_anti").distinct())), _held={})
+
+
 def _with_domain(ctx: GraphContext, kind: str) -> DataFrame:
     """prop, domain of the properties of a kind."""
     of_kind = ctx.triples().where((F.col("p") == t.TYPE) & (F.col("o") == kind)).select(F.col("s").alias("prop"))
@@ -107,8 +123,8 @@ def context_bridge(ctx: GraphContext, a: str, b: str, most: int = 40) -> DataFra
 
 def contexts_keying_on(ctx: GraphContext, concept: str, most: int = 60) -> DataFrame:
     rows = object_links(ctx).where(F.col("range") == concept).select(F.col("domain").alias("ctx"), "prop").orderBy("ctx", "prop").limit(most)
-    rows = rows.join(values(ctx, t.LABEL, "prop", "label"), "prop", "left")
-    return rows.where(F.lower("ctx").contains("context") | F.lower("label").startswith("key")).select("ctx", "prop", "label")
+    rows = rows.join(values(ctx, t.LABEL, "prop", "label"), "prop", "left").where(F.lower("ctx").contains("context") | F.lower("label").startswith("key"))
+    return rows.join(values(ctx, t.LABEL, "ctx", "ctx_label"), "ctx", "left").select("ctx", "ctx_label", "prop", "label")
 
 
 def trace_concept(ctx: GraphContext, concept: str) -> dict[str, DataFrame]:

@@ -134,3 +134,13 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     above = seen.select("root", F.col("node").alias("top"), "depth").unionByName(tops.select(F.col("node").alias("root"), F.col("node").alias("top"), F.lit(0).alias("depth")))
     below = above.join(ends, "top").select("root", "node", (F.col("depth") + F.col("far")).alias("depth"))
     return seen.unionByName(below).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+
+def value_lists(triples: DataFrame) -> DataFrame:
+    """head, place, node, value of the cells of RDF lists."""
+    first = triples.where(F.col("p") == t.RDF + "first").select(F.col("s").alias("node"), F.col("o").alias("value"))
+    rest = triples.where(F.col("p") == t.RDF + "rest").select(F.col("s").alias("node"), F.col("o").alias("next"))
+    heads = first.select("node").join(rest.select(F.col("next").alias("node")), "node", "left_anti").distinct()
+    down = closure(rest.select(F.col("next").alias("child"), F.col("node").alias("parent")), heads.select(F.col("node").alias("root")))
+    every = heads.select(F.col("node").alias("head"), "node", F.lit(0).alias("place")).unionByName(down.select(F.col("root").alias("head"), "node", F.col("depth").alias("place")))
+    return every.join(first, "node").select("head", "place", "node", "value")

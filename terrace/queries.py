@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from terrace.functions import terms as t
 from terrace.operators import compare, generate, intake, retrieve, texts, trace
 from terrace.plans.fixture import BASE, REF, stored_star
-from terrace.plans.graph import shared_folder
+from terrace.plans.graph import GraphContext, shared_folder
 from terrace.plans.store import GraphStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +97,23 @@ on_graph("g4_links_out", lambda g: trace.links_out(g, f"{REF}S3"), f"SELECT l.pr
 on_graph("g5_links_in", lambda g: trace.links_in(g, f"{REF}S3"), f"SELECT l.prop, l.label, l.domain AS other, replace(l.domain, '{REF}Cap_', '') AS other_label FROM link l WHERE l.range = '{REF}S3'")
 
 
+def _united(spark: SparkSession, d: str) -> GraphContext:
+    """The graph with a property a nation, whose domain is the union of that nation and its region."""
+    ctx = stored_star(spark, d)
+    nation = spark.read.parquet(f"{d}/nation.parquet").select("n_regionkey", F.col("n_nationkey").cast("string").alias("k"))
+    iri = lambda kind, key: F.concat(F.lit(f"{REF}{kind}"), key)
+    cell = lambda name: F.concat(F.lit(f"_:{name}"), "k")
+    facts = [
+        (iri("code", F.col("k")), "iri", t.TYPE, F.lit(t.DATATYPE_PROPERTY), "iri"), (iri("code", F.col("k")), "iri", t.LABEL, F.lit("code"), "lit"), (iri("code", F.col("k")), "iri", t.DOMAIN, cell("u"), "bnode"), (cell("u"), "bnode", t.UNION, cell("a"), "bnode"),
+        (cell("a"), "bnode", t.RDF + "first", iri("N", F.col("k")), "iri"), (cell("a"), "bnode", t.RDF + "rest", cell("b"), "bnode"), (cell("b"), "bnode", t.RDF + "first", iri("R", F.col("n_regionkey").cast("string")), "iri"), (cell("b"), "bnode", t.RDF + "rest", F.lit(t.RDF + "nil"), "iri"),
+    ]
+    more = nation.select(F.explode(F.array(*(F.struct(s.alias("s"), F.lit(sk).alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(ok).alias("o_kind")) for s, sk, p, o, ok in facts))).alias("x")).select("x.*")
+    return replace(ctx, merged=ctx.triples().unionByName(more), _held={})
+
+
+query("g3_attributes_of_unions", f"SELECT '{REF}code' || n_nationkey AS prop, 'code' AS label, NULL::VARCHAR AS range FROM nation WHERE n_regionkey = 1")(lambda spark, d: trace.concept_attributes(trace.with_unions(_united(spark, d)), f"{REF}R1"))
+
+
 def _path_ends(spark: SparkSession, d: str) -> tuple[str, str, str]:
     """The first part's capability, the object that it ties that to, and what this lies in."""
     supplier = spark.read.parquet(f"{d}/supplier.parquet")
@@ -115,7 +133,7 @@ on_path("g6_direct_paths", lambda g, cap, obj, nation: trace.direct_paths(g, obj
 on_path("g6_direct_path_out", lambda g, cap, obj, nation: trace.direct_paths(g, obj, nation), "SELECT 'a->b' AS dir, prop, label FROM link, f WHERE domain = f.obj AND range = f.nation")
 on_path("g7_two_hop_paths", lambda g, cap, obj, nation: trace.two_hop_paths(g, cap, nation), "SELECT a.prop AS first, a.range AS mid, b.prop AS second FROM link a JOIN link b ON a.range = b.domain, f WHERE a.domain = f.cap AND b.range = f.nation ORDER BY 1, 2, 3 LIMIT 10")
 on_graph("g8_context_bridge", lambda g: trace.context_bridge(g, f"{REF}S1", f"{REF}S3"), f"SELECT ctx, replace(ctx, '{REF}Cap_', '') AS label, NULL::VARCHAR AS comment, pa, pa_label, pa_is_key, pb, pb_label, pb_is_key, contains(lower(ctx), 'context') OR pa_is_key OR pb_is_key AS is_context_table FROM (SELECT DISTINCT a.domain AS ctx, a.prop AS pa, a.label AS pa_label, starts_with(lower(a.label), 'key') AS pa_is_key, b.prop AS pb, b.label AS pb_label, starts_with(lower(b.label), 'key') AS pb_is_key FROM link a JOIN link b ON a.domain = b.domain WHERE a.range = '{REF}S1' AND b.range = '{REF}S3') ORDER BY is_context_table DESC, ctx, pa, pb LIMIT 40")
-on_graph("g9_contexts_keying_on", lambda g: trace.contexts_keying_on(g, f"{REF}S3"), f"SELECT domain AS ctx, prop, label FROM (SELECT * FROM link WHERE range = '{REF}S3' ORDER BY domain, prop LIMIT 60) WHERE contains(lower(domain), 'context') OR starts_with(label, 'key')")
+on_graph("g9_contexts_keying_on", lambda g: trace.contexts_keying_on(g, f"{REF}S3"), f"SELECT domain AS ctx, coalesce(o.label, replace(domain, '{REF}Cap_', '')) AS ctx_label, prop, l.label FROM (SELECT * FROM link WHERE range = '{REF}S3' ORDER BY domain, prop LIMIT 60) l LEFT JOIN obj o ON o.obj = l.domain WHERE contains(lower(domain), 'context') OR starts_with(l.label, 'key')")
 on_graph("g10_graph_layers", trace.graph_layers, "SELECT 'ref' AS layer UNION SELECT seg FROM cust")
 _NODES = f"""SELECT obj AS id, label, 'ref' AS layer, 'DataObject' AS type, NULL::VARCHAR AS kind, NULL::VARCHAR AS verdict FROM obj UNION ALL SELECT DISTINCT '{REF}Cap_' || p_type, p_type, 'ref', 'Capability', NULL, NULL FROM part UNION ALL SELECT term, name, seg, 'Class', NULL, verdict FROM cust
 UNION ALL SELECT '{REF}DataObject', 'Data Object', 'ref', 'Class', NULL, NULL UNION ALL SELECT '{REF}Capability', 'Capability', 'ref', 'Class', NULL, NULL"""
@@ -138,7 +156,7 @@ on_graph("g12_graph_edges_building", lambda g: trace.graph_edges(g, "building"),
 on_graph("g13_neighbourhood", lambda g: trace.neighbourhood(trace.graph_nodes(g), trace.graph_edges(g), _N).select("id", "type"), f"SELECT id, CASE WHEN starts_with(id, '{REF}') THEN 'DataObject' ELSE 'Class' END AS type FROM (SELECT DISTINCT unnest([source, target]) AS id FROM ({_EDGES}) WHERE '{_N}' IN (source, target))")
 on_graph("g13_layer_colours", lambda g: trace.graph_layers(g).select("layer", trace.colour_index(g, F.col("layer")).alias("colour")), "SELECT 'ref' AS layer, NULL::INTEGER AS colour UNION ALL SELECT seg, ((row_number() OVER (ORDER BY seg) - 1) % 4)::INTEGER FROM (SELECT DISTINCT seg FROM cust)")
 
-_JAVA_BLANK = "[ \\t\\r\\n\\f]+"
+_JAVA_BLANK = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+"
 
 
 @query("d2_doc_chunks", f"WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_JAVA_BLANK}'), lambda x: x <> '') AS words FROM documents), s AS (SELECT doc_id, words, unnest(range(0, len(words), 180)) AS start FROM w) SELECT doc_id, start // 180 AS chunk, least(220, len(words) - start)::BIGINT AS n_words, md5(array_to_string(words[start + 1 : start + 220], ' ')) AS digest FROM s WHERE NOT (len(words) - start <= 60 AND regexp_matches(array_to_string(words[start + 1 : start + 220], ' '), '(graph TD;|classDef |stroke-width:|fill:#)'))")

@@ -7,7 +7,7 @@ from terrace.functions import terms as t
 from terrace.operators import compare, generate, intake, trace
 from terrace.plans.graph import QUAD, GraphContext, closure
 from terrace.sources import records
-from terrace.sources.turtle import TurtleError, parse, parse_layer, read_turtle, value_lists, write_turtle
+from terrace.sources.turtle import TurtleError, parse, parse_layer, read_turtle, reread, value_lists, write_turtle
 
 NS, V = "http://k/ns-ref#", "http://k/ns-v#"
 
@@ -80,6 +80,79 @@ def test_turtle_terms_and_round_trip(spark, tmp_path):
     assert len(parse(text)) == len(rows)
 
 
+HARD = """@prefix r: <http://k/ns-ref#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+r:X r:note "two\\nlines\\r\\t \\"q\\" \\\\ end", "x"@en-GB, "y"@de, "z"^^r:own, "2020-01-01"^^xsd:date, 3, -2.50, 1e3, true, "" ; r:one [ owl:oneOf ( "u" ( 1 2 ) r:Y ) ] ; r:empty () ; <http://k/odd.name> <http://k/ns-ref#odd.name> .
+r:L r:list _:shared . r:M r:list _:shared . _:shared <http://www.w3.org/1999/02/22-rdf-syntax-ns#first> 1 ; <http://www.w3.org/1999/02/22-rdf-syntax-ns#rest> () .
+_:loop r:next _:loop ; r:self r:X ."""
+
+
+def canonical(rows):
+    """Triples with blank nodes named by what lies around them."""
+    names = {}
+    for _ in range(6):
+        around = {}
+        for s, _, p, o, kind, dt, lang in rows:
+            if s.startswith("_:"):
+                around.setdefault(s, []).append(("s", p, names.get(o, "") if kind == "bnode" else o, dt, lang))
+            if kind == "bnode":
+                around.setdefault(o, []).append(("o", p, names.get(s, "") if s.startswith("_:") else s, None, None))
+        names = {k: str(hash(str(sorted(map(str, v))))) for k, v in around.items()}
+    return sorted(map(str, ((names.get(s, s), p, names.get(o, o), kind, dt, lang) for s, _, p, o, kind, dt, lang in rows)))
+
+
+def test_turtle_comes_back_as_it_was(spark, tmp_path):
+    rows = parse(HARD)
+    layer = parse_layer(spark, HARD, "ref").repartition(3)
+    write_turtle(layer, str(tmp_path / "out"), {"r": "http://k/ns-ref#"})
+    parts = [r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()]
+    assert all(p.startswith("# document ") for p in parts)
+    text = "".join(parts)
+    assert '( "u" _:' in text and " r:Y )" in text and "\nr:X " in text and "-2.50" in text and "r:list ( " not in text and '\\nlines\\r\\t \\"q\\" \\\\ end"' in text
+    back = read_turtle(spark, str(tmp_path / "out"), "ref").drop("g").collect()
+    assert canonical([tuple(r) for r in back]) == canonical(rows) and len(back) == len(rows)
+    assert reread(layer, str(tmp_path / "again"), "ref").count() == len(rows)
+    with pytest.raises(Exception, match="expected|no term|unreadable"):
+        reread(layer.withColumn("p", F.lit("")).withColumn("o_kind", F.lit("lit")).withColumn("o_lang", F.lit("not a tag")).limit(1), str(tmp_path / "bad"), "ref").count()
+    assert read_turtle(spark, str(tmp_path / "again"), "w").where("g <> 'urn:graph:w'").count() == 0
+
+
+def test_an_overlays_turtle_is_parsed_again(spark, tmp_path):
+    from tests.test_generate import BASE, workbook
+
+    made = generate.overlay(spark, workbook(spark), "v", BASE).checked()
+    order = tuple(r.section for r in made.select("section").distinct().orderBy("section").collect())
+    back = reread(made, str(tmp_path / "ttl"), "v", {"v": f"{BASE}v#", "ref": f"{BASE}ref#"}, order)
+    assert generate.validate(back, f"{BASE}v#", f"{BASE}ref#").count() == 0
+    lines = [r.value for r in spark.read.text(str(tmp_path / "ttl")).collect()]
+    assert any("owl:oneOf ( " in x for x in lines) and "v:Step a owl:Class" in lines
+
+
+def test_numbers_as_text(spark):
+    given = ["1", "1.0", " 2.50 ", "0.00001", "1.5e-5", "1e15", "123456789.125", "1e22", "-0.5", "-3", "0.0001", "0.30000000000000004", "nan", "inf", "x", "", "9007199254740991"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", t.as_number(F.col("x")).alias("n"), t.number_type(t.as_number(F.col("x"))).alias("k")).orderBy("i").collect()
+
+    def plain(x):
+        try:
+            f = float(x.strip())
+            return repr(f) if f != int(f) else str(int(f))
+        except (ValueError, OverflowError):
+            return None
+
+    assert [r.n for r in rows] == [plain(x) for x in given]
+    assert [r.k.rsplit("#")[-1] for r in rows[:5]] == ["integer", "integer", "decimal", "double", "double"]
+
+
+def test_unions_are_told_by_member(spark):
+    text = f"""@prefix r: <{NS}> . @prefix owl: <{t.OWL}> . @prefix rdfs: <{t.RDFS}> .
+    r:p a owl:DatatypeProperty ; rdfs:domain [ owl:unionOf ( r:A [ owl:unionOf ( r:B r:C ) ] ) ] . r:q a owl:DatatypeProperty ; rdfs:domain r:A ."""
+    ctx = GraphContext(spark, {"ref": (NS, parse_layer(spark, text, "ref"))})
+    told = trace.with_unions(ctx)
+    of = lambda c, x: sorted(r.prop.removeprefix(NS) for r in trace.concept_attributes(c, NS + x).collect())
+    assert [of(ctx, x) for x in "ABC"] == [["q"], [], []] and [of(told, x) for x in "ABC"] == [["p", "q"], ["p"], ["p"]]
+    plain_ = context(spark, REF)
+    assert trace.with_unions(plain_).triples().count() == plain_.triples().count()
+
+
 def test_layers_are_swapped_only_when_they_can_be_read(spark):
     ctx = context(spark, REF)
     with pytest.raises(ValueError):
