@@ -7,13 +7,13 @@ a code of one bit, quantisers are 1, and a restart marker after each MCU resets
 a baseline decoder reads every coefficient back exactly.
 
 Reading: the RIFF tree is walked, frames are found by the idx1 index (or, where it is absent or wrong,
-by walking the movi list), and baseline frames are decoded: this file's own kind by reshaping bits,
-any other, subsampled ones included, by a plain Huffman decoder. Shots are cut where the luminance
+by walking the movi list), segment by segment, and baseline frames are decoded: this file's own kind by reshaping bits,
+any other, subsampled ones and those without tables included, by a plain Huffman decoder. Shots are cut where the luminance
 histogram's difference exceeds an adaptive threshold.
 
 Defined results: null text counts as empty; an empty payload is one MCU of blanks; bytes that are no
 AVI give no frames, no clips and an empty payload; a frame that can't be read (damaged, progressive,
-without its tables) or a file cut short leaves what was read before and after, and media_error says what
+with a table cut short) or a file cut short leaves what was read before and after, and media_error says what
 was wrong first, else it is null; an empty table gives no rows.
 """
 
@@ -119,42 +119,52 @@ class Avi:
 
 def read_avi(data: bytes) -> Avi:
     """The video frames of an AVI file, by its index where that holds."""
-    out, movi, index = Avi(), None, b""
+    out, frames = Avi(), []
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         return out
-    walked: list[bytes] = []
-
-    def walk(at: int, end: int) -> None:
-        nonlocal movi, index
-        while at + 8 <= end:
-            kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-            body, stop = at + 8, min(end, at + 8 + size)
-            if kind in (b"RIFF", b"LIST"):
-                if data[body : body + 4] == b"movi" and movi is None:
-                    movi = body
-                walk(body + 4, stop)
-            elif kind == b"avih" and stop - body >= 40:
-                micros, out.width, out.height = *struct.unpack_from("<I", data, body), *struct.unpack_from("<2I", data, body + 32)
-                out.fps = 1e6 / micros if micros else 0.0
-            elif kind == b"plen" and stop - body >= 8:
-                out.payload_bytes = struct.unpack_from("<Q", data, body)[0]
-            elif kind == b"idx1":
-                index = data[body:stop]
-            elif kind[2:] in (b"dc", b"db"):
-                walked.append(data[body:stop])
-            at = body + size + size % 2
-
-    walk(0, len(data))
+    at = 0
+    # A file beyond a gigabyte goes on in further RIFF segments; each has frames, and an index or none, of its own.
+    while at + 8 <= len(data) and data[at : at + 4] == b"RIFF":
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        frames += _segment_frames(data, at + 12, min(len(data), at + 8 + size), out)
+        at += 8 + size + size % 2
+    out.frames = tuple(frames)
+    return out
+
+
+def _segment_frames(data: bytes, start: int, stop: int, out: Avi) -> list[bytes]:
+    """Frames of one RIFF segment; what its header tells goes into out."""
+    movi, index, walked = None, b"", []
+    # Places within the lists that are open, the innermost last; a list's own end is not passed.
+    open_lists = [(start, stop)]
+    while open_lists:
+        at, end = open_lists.pop()
+        if at + 8 > end:
+            continue
+        kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        body, last = at + 8, min(end, at + 8 + size)
+        open_lists.append((body + size + size % 2, end))
+        if kind == b"LIST":
+            if data[body : body + 4] == b"movi" and movi is None:
+                movi = body
+            open_lists.append((body + 4, last))
+        elif kind == b"avih" and last - body >= 40:
+            micros, out.width, out.height = *struct.unpack_from("<I", data, body), *struct.unpack_from("<2I", data, body + 32)
+            out.fps = 1e6 / micros if micros else 0.0
+        elif kind == b"plen" and last - body >= 8:
+            out.payload_bytes = struct.unpack_from("<Q", data, body)[0]
+        elif kind == b"idx1":
+            index = data[body:last]
+        elif kind[2:] in (b"dc", b"db"):
+            walked.append(data[body:last])
     found = []
     for kind, _, offset, size in struct.iter_unpack("<4s3I", index[: len(index) // 16 * 16]):
         if kind[2:] in (b"dc", b"db"):
             at = next((b for b in (offset, (movi or 0) + offset) if data[b : b + 8] == kind + struct.pack("<I", size)), None)
             if at is None:  # a wrong index
-                found = walked
-                break
+                return walked
             found.append(data[at + 8 : at + 8 + size])
-    out.frames = tuple(found if index else walked)
-    return out
+    return found if found else walked
 
 
 @dataclass
@@ -169,6 +179,33 @@ class Jpeg:
     data: bytes
 
 
+def huffman_table(counts: bytes | list[int], symbols: bytes | list[int]) -> dict[tuple[int, int], int]:
+    """(length, code) -> symbol; counts: codes of each length from 1 on."""
+    table, code, it = {}, 0, iter(symbols)
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            table[length, code] = next(it)
+            code += 1
+        code <<= 1
+    return table
+
+
+def _run_lengths(first: str) -> list[int]:
+    """Symbols of runs and sizes: those given, then all others in order."""
+    given = list(bytes.fromhex(first))
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    return given + sorted(set(every) - set(given))
+
+
+# The standard's typical tables, which motion JPEG frames leave out; by class and number.
+STANDARD_TABLES = {
+    0x00: huffman_table([0, 1, 5, 1, 1, 1, 1, 1, 1], list(range(12))),
+    0x01: huffman_table([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1], list(range(12))),
+    0x10: huffman_table([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], _run_lengths("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    0x11: huffman_table([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], _run_lengths("0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f1")),
+}
+
+
 def parse_jpeg(frame: bytes) -> Jpeg:
     """Markers of a baseline JPEG up to its scan."""
     if frame[:2] != b"\xff\xd8":
@@ -189,20 +226,16 @@ def parse_jpeg(frame: bytes) -> Jpeg:
             raise ValueError("only baseline frames are read")
         elif marker == 0xC4:
             while body:
-                counts, symbols, code, table = body[1:17], body[17:], 0, {}
-                used = sum(counts)
-                it = iter(symbols[:used])
-                for length, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        table[length, code] = next(it)
-                        code += 1
-                    code <<= 1
-                out.tables[body[0]] = table
-                body = symbols[used:]
+                used = sum(body[1:17])
+                if len(body) < 17 + used:
+                    raise ValueError("a table is cut short")
+                out.tables[body[0]] = huffman_table(body[1:17], body[17 : 17 + used])
+                body = body[17 + used :]
         elif marker == 0xDD:
             out.restart = struct.unpack(">H", body[:2])[0]
         elif marker == 0xDA:
             out.scan = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            out.tables = STANDARD_TABLES | out.tables
             end = frame.rfind(b"\xff\xd9")
             out.data = frame[at + 2 + size : end if end >= 0 else len(frame)]
             return out
@@ -264,7 +297,7 @@ def _huffman_blocks(jpeg: Jpeg) -> list[np.ndarray]:
 
 def decode_units(jpeg: Jpeg) -> np.ndarray | None:
     """The bytes of a frame of this module's kind, (MCU, 192); None for other frames."""
-    if jpeg.restart != 1 or len(jpeg.scan) != 3 or any(t != {(1, 0): 8} for t in jpeg.tables.values()):
+    if jpeg.restart != 1 or len(jpeg.scan) != 3 or any(jpeg.tables.get(k) != {(1, 0): 8} for _, t in jpeg.scan for k in (t >> 4, 0x10 | t & 15)):
         return None
     parts = re.split(rb"\xff[\xd0-\xd7]", jpeg.data)
     data = np.frombuffer(b"".join([x.replace(b"\xff\x00", b"\xff") for x in parts]), np.uint8)

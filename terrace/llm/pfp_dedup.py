@@ -13,7 +13,7 @@ needs form runs, within which starts with equal bytes before the trigger are equ
 as they are; an entry is told by 96 bits. A trigger's answer is one bit for each start before it.
 
 Every start whose `length` bytes also start elsewhere covers its bytes, and covered bytes are removed.
-Texts that are equal as a whole count as one with copies. Beside that each text tells its longest stretch of
+Texts that are equal as a whole, by 128 bits of their SHA-256, count as one with copies. Beside that each text tells its longest stretch of
 entries that occur elsewhere, which catches passages under `length`.
 
 Defined results: null text counts as empty; texts shorter than `length` lose nothing; matches lie
@@ -24,11 +24,12 @@ empty table gives no rows; columns beside doc_id and text are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import input_bytes, settle, text_or_empty, trim, written
@@ -56,37 +57,40 @@ def _power(n: int, base: int = BASE) -> np.uint64:
     return np.uint64(pow(base, n, 1 << 64))
 
 
+@lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i for i < n, modulo 2 ** 64."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * _power(done, base)
+        done += more
+    return out
+
+
 class Hashes:
-    """Hashes of the strings of given lengths that start at each byte, by doubling."""
+    """Hashes of the strings of any length that start at each byte: differences of prefix sums, shifted to power 0."""
 
-    def __init__(self, body: np.ndarray, most: int, base: int = BASE):
-        self.by, self.base = {1: _BYTE[body]}, base
-        n = 1
-        while 2 * n <= most:
-            h = self.by[n]
-            self.by[2 * n] = h[: max(0, len(h) - n)] * _power(n, self.base) + h[n:]
-            n *= 2
+    def __init__(self, body: np.ndarray, base: int = BASE):
+        # Powers come in a few sizes, so that they are found again.
+        room = 1 << max(SLICE_BYTES + 1, len(body) + 1).bit_length()
+        self.shift = _powers(pow(base, -1, 1 << 64), room)
+        self.sums = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(_BYTE[body] * _powers(base, room)[: len(body)], out=self.sums[1:])
 
     def of(self, length: int) -> np.ndarray:
-        out, done = None, 0
-        for n in sorted(self.by, reverse=True):
-            if length - done >= n:
-                h = self.by[n][done:]
-                out = h if out is None else out[: len(h)] * _power(n, self.base) + h[: len(out)]
-                done += n
-        assert done == length
-        return out
+        n = max(0, len(self.sums) - length)
+        return (self.sums[length:] - self.sums[:n]) * self.shift[:n]
 
 
 def least_of(values: np.ndarray, window: int) -> np.ndarray:
-    """For each position the leftmost place of the least value among `window` from it on."""
-    least, place, n = values, np.arange(len(values), dtype=np.int32), 1
+    """For each position the leftmost place of the least value (by its upper half) among `window` from it on."""
+    least, n = values & np.uint64(0xFFFFFFFF00000000) | np.arange(len(values), dtype=np.uint64), 1
     while n < window:
-        here = least[: len(least) - n] <= least[n:]
-        place = np.where(here, place[: len(here)], place[n:])
-        least = np.minimum(least[: len(here)], least[n:])
+        least = np.minimum(least[: len(least) - n], least[n:])
         n *= 2
-    return place
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
 
 class Parsed:
@@ -101,7 +105,7 @@ class Parsed:
         self.second = length - self.entry - (self.window - 1)
         self.places = None
         if len(self.body) >= length:
-            hashes = Hashes(self.body, self.entry)
+            hashes = Hashes(self.body)
             self.places = least_of(mix(hashes.of(GRAM)), self.window)
             self.entries = mix(hashes.of(self.entry))
 
@@ -263,7 +267,7 @@ def _second_level(held: DataFrame, length: int, buckets: int) -> DataFrame:
                     if not len(t):
                         continue
                     if second is None:
-                        second = mix(Hashes(parsed.body, entry, BASE2).of(entry))
+                        second = mix(Hashes(parsed.body, BASE2).of(entry))
                     before, after = t - first, last + length - t - entry
                     # What stands before the entry and what follows it, one occurrence after the other.
                     at = np.stack([first, t + entry], axis=1).ravel()
@@ -372,9 +376,13 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("name", "text", "copies", "found1", "places", "bits").mapInArrow(run, f"name binary, n_bytes long, longest long, spans {SPANS}, kept binary")
 
 
+def _name(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 2 * NAME))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """name (MD5 of the text), n_bytes, longest, spans, kept of each distinct text."""
-    rows = docs.select(text_or_empty().cast("string").alias("text")).withColumn("name", F.unhex(F.md5("text")))
+    """name (128 bits of the text's SHA-256), n_bytes, longest, spans, kept of each distinct text."""
+    rows = docs.select(text_or_empty().cast("string").alias("text")).withColumn("name", _name(F.col("text")))
     texts = rows.groupBy("name").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     buckets = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
     dictionary = written(_first_level(rows, length, buckets), "dictionary")
@@ -388,4 +396,4 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = repeats(docs, length)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     found = found.select("name", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("longest").alias("longest_repeat"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty().cast("string"))).alias("name")).join(found, "name").drop("name")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _name(text_or_empty().cast("string")).alias("name")).join(found, "name").drop("name")
