@@ -12,18 +12,23 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from terrace.llm.words import LOWER_LINES, ragged, slices, word_codes
 
-#: Entries of each of a worker's tables; one is emptied when it is full.
+#: Entries that a worker keeps from one slice of text to the next: words that came more than once, and pieces of words.
 KEPT = 150_000
 #: The pattern of the file's pre-tokenizer, and the same over lower-case ASCII.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT_PATTERN = regex.compile(FILE_PATTERN)
+#: Marks, and letters whose lower case has marks or depends on what follows.
+CHANGING = regex.compile(r"[\p{M}\u0130\u03A3]")
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0da-z0-9]+")
 
 
@@ -49,32 +54,51 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, new: list[str]) -> None:
-        """Letter runs go to the library many at a time: each one's last id, and no other, ends a word."""
+        """Letter runs go to the library many at a time: each one's last id, and no other, ends a word. Where that fails, by halves."""
         for lo in range(0, len(new), 1000):
-            ids = self._library(" ".join(new[lo : lo + 1000]))
+            some = new[lo : lo + 1000]
+            ids = self._library(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(new[lo : lo + 1000]):
+            if len(cuts) == len(some):
                 data, at = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-                self.pieces.update((p, data[a:b]) for p, a, b in zip(new[lo : lo + 1000], [0, *at], at, strict=False))
+                self.pieces.update((p, data[a:b]) for p, a, b in zip(some, [0, *at], at, strict=False))
+            elif len(some) == 1:
+                self.pieces[some[0]] = ids.tobytes()
             else:
-                self.pieces.update((p, self._library(p).tobytes()) for p in new[lo : lo + 1000])
+                self._learn(some[: len(some) // 2])
+                self._learn(some[len(some) // 2 :])
 
-    def _ids(self, words: list[str]) -> list[bytes]:
+    @staticmethod
+    def _cut(word: str) -> tuple[str, ...] | list[str]:
+        """The pieces that the file's pattern makes of a word; one that normalising may change across pieces stays whole."""
+        if word.isascii():
+            return (word,) if word.isalpha() else ASCII_PATTERN.findall(word)
+        if word.isalpha() or CHANGING.search(word) or not unicodedata.is_normalized("NFC", word):
+            return (word,)
+        return CUT_PATTERN.findall(word)
+
+    def _ids(self, words: list[str], times: np.ndarray) -> list[bytes]:
+        """The ids of each distinct word, which came so many times."""
         out = list(map(self.words.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
         if not missing:
             return out
-        for table in (self.words, self.pieces):
-            if len(table) > KEPT:
-                table.clear()
-        cut = [(w,) if w.isascii() and w.isalpha() else ASCII_PATTERN.findall(w) if w.isascii() else (w,) for w in map(words.__getitem__, missing)]
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        cut = [self._cut(words[i]) for i in missing]
         new = {p for ps in cut for p in ps if p not in self.pieces}
-        plain = [p for p in new if p.isascii() and p.isalpha()]
-        self._learn(plain)
-        self.pieces.update((p, self._library(p).tobytes()) for p in new.difference(plain))
+        runs = [p for p in new if p.isalpha()]
+        self._learn([p for p in runs if p.isascii()])
+        self._learn([p for p in runs if not p.isascii()])
+        self.pieces.update((p, self._library(p).tobytes()) for p in new.difference(runs))
         get = self.pieces.__getitem__
         for i, ps in zip(missing, cut, strict=True):
-            out[i] = self.words[words[i]] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+            out[i] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        # Words that come once would only push out those that come again.
+        again = np.flatnonzero(times > 1)[:KEPT].tolist()
+        if len(self.words) + len(again) > 2 * KEPT:
+            self.words.clear()
+        self.words.update((words[i], out[i]) for i in again)
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -83,16 +107,17 @@ class WordEncoder:
         for _, some in slices(texts):
             if self.by_word:
                 codes, bounds, words = word_codes(some, LOWER_LINES)
-                ids = self._ids(words.to_pylist())
+                ids = self._ids(words.to_pylist(), np.bincount(codes, minlength=len(words)))
                 sizes = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
                 flat = np.frombuffer(b"".join(ids), self.dtype)
                 of_word = sizes[codes] if len(codes) else np.zeros(0, np.int64)
                 data = ragged(flat, (np.cumsum(sizes) - sizes)[codes] if len(codes) else of_word, of_word).tobytes()
                 at = (np.concatenate([[0], np.cumsum(of_word)])[bounds] * self.dtype.itemsize).tolist()
                 got = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-                for special in self.special:
-                    for i in np.flatnonzero(pc.fill_null(pc.match_substring(some, special), False).to_numpy(zero_copy_only=False)):
-                        got[i] = self._library(some[i].as_py()).tobytes()
+                # Texts with special strings, and with marks that join lower-case letters but not the capitals that stand there.
+                whole = [pc.match_substring(some, x) for x in self.special] + [pc.match_substring_regex(some, r"[A-Z]\p{M}")]
+                for i in {i for x in whole for i in np.flatnonzero(pc.fill_null(x, False).to_numpy(zero_copy_only=False)).tolist()}:
+                    got[i] = self._library(some[i].as_py()).tobytes()
             else:
                 got = [self._library(x or "").tobytes() for x in some.to_pylist()]
             out += got
