@@ -44,10 +44,9 @@ SLICE_BYTES = 4 << 20
 #: Characters of the shortest run that is scored and of the shortest random string.
 LEAST_RUN = 12
 ANY_RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}")
-#: What is ordinary by its form: UUIDs, and words between separators, which are shorter than KEY_WORD.
+#: What is ordinary by its form: UUIDs, and words between separators that are too short to be scored by themselves.
 UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 WORD_PIECE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z0-9])")
-KEY_WORD = 16
 SEPARATORS = "+/_.=-"
 WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{4,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
@@ -65,10 +64,12 @@ RATIO_BINS = np.linspace(-4, 4, 801)
 TAIL = 1e-4
 #: The share of generated strings that lie below their tail.
 RANDOM_TAIL = 0.01
+#: Where the threshold lies between the ordinary tail (0) and the random one (1): a key that is missed costs more than a word.
+ABOVE_ORDINARY = 0.25
 #: The most that one pair counts, in nats.
 MOST_GAIN = 2.0
 #: No threshold is lower; in nats a character.
-LEAST_RATIO = 0.3
+LEAST_RATIO = 0.25
 
 
 def plain_spans(text: str) -> list[tuple[int, int, str]]:
@@ -114,12 +115,18 @@ class Markov:
 
     def gains(self, run: str) -> np.ndarray:
         """The ratio of each character after the one before; odd pairs and separators don't make a run random by themselves."""
-        codes = CODE[np.frombuffer(("\0" + run).encode("ascii"), np.uint8)]
+        words = list(WORD_PIECE.finditer(run))
+        # Capitals alone are a word's letters like any: text has few, so that they tell nothing.
+        told = list(run)
+        for m in words:
+            if m[0].isupper():
+                told[m.start() : m.end()] = m[0].lower()
+        codes = CODE[np.frombuffer(("\0" + "".join(told)).encode("ascii"), np.uint8)]
         gains = np.minimum(self.ratios[codes[:-1], codes[1:]], MOST_GAIN)
         seam = codes >= SEPARATED
         gains = np.where(seam[:-1] | seam[1:], np.minimum(gains, 0.0), gains)
-        for m in WORD_PIECE.finditer(run):
-            if len(m[0]) < KEY_WORD:
+        for m in words:
+            if len(m[0]) < LEAST_RUN:
                 gains[m.start() : m.end()] = np.minimum(gains[m.start() : m.end()], 0.0)
         for m in UUID.finditer(run):
             gains[m.start() : m.end()] = -MOST_GAIN
@@ -241,7 +248,7 @@ def train(docs: DataFrame) -> Markov:
     model = Markov(ratios, ordinary)
     # Between the tails of both labelled samples, or where they meet the lower one, so that no sample of documents hides all keys.
     generated = float(np.quantile([best_mean(model.gains(x)) for x in random_strings()], RANDOM_TAIL))
-    return Markov(ratios, max(LEAST_RATIO, (ordinary + generated) / 2 if generated > ordinary else generated))
+    return Markov(ratios, max(LEAST_RATIO, ordinary + (generated - ordinary) * ABOVE_ORDINARY if generated > ordinary else generated))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"

@@ -151,7 +151,7 @@ def test_pareto_mix(docs, empty):
 
 def test_secret_spans(spark, docs, empty):
     text = TEXTS[12]
-    assert secret_scan.plain_spans(text) == [(0, 34, "assign"), (9, 33, "hex"), (35, 55, "access")] or [k for *_, k in secret_scan.plain_spans(text)] == ["assign", "hex", "access"]
+    assert secret_scan.plain_spans(text) == [(0, 33, "assign"), (9, 33, "hex"), (35, 55, "access")]
     model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert [k for *_, k in model.spans("key qZ7xW2vK9pL4mN8rT5yB3cD6 here")] == ["markov"]
     assert model.spans("onlyordinarywordsinthistext internationalization2 here") == []
@@ -318,13 +318,17 @@ def test_secret_segments(spark):
 def test_recall_and_precision_of_secrets(spark):
     model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     letters = secret_scan.ALPHABET
-    for k, alphabet in enumerate((letters[:62], letters[:64], letters[:62] + "-_", letters[26:62], letters[:26] + letters[52:62], letters[:52])):
+    for k, alphabet in enumerate((letters[:62], letters[:64], letters[:62] + "-_", letters[26:62], letters[:26] + letters[52:62], letters[:52], letters[26:52] + "234567", letters[:26], letters[26:52])):
         for size in (12, 16, 24, 40):
             keys = _keys(100 * k + size, 150, alphabet, size)
-            assert sum(sum(b - a for a, b, _ in model.spans(f"the key {x} here")) >= 0.75 * size for x in keys) >= 0.9 * len(keys)
+            assert sum(sum(b - a for a, b, _ in model.spans(f"the key {x} here")) >= 0.75 * size for x in keys) >= (0.8 if size == 12 and alphabet in (letters[:26], letters[26:52]) else 0.9) * len(keys)
+    # Digits look like any number of the text; from 16 on they are plain spans.
+    for size, least in ((12, 0.3), (15, 0.5), (16, 1.0)):
+        keys = _keys(size, 200, letters[52:62], size)
+        assert sum(bool(model.spans(f"the key {x} here")) for x in keys) >= least * len(keys)
     rng = np.random.default_rng(9)
     plain = [str(uuid.UUID(bytes=rng.bytes(16))) for _ in range(100)] + """https://www.example.com/products/category/item-description.html /usr/local/lib/python3.11/site-packages/numpy/core getElementsByTagName
-        my_very_long_identifier_name_for_testing com.example.application.services.UserService 2024-05-17T12:33:45.123Z user.name+tag@example.com README_INSTALLATION_GUIDE.md""".split()
+        my_very_long_identifier_name_for_testing com.example.application.services.UserService 2024-05-17T12:33:45.123Z user.name+tag@example.com README_INSTALLATION_GUIDE.md characteristics internationally ENVIRONMENTAL authentication configuration Verantwortung gouvernement establecimiento""".split()
     assert not [x for x in plain if any(k == "markov" for *_, k in model.spans(f"see {x} there"))]
 
 
