@@ -23,7 +23,7 @@ import regex
 from terrace.llm.words import LOWER_LINES, ragged, slices, word_codes
 
 #: Entries that a worker keeps from one slice of text to the next: words that came more than once, and pieces of words.
-KEPT = 150_000
+KEPT, KEPT_PIECES = 150_000, 350_000
 #: The pattern of the file's pre-tokenizer, and the same over lower-case ASCII.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT_PATTERN = regex.compile(FILE_PATTERN)
@@ -83,7 +83,7 @@ class WordEncoder:
         missing = [i for i, x in enumerate(out) if x is None]
         if not missing:
             return out
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         cut = [self._cut(words[i]) for i in missing]
         new = {p for ps in cut for p in ps if p not in self.pieces}
