@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import input_bytes, partitions_for, text_or_empty, trim, written
+from terrace.llm.common import dropped, input_bytes, partitions_for, text_or_empty, trim, written
 from terrace.llm.key_counts import pack, unpack
 from terrace.llm.words import cut_array, raw, slices
 
@@ -297,7 +297,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, trie_bytes: int = TRIE_BY
     merged = written(_merge(_sent(docs, edges(docs, ranges), trie_bytes), partitions, least, merge_leaves), "tries")
     cut = merged.where("open").groupBy("lang", "phrase", "depth").agg(F.sum("a").alias("a"))
     cut = cut.where((F.col("a") >= least) | (F.col("depth") == 0)).withColumn("lefts", F.expr("if(depth > 1, array_repeat(cast(null as bigint), depth - 1), array())"))
-    return written(merged.where(~F.col("open")).drop("open").unionByName(cut.select("lang", "phrase", "depth", "a", "lefts")), "phrases")
+    out = written(merged.where(~F.col("open")).drop("open").unionByName(cut.select("lang", "phrase", "depth", "a", "lefts")), "phrases")
+    dropped(merged)
+    return out
 
 
 def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP, **sizes: int) -> DataFrame:
