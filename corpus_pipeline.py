@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import forced_bpe, langid, ngram_join, pareto_mix, secret_scan
-from terrace.llm.common import written
+from terrace.llm.common import dropped, written
 from terrace.llm.queries import tokenizer_path
 
 
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = written(docs, name)
+            if held is not None:
+                dropped(held)
+            held = docs
     return docs
