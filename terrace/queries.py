@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
-from terrace.operators import compare, generate, intake, retrieve, texts, trace
+from terrace.operators import assistant, compare, generate, intake, retrieve, texts, trace
 from terrace.plans.fixture import BASE, REF, stored_star
 from terrace.plans.graph import GraphContext, shared_folder
 from terrace.plans.store import GraphStore
@@ -111,6 +112,25 @@ def _united(spark: SparkSession, d: str) -> GraphContext:
     return replace(ctx, merged=ctx.triples().unionByName(more), _held={})
 
 
+@query("g14_answer_facts", WITH + f"SELECT '{_N}' AS concept, kind, n FROM (SELECT 'mappings' AS kind, (SELECT count(*) FROM edge WHERE obj = '{_N}') AS n UNION ALL SELECT 'attributes', (SELECT count(*) FROM nation WHERE n_nationkey = 3) UNION ALL SELECT 'links_out', (SELECT count(*) FROM link WHERE domain = '{_N}') UNION ALL SELECT 'links_in', (SELECT count(*) FROM link WHERE range = '{_N}'))")
+def _answer_facts(spark: SparkSession, d: str) -> DataFrame:
+    """A question about a nation by its name: the concept that it is taken for, and how many facts of each kind are gathered."""
+    name = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey = 3").first()["n_name"]
+    facts = trace.answer(stored_star(spark, d), f"What is {name}?")
+    (concept,) = facts["concepts"]
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(concept).alias("concept"), F.lit(kind).alias("kind"), "n") for kind, df in facts["traces"][0].items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("n1_routed_question", ORACLES["q3_gap_by_vendor_building"])
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    """A question in words, routed to a query of the catalog and its parameters, then run."""
+    engine = compare.Engine(stored_star(spark, d))
+    overlays = [{"prefix": p, "namespace": ns} for p, ns in engine.ctx.namespaces.items() if p != engine.ctx.reference]
+    routed = assistant.route("What does building not map?", engine.list_queries(), overlays)
+    return engine.run(routed["query"], routed["params"])
+
+
 query("g3_attributes_of_unions", f"SELECT '{REF}code' || n_nationkey AS prop, 'code' AS label, NULL::VARCHAR AS range FROM nation WHERE n_regionkey = 1")(lambda spark, d: trace.concept_attributes(trace.with_unions(_united(spark, d)), f"{REF}R1"))
 
 
@@ -508,6 +528,14 @@ def _duplicates(spark: SparkSession, d: str) -> DataFrame:
     return generate.duplicate_definitions(_attributes(spark, d).select("local", (F.col("p_partkey") % 2 == 0).alias("is_class")))
 
 
+@query("t19_meta_clashes", "SELECT DISTINCT ['DataObject', 'verdict', 'keyField'][p_partkey % 3 + 1] AS local FROM part WHERE p_partkey % 50 = 0")
+def _meta_clashes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose names are those of the meta-schema here and there."""
+    k = F.col("p_partkey")
+    own = F.get(F.array(*map(F.lit, ("DataObject", "verdict", "keyField"))), (k % 3).cast("int"))
+    return generate.meta_clashes(spark.read.parquet(f"{d}/part.parquet").select(F.when(k % 50 == 0, own).otherwise(F.concat(F.lit("a"), k.cast("string"))).alias("local")))
+
+
 @query("t9_resolve_classes", """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'N' || s_nationkey WHEN 1 THEN 'N' || s_nationkey WHEN 2 THEN 'N' || s_nationkey WHEN 3 THEN 'UnresolvedReference' WHEN 4 THEN 'UnresolvedReference' ELSE 'NewThing' || s_suppkey END AS iri, ['exact', 'bare', 'alternative', 'datatype', 'unverified', 'minted'][s_suppkey % 6 + 1] AS how FROM supplier""")
 def _resolve(spark: SparkSession, d: str) -> DataFrame:
     nation = spark.read.parquet(f"{d}/nation.parquet")
@@ -578,6 +606,30 @@ def _prompts(spark: SparkSession, d: str) -> DataFrame:
     return intake.prompt_text(concept_records(spark, d)).select(F.split("source", "/")[1].cast("int").alias("n_nationkey"), "prompt")
 
 
+@query("m1_customer_prompts", """WITH r AS (SELECT c_custkey AS k, c_mktsegment AS seg, repeat(c_name || ' ', (c_custkey % 1000)::INTEGER) AS prose FROM customer),
+p AS (SELECT k, substr(CASE WHEN k % 3 = 0 THEN '## ' || seg || chr(10) || 'k' || k || chr(10) || chr(10) WHEN prose <> '' THEN prose || chr(10) || chr(10) ELSE '' END || 'Table headers: ' || seg || ' | x', 1, 12000) AS prompt FROM r) SELECT k AS c_custkey, length(prompt)::BIGINT AS n, md5(prompt) AS digest FROM p""")
+def _customer_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of short and of overlong records, with sections or prose, and tables without rows."""
+    types, k = dict(x.split(" ", 1) for x in intake.RECORD.split(", ") if " " in x), F.col("c_custkey")
+    told = F.array(F.struct(F.col("c_mktsegment").alias("heading"), F.lit(1).alias("level"), F.concat(F.lit("k"), k.cast("string")).alias("text")), F.struct(F.lit("empty").alias("heading"), F.lit(2).alias("level"), F.lit("").alias("text")))
+    none = lambda c: F.array().cast(types[c])
+    tables = F.array(F.struct(F.array(F.col("c_mktsegment"), F.lit("x")).alias("headers"), F.array().cast("array<array<string>>").alias("rows")))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(k, F.expr("repeat(concat(c_name, ' '), cast(c_custkey % 1000 as int))").alias("prose"), F.when(k % 3 == 0, told).otherwise(none("sections")).alias("sections"), none("lists").alias("lists"), tables.alias("tables"))
+    return intake.prompt_text(rows).select("c_custkey", F.length("prompt").cast("long").alias("n"), F.md5("prompt").alias("digest"))
+
+
+@query("m3_mapping_problems", """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'no readable mapping' ELSE concat_ws('; ', CASE WHEN c_custkey % 3 = 0 THEN 'unknown match type odd' END, CASE WHEN c_custkey % 4 = 0 THEN 'unknown verdict ' || c_mktsegment END,
+CASE WHEN c_custkey % 7 = 0 THEN 'confidence is not within 0 and 1' END, CASE WHEN c_custkey % 5 = 0 THEN 'unknown node type' END) END AS problems FROM customer""")
+def _mapping_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a mapper's answers, some in fences, some wrong in one way or more, some no JSON."""
+    k = F.col("c_custkey")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    concept = text('{"concept": {"name": "', F.col("c_name"), '", "type": "', F.when(k % 5 == 0, "Widget").otherwise("Data Object"), '", "match_type": "', F.when(k % 3 == 0, "odd").otherwise("closeMatch"), '", "verdict": "', F.when(k % 4 == 0, F.col("c_mktsegment")).otherwise("covered"), '"}, "attributes": [{"name": "a", "confidence": ', F.when(k % 7 == 0, "1.5").otherwise("0.5"), '}], "relationships": []}')
+    answer = F.when(k % 11 == 0, "sorry").when(k % 2 == 0, text("```json\n", concept, "\n```")).otherwise(concept)
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", answer.alias("mapped_json"))
+    return intake.checked(rows).select("c_custkey", F.array_join("problems", "; ").alias("problems"))
+
+
 @query("m3_mapped_records", "SELECT 'n/' || n_nationkey AS source, CASE WHEN n_nationkey % 5 <> 0 THEN n_name ELSE '' END AS maps_to, CASE WHEN n_nationkey % 5 <> 0 THEN 'covered' ELSE 'vendor-extension' END AS verdict, n_nationkey % 5 = 0 AS low, 0::INTEGER AS problems FROM nation")
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     vocabulary = spark.read.parquet(f"{d}/nation.parquet").select(F.lower("n_name").alias("kind"), F.col("n_name").alias("name"))
