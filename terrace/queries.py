@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import terms as t
 from terrace.operators import assistant, compare, generate, intake, retrieve, texts, trace
-from terrace.plans.fixture import BASE, REF, stored_star
+from terrace.plans.fixture import BASE, REF, star_graph, stored_star
 from terrace.plans.graph import GraphContext, shared_folder
 from terrace.plans.store import GraphStore
 
@@ -60,8 +60,8 @@ on_graph("q6_extension_surface_building", lambda g: compare.extension_surface(g,
 on_graph("q7_drill_down", lambda g: compare.drill_down(g, f"{REF}N3"), "SELECT e.vendor, e.term, e.match, e.name AS label, e.verdict, 'order/' || f.first AS source_doc FROM edge e LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1) f ON f.o_custkey = e.k WHERE e.obj = '" + REF + "N3'")
 on_graph("q8_completeness_guard", compare.completeness_guard, "SELECT vendor, count(DISTINCT obj) AS mapped_objects FROM edge GROUP BY 1")
 on_graph("q9_vendors", compare.vendor_list, "SELECT DISTINCT vendor AS ns, seg AS prefix FROM cust")
-on_graph("q10_namespaces", compare.namespace_list, f"""SELECT 'urn:graph:ref' AS g, '{REF}' AS ns, 4 + 3 * (SELECT count(*) FROM obj) + 3 * (SELECT count(DISTINCT p_type) FROM part) + 5 * (SELECT count(*) FROM linked) + 4 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) AS n
-UNION ALL SELECT 'urn:graph:' || seg, vendor, count(*) * 4 + count(*) FILTER (mapped) + count(*) FILTER (EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k)) FROM cust GROUP BY 1, 2""")
+query("q10_namespaces", WITH + f"""SELECT 'urn:graph:ref' AS g, '{REF}' AS ns, 4 + 3 * (SELECT count(*) FROM obj) + 3 * (SELECT count(DISTINCT p_type) FROM part) + 5 * (SELECT count(*) FROM linked) + 4 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) AS n
+UNION ALL SELECT 'urn:graph:' || seg, vendor, count(*) * 4 + count(*) FILTER (mapped) + count(*) FILTER (EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k)) FROM cust GROUP BY 1, 2""")(lambda spark, d: compare.namespace_list(star_graph(spark, d)))
 on_graph("q11_status", compare.status, """SELECT 'urn:graph:ref' AS g, 4 + 3 * (SELECT count(*) FROM obj) + 3 * (SELECT count(DISTINCT p_type) FROM part) + 4 * (SELECT count(*) FROM linked) + (SELECT count(*) FROM (SELECT DISTINCT cap, obj FROM linked)) + 4 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) AS triples, 8::BIGINT AS queries
 UNION ALL SELECT 'urn:graph:' || seg, count(*) * 4 + count(*) FILTER (mapped) + count(*) FILTER (EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k)), 8::BIGINT FROM cust GROUP BY 1""")
 on_graph("q12_coverage_buckets", compare.coverage_buckets, "SELECT o.obj, o.label, coalesce(string_agg(DISTINCT e.seg, ',' ORDER BY e.seg), '') AS covered_by, CASE WHEN count(DISTINCT e.seg) = 0 THEN 'none' WHEN count(DISTINCT e.seg) >= (SELECT count(DISTINCT seg) FROM cust) THEN 'all' ELSE 'some' END AS bucket FROM obj o LEFT JOIN edge e ON e.obj = o.obj GROUP BY 1, 2")
