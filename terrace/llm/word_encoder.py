@@ -51,7 +51,8 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        # The fast call keeps no offsets, which nobody needs here.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, new: list[str]) -> None:
         """Letter runs go to the library many at a time: each one's last id, and no other, ends a word. Where that fails, by halves."""
