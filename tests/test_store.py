@@ -125,7 +125,7 @@ def test_texts_give_the_builders_rows(spark):
 def test_a_folder_of_texts(spark, tmp_path):
     ctx = stored_star(spark, DIR)
     (tmp_path / "named.sql").write_text("-- Terms of a name: it's :ASIDE here\nSELECT s FROM {triples} WHERE p = :rdfs_label AND o = :NAME AND s <> ':QUOTED' AND startswith(s, :ref_) AND s::string IS NOT NULL\n")
-    (tmp_path / "broken.sql").write_text("-- x\nSELECT * FROM {triples} WHERE\n")
+    (tmp_path / "broken.sql").write_text("-- x\nSELECT * FROM {triples} WHERE p = = :rdfs_label\n")
     engine = texts.TextEngine(ctx, str(tmp_path))
     assert engine.list_queries()[1] == {"name": "named", "params": ["NAME"], "about": "Terms of a name: it's :ASIDE here"}
     assert [r.s for r in engine.run("named", {"NAME": "ASIA"}).collect()] == [f"{REF}R2"]
