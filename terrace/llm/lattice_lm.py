@@ -50,7 +50,7 @@ CONCENTRATIONS = (30, 60, 120, 240, 480, 960, 3840, 15360)
 PRIOR = 0.01
 #: Classes kept apart, the most frequent; other labels share one. Weight of the common mean within a class, in words.
 CLASSES, SHARED = 12, 2000.0
-#: Words of more bytes are scored one by one, and don't take part in the pieces' fit.
+#: Words of more bytes are taken one by one, in the pieces' fit as in the scores.
 LONG = 256
 BUCKET_BYTES = 8 << 20
 LINE = 32  # the byte that stands for a word's start; no word holds a blank
@@ -138,10 +138,10 @@ def forward(found: list, logs: np.ndarray, n: int, size: int) -> np.ndarray:
     return a
 
 
-def long_word_log(pieces: Pieces, logs: np.ndarray, word: bytes) -> float:
-    """As word_logs() of one long word: pieces are found at all its places at once, then the recursion goes place by place."""
+def long_word_arcs(pieces: Pieces, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, piece) of all pieces in one word, found at all its places at once; by ascending `to`."""
     text = np.concatenate([np.array([LINE], np.uint8), np.frombuffer(word, np.uint8)])
-    starts, ends, weights = [np.arange(len(text))], [np.arange(1, len(text) + 1)], [logs[pieces.byte[text]]]
+    starts, ends, found = [np.arange(len(text))], [np.arange(1, len(text) + 1)], [pieces.byte[text]]
     h = text.astype(np.uint64) + np.uint64(1)
     for size in range(2, min(len(text), pieces.longest) + 1):
         h = h[:-1] * _K + text[size - 1 :] + np.uint64(1)
@@ -149,17 +149,38 @@ def long_word_log(pieces: Pieces, logs: np.ndarray, word: bytes) -> float:
         hit = np.flatnonzero(pieces.hashes[at] == h)
         starts.append(hit)
         ends.append(hit + size)
-        weights.append(logs[pieces.number[at[hit]]])
-    start, end, weight = (np.concatenate(x) for x in (starts, ends, weights))
+        found.append(pieces.number[at[hit]])
+    start, end, piece = (np.concatenate(x) for x in (starts, ends, found))
     order = np.argsort(end, kind="stable")
-    bounds = np.searchsorted(end[order], np.arange(1, len(text) + 2))
-    start, weight = start[order].tolist(), weight[order].tolist()
-    a = [0.0] * (len(text) + 1)
-    for i, (lo, hi) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False), 1):
-        parts = [a[start[k]] + weight[k] for k in range(lo, hi)]
+    return start[order], end[order], piece[order]
+
+
+def place_by_place(into: np.ndarray, other: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """Log sums at the places 0 to size: 0 at the first, then those of the arcs into a place (ascending) from their other places."""
+    bounds = np.searchsorted(into, np.arange(1, size + 2)).tolist()
+    other, weight = other.tolist(), weight.tolist()
+    a = [0.0] * (size + 1)
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
+        parts = [a[other[k]] + weight[k] for k in range(lo, hi)]
         most = max(parts)
         a[i] = most + log(sum(exp(x - most) for x in parts))
-    return a[-1]
+    return np.array(a)
+
+
+def long_word_log(pieces: Pieces, logs: np.ndarray, word: bytes) -> float:
+    """As word_logs() of one long word."""
+    start, end, piece = long_word_arcs(pieces, word)
+    return float(place_by_place(end, start, logs[piece], len(word) + 1)[-1])
+
+
+def long_word_uses(pieces: Pieces, logs: np.ndarray, word: bytes) -> np.ndarray:
+    """As expected() of one long word that occurs once."""
+    start, end, piece = long_word_arcs(pieces, word)
+    size = len(word) + 1
+    a = place_by_place(end, start, logs[piece], size)
+    back = np.argsort(-start, kind="stable")
+    b = place_by_place(size - start[back], size - end[back], logs[piece[back]], size)[::-1]
+    return np.bincount(piece, np.exp(a[start] + logs[piece] + b[end] - a[-1]), len(logs))
 
 
 def word_logs(pieces: Pieces, logs: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -177,7 +198,12 @@ def word_logs(pieces: Pieces, logs: np.ndarray, words: list[bytes]) -> np.ndarra
 def expected(pieces: Pieces, logs: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words that occur counts times."""
     out = np.zeros(len(logs))
-    for at, matrix in by_length(words):
+    short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out += counts[i] * long_word_uses(pieces, logs, w)
+    for at, matrix in by_length([words[i] for i in short]):
+        at = short[at]
         n, size = matrix.shape
         found = list(arcs(pieces, matrix))
         a = forward(found, logs, n, size)
@@ -299,7 +325,7 @@ def fit(table: DataFrame, pieces: Pieces, documents: int, rounds: int = ROUNDS)
                     if not words:
                         continue
                     counts = unpack(counts, "i8").reshape(len(words), -1).sum(axis=1)
-                    some = np.array([i for i in np.flatnonzero(counts).tolist() if len(words[i]) <= LONG], np.int64)
+                    some = np.flatnonzero(counts).tolist()
                     total += expected(own, logs, [words[i] for i in some], np.ones(len(some)))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])

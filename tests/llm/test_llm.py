@@ -359,6 +359,25 @@ def test_long_words_and_absent_labels(spark):
     assert got[99].n_tokens == 2 and np.isfinite(got[99].score)
 
 
+def test_words_of_any_length_take_part_in_the_pieces_fit(spark):
+    pieces = lattice_lm.Pieces.of(tokenizer_path("piece_bpe_32k.model"))
+    logs, words = np.log(pieces.first), [prose(7, 60).replace(" ", "").encode(), b"inthor"]
+    assert len(words[0]) > lattice_lm.LONG
+    plain = np.full(len(logs), lattice_lm.PRIOR)
+    for word in words:
+        (_, m), = lattice_lm.by_length([word])
+        found, size = list(lattice_lm.arcs(pieces, m)), m.shape[1]
+        a = lattice_lm.forward(found, logs, *m.shape)[:, 0]
+        b = np.full(size + 1, -np.inf)
+        b[size] = 0.0
+        for i, j, rows, piece in reversed(found):
+            b[i] = np.logaddexp(b[i], logs[piece[0]] + b[j])
+        for i, j, rows, piece in found:
+            plain[piece[0]] += np.exp(a[i] + logs[piece[0]] + b[j] - a[size])
+    table = spark.createDataFrame([(bytearray(b" ".join(words)), bytearray(lattice_lm.pack(np.array([3, 0, 1, 2], np.int64))))], "words binary, counts binary")
+    assert lattice_lm.fit(table, pieces, 1, 1) == pytest.approx(np.log(plain / plain.sum()), abs=1e-9)
+
+
 def test_frames_that_are_damaged_cut_short_or_subsampled(spark):
     avi = mjpeg.write_avi(np.random.default_rng(0).bytes(256 * 48))
     frames = mjpeg.read_avi(avi).frames
