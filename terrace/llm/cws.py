@@ -26,19 +26,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import checkpointed, partitions_for, text_or_empty, written
+from terrace.llm.common import checkpointed, partitions_for, settle, text_or_empty, written
 
 SAMPLES = 64
 #: Samples computed for one row of the fold; with more, the JVM no longer compiles the generated method.
 GROUP = 2
-SEED = 77
 #: Steps of a sample's value in its order; values lie within ±64.
 STEPS = 1 << 24
 
 
 def hashed_words(text: Column, kind: int) -> Column:
     """The lower-case words of a text as hashes whose last bit is kind."""
-    words = F.split(F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), " ")
+    words = F.split(F.btrim(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(-2).bitwiseOR(kind))
 
 
@@ -63,17 +62,34 @@ def _exponential(bits: Column) -> Column:
 LN2 = float(np.log(2))
 _X = (np.arange(1 << 16) + 0.5) / (1 << 16)
 _LOG = np.polyfit(_X, -np.log((1 + _X) / 2), 6)
+#: Between these values ln(x) comes from x's ratio to MIDDLE: 2 artanh(z), z = (x - MIDDLE) / (x + MIDDLE), by an odd polynomial.
+NEAR, FAR = 0.4, 12.0
+MIDDLE = (NEAR * FAR) ** 0.5
+_Z = np.sin(np.linspace(0, np.pi / 2, 4001)) * (FAR - MIDDLE) / (FAR + MIDDLE)
+_ARTANH = np.linalg.lstsq(_Z[1:, None] ** np.arange(13, 0, -2), 2 * np.arctanh(_Z[1:]), rcond=None)[0]
+
+
+def _ratio(x: Column) -> Column:
+    return (x - F.lit(MIDDLE)) / (x + F.lit(MIDDLE))
+
+
+def _ln(x: Column, z: Column) -> Column:
+    """ln(x), z its _ratio(); Spark's own, which costs as much as the rest of a draw, only for the few draws beyond NEAR and FAR."""
+    poly = F.lit(float(_ARTANH[0]))
+    for c in _ARTANH[1:]:
+        poly = poly * (z * z) + F.lit(float(c))
+    return F.when((x > NEAR) & (x < FAR), poly * z + F.lit(float(np.log(MIDDLE)))).otherwise(F.log(x))
 
 
 def _draws(term: Column, k: Column) -> tuple[Column, Column, Column, Column]:
-    """r, ln(c), b of a term's k-th sample, and a hash for its name."""
-    h1 = F.xxhash64(term, k, F.lit(SEED))
+    """r, c, b of a term's k-th sample, and a hash for its name."""
+    h1 = F.xxhash64(term, k)
     h2 = F.xxhash64(h1)
     h3 = F.xxhash64(h2)
     r = _exponential(h1) + _exponential(F.shiftrightunsigned(h1, 32))
-    log_c = F.log(_exponential(h2) + _exponential(F.shiftrightunsigned(h2, 32)))
+    c = _exponential(h2) + _exponential(F.shiftrightunsigned(h2, 32))
     b = (F.shiftrightunsigned(h3, 11) + F.lit(0.5)) * F.lit(2.0**-53)
-    return r, log_c, b, h3
+    return r, c, b, h3
 
 
 def _sample(r: Column, log_c: Column, b: Column, h3: Column, log_weight: Column) -> Column:
@@ -104,6 +120,9 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: tuple[str, ...] = ("te
     exploded = exploded.withColumn("g", F.explode(F.array(*(F.lit(g) for g in range(0, SAMPLES, GROUP)))))
     draws = [[x.alias(f"{n}{k}") for n, x in zip("rcbh", _draws(F.col("term"), F.col("g") + F.lit(k)), strict=True)] for k in range(GROUP)]
     drawn = exploded.select(*keys, "g", "w0", "w1", *(x for own in draws for x in own))
+    # Steps of their own, so that a ratio is divided once.
+    drawn = drawn.select("*", *(_ratio(F.col(f"c{k}")).alias(f"z{k}") for k in range(GROUP)))
+    drawn = drawn.withColumns({f"c{k}": _ln(F.col(f"c{k}"), F.col(f"z{k}")) for k in range(GROUP)})
     least = [F.min(_sample(*(F.col(f"{n}{k}") for n in "rcbh"), F.col(f"w{kind}"))).alias(f"m{kind}{k}") for kind in range(len(texts)) for k in range(GROUP)]
     folded = drawn.groupBy(*keys, "g").agg(*least)
     low = lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
@@ -157,6 +176,7 @@ def report(docs: DataFrame) -> DataFrame:
     digests = both.select("id", "h", F.sha2("edited", 256).alias("edited_sha256"))
     # Written, since a fingerprint is wanted twice: for its document and for the one before.
     own = written(own.join(digests, ["id", "h"]).join(order, ["id", "h"]), "fingerprints")
+    settle(docs.sparkSession)
     after = own.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("after"))
     rows = own.join(after, ["next_id", "next_h"]).join(counts.select("id", "h", "copies"), ["id", "h"])
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -359,6 +359,12 @@ def test_long_words_and_absent_labels(spark):
     assert got[99].n_tokens == 2 and np.isfinite(got[99].score)
 
 
+def test_logarithms_of_draws(spark):
+    x = spark.range(1, 60000).select((F.col("id") / 2000.0).alias("x"))
+    rows = x.select("x", cws._ratio(F.col("x")).alias("z")).select(cws._ln(F.col("x"), F.col("z")).alias("ln"), "x").collect()
+    assert max(abs(r.ln - math.log(r.x)) for r in rows) < 1e-6
+
+
 def test_secret_models_learn_from_every_document(spark):
     rng, letters = np.random.default_rng(5), secret_scan.ALPHABET
     word = lambda n: "".join(letters[i] for i in np.minimum(rng.geometric(0.09, n), len(letters)) - 1)
