@@ -59,12 +59,15 @@ _K = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Pieces:
-    """Vocabulary pieces as bytes: hashes in ascending order, and the number of each single byte."""
+    """Vocabulary pieces as bytes: hashes in ascending order, and the number of each single byte. begun: hashes of the pieces and
+    of what they begin with, ascending, each with its piece in whole (-1: a beginning only)."""
 
     hashes: np.ndarray
     number: np.ndarray
     byte: np.ndarray
     longest: int
+    begun: np.ndarray
+    whole: np.ndarray
     first: np.ndarray  # probabilities from the file's ranks
 
     @classmethod
@@ -88,12 +91,21 @@ class Pieces:
         texts = sorted(best)
         hashes = np.array([cls.hash_of(t) for t in texts], np.uint64)
         order = np.argsort(hashes)
+        known = {t[:n]: -1 for t in texts for n in range(1, len(t))} | {t: i for i, t in enumerate(texts)}
+        begun, whole = np.array([cls.hash_of(t) for t in known], np.uint64), np.array(list(known.values()), np.int64)
+        by_hash = np.argsort(begun)
         byte = np.zeros(256, np.int64)
         for i, t in enumerate(texts):
             if len(t) == 1:
                 byte[t[0]] = i
         p = np.array([best[t] for t in texts])
-        return cls(hashes[order], order, byte, max(map(len, texts)), p / p.sum())
+        return cls(hashes[order], order, byte, max(map(len, texts)), begun[by_hash], whole[by_hash], p / p.sum())
+
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hashes a piece has or begins with, the piece of each of these or -1)."""
+        at = np.minimum(np.searchsorted(self.begun, h), len(self.begun) - 1)
+        known = np.flatnonzero(self.begun[at] == h)
+        return known, self.whole[at[known]]
 
     @staticmethod
     def hash_of(text: bytes) -> int:
@@ -121,13 +133,15 @@ def arcs(pieces: Pieces, matrix: np.ndarray) -> Iterator[tuple[int, int, np.ndar
     rows = np.arange(n)
     for i in range(size):
         yield i, i + 1, rows, pieces.byte[matrix[:, i]]
-        h = matrix[:, i].astype(np.uint64) + np.uint64(1)
+        live, h = rows, matrix[:, i].astype(np.uint64) + np.uint64(1)
         for j in range(i + 2, min(size, i + pieces.longest) + 1):
-            h = h * _K + matrix[:, j - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
-            hit = np.flatnonzero(pieces.hashes[at] == h)
-            if len(hit):
-                yield i, j, hit, pieces.number[at[hit]]
+            h = h * _K + matrix[live, j - 1] + np.uint64(1)
+            known, piece = pieces.found(h)
+            live, h, hit = live[known], h[known], piece >= 0
+            if not len(live):
+                break
+            if hit.any():
+                yield i, j, live[hit], piece[hit]
 
 
 def forward(found: list, logs: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -142,14 +156,16 @@ def long_word_arcs(pieces: Pieces, word: bytes) -> tuple[np.ndarray, np.ndarray,
     """(from, to, piece) of all pieces in one word, found at all its places at once; by ascending `to`."""
     text = np.concatenate([np.array([LINE], np.uint8), np.frombuffer(word, np.uint8)])
     starts, ends, found = [np.arange(len(text))], [np.arange(1, len(text) + 1)], [pieces.byte[text]]
-    h = text.astype(np.uint64) + np.uint64(1)
+    live, h = starts[0], text.astype(np.uint64) + np.uint64(1)
     for size in range(2, min(len(text), pieces.longest) + 1):
-        h = h[:-1] * _K + text[size - 1 :] + np.uint64(1)
-        at = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
-        hit = np.flatnonzero(pieces.hashes[at] == h)
-        starts.append(hit)
-        ends.append(hit + size)
-        found.append(pieces.number[at[hit]])
+        inside = live + size <= len(text)
+        live = live[inside]
+        h = h[inside] * _K + text[live + size - 1] + np.uint64(1)
+        known, piece = pieces.found(h)
+        live, h, hit = live[known], h[known], piece >= 0
+        starts.append(live[hit])
+        ends.append(live[hit] + size)
+        found.append(piece[hit])
     start, end, piece = (np.concatenate(x) for x in (starts, ends, found))
     order = np.argsort(end, kind="stable")
     return start[order], end[order], piece[order]
@@ -224,12 +240,17 @@ def _stirling(x: np.ndarray) -> np.ndarray:
 
 
 def rising_rest(p: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """ln of (p + 1) ... (p + times - 1): all but the first factor, which doesn't hang on times."""
-    out = np.zeros(len(p))
-    for k in range(1, min(8, int(times.max(initial=1)))):
-        more = times > k
-        out[more] += np.log(p[more] + k)
-    far = np.flatnonzero(times > 8)
+    """ln of (p + 1) ... (p + times - 1): all but the first factor, which doesn't hang on times. Quickest where times descend."""
+    if (times[1:] > times[:-1]).any():
+        order, out = np.argsort(-times, kind="stable"), np.empty(len(p))
+        out[order] = rising_rest(p[order], times[order])
+        return out
+    more = np.searchsorted(-times, -np.arange(9))  # how many have more than k
+    out = np.ones(len(p))
+    for k in range(1, 8):
+        out[: more[k]] *= p[: more[k]] + k
+    out = np.log(out)
+    far = slice(0, more[8])
     out[far] += _stirling(p[far] + times[far]) - _stirling(p[far] + 8)
     return out
 
@@ -408,7 +429,7 @@ def scores(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, label: str =
         ends = words_of * np.log1p(-stop) + np.log(stop)
         out = {"doc_id": chunk["doc_id"], "held_out": chunk["held_out"], "words": pa.array(words_of.astype(np.int64)), "known": pa.array(summed((every[word] > 0) * times)), "base": pa.array(summed(np.log10(every[word] + 1.0) * times))}
         # A word's first factor is a * q, so its logarithms are summed once for all weights; only repeated words need each weight.
-        repeated, again = np.flatnonzero(times > 1), np.flatnonzero(m > 1)
+        repeated, again = (np.argsort(-x, kind="stable")[: np.count_nonzero(x > 1)] for x in (times, m))
         distinct, distinct_left = np.bincount(doc, minlength=size), np.bincount(doc[mine], minlength=size)
         first, first_left = [prior[c] + summed(np.log(q)[word]) for c, q in enumerate(by_class)], np.bincount(doc[mine], np.log(left), size)
         for i, a in enumerate(CONCENTRATIONS):
