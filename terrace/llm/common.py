@@ -66,6 +66,18 @@ def settle(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bytes of texts that cross to a Python worker at once: the JVM, whose buffer doubles as it grows, and the worker both hold them.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of the session's plans, from now on, exceed BATCH_BYTES by more than a row; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def quoted(name: str) -> str:
     """A column's name for col() and expressions, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -152,11 +152,12 @@ def forced_bpe(path: str) -> ForcedBPE:
     return coder
 
 
-def encode_decode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids (decimal, joined by commas) and decoded (the text that the ids give back) of every row."""
+def encode_decode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", keep: bool = True) -> DataFrame:
+    """key, n_tokens, ids (decimal, joined by commas) and decoded (the text that the ids give back) of every row.
+    keep: a worker's coder outlives the task; without, no idle worker holds one beside other operators' tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = forced_bpe(tokenizer_file)
+        coder = forced_bpe(tokenizer_file) if keep else ForcedBPE(tokenizer_file)
         for batch in batches:
             for lo, texts in slices(batch["text"], SLICE_BYTES):
                 rows = list(coder.encode(texts))
@@ -165,13 +166,14 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id") ->
                 del rows, decoded
             trim()
         coder.forget()
+        del coder
         trim()
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"{key} long, n_tokens long, ids string, decoded string")
 
 
-def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+def digests(docs: DataFrame, tokenizer_file: str, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded text."""
-    coded = encode_decode(docs, tokenizer_file)
+    coded = encode_decode(docs, tokenizer_file, keep=keep)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

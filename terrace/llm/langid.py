@@ -38,7 +38,8 @@ HOLD_BACK = 5
 QUANTILE, SLACK, SHORT = 0.999, 0.75, 6.0
 #: Characters that count for the score at most.
 SCORED = 50
-SLICE_BYTES = 2 << 20
+#: Texts that are worked on at a time; their windows, hashes and codes take about forty times as much for a moment.
+SLICE_BYTES = 512 << 10
 POINTS = 0x110000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
