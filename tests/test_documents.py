@@ -109,6 +109,18 @@ def test_pages_by_their_own_structure():
     assert records.html_record("<p>x", "a/b.html")["concept_name"] == "b" and records.html_record("", "")["sections"] == []
 
 
+def test_references_without_their_end_are_text(spark):
+    """A title that was cut within a reference has the same name as a record and by itself."""
+    titles = ["a &amp;&amp", "b &am", "c &", "d &quot;&quo", "e &amp;amp;x", "f&ampx; &amp; g", "h &copy;&mdash;&#39;#"]
+    pages = [f"<title>{x}</title><script>a&&b</script><h1>{x}</h1><p>{x}</p><a href='?a=1&b=2'>y</a>" for x in titles]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").withColumn("url", F.lit("u"))
+    want = {r.page_id: r.title for r in rows.select("page_id", retrieve.page_title(F.col("html")).alias("title")).collect()}
+    got = {r.page_id: r for r in records.page_records(rows, "page_id", "html", "url").collect()}
+    assert {k: r.concept_name for k, r in got.items()} == want
+    assert [want[k] for k in range(len(titles))] == ["a &&amp", "b &am", "c &", 'd "&quo', "e &amp;x", "f&ampx; & g", "h ©—'"]
+    assert all(got[k].sections[0].heading == x and got[k].sections[0].text.rstrip("#") == x for k, x in want.items())
+
+
 def test_word_files_by_style_names():
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     kinds = {"a": "heading 2", "b": "List Paragraph", "c": "My Bullets", "t": "Title", "n": "Normal", "h": "Heading"}
