@@ -37,14 +37,22 @@ def is_heading(line: Column) -> Column:
     return (F.length(line) <= 80) & (n > 0) & (n <= 9) & ~line.rlike("[.,;:]$") & ~line.rlike("^[-*•·]") & (capital >= F.greatest(F.lit(1), F.floor(n / 2)))
 
 
+def cleaned(line: Column) -> Column:
+    return t.stripped(F.regexp_replace(line, "[ \\t]+", " "))
+
+
+def kind_of(line: Column) -> Column:
+    return F.when(is_bullet(line), "bullet").when(is_heading(line), "heading").otherwise("body")
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line (from 0), content, kind (heading, bullet, body), section (headings so far), list (number of the bullet's run, else null).
 
     Blank lines go and don't end a list; a heading or body line does.
     """
     rows = docs.select(key, F.posexplode(F.split(F.col(text), LINE_ENDS)).alias("line", "content"))
-    rows = rows.withColumn("content", t.stripped(F.regexp_replace("content", "[ \\t]+", " "))).where("content <> ''")
-    rows = rows.withColumn("kind", F.when(is_bullet(F.col("content")), "bullet").when(is_heading(F.col("content")), "heading").otherwise("body"))
+    rows = rows.withColumn("content", cleaned(F.col("content"))).where("content <> ''")
+    rows = rows.withColumn("kind", kind_of(F.col("content")))
     ordered = Window.partitionBy(key).orderBy("line")
     rows = rows.withColumn("section", F.sum(F.when(F.col("kind") == "heading", 1).otherwise(0)).over(ordered))
     opens = (F.col("kind") == "bullet") & (F.coalesce(F.lag("kind").over(ordered), F.lit("")) != "bullet")
@@ -62,27 +70,29 @@ def sections(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return parts.where("text <> ''").select(key, "section", F.when(top, "(top)").otherwise(F.col("heading")).alias("heading"), F.when(top, 1).otherwise(2).alias("level"), "text")
 
 
-def lists(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, list, items: runs of bullets."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: without_bullet(x["content"]))
-    return rows.where("list is not null").groupBy(key, "list").agg(items.alias("items"))
-
-
-def text_records(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", title: str | None = None) -> DataFrame:
+def text_records(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", title: str | None = None, error: str | None = None) -> DataFrame:
     """Concept records of texts without markup, such as a PDF's: name from the given title, else the first line that isn't blank, else
-    the source's stem; sections and lists by lines(); a text without words gets `_read_error`, since it needs OCR."""
-    clean = lambda c: t.stripped(F.regexp_replace(c, "[ \\t]+", " "))
-    base = docs.select(F.col(key), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), (clean(F.col(title)) if title else F.lit(None).cast("string")).alias("title"))
-    rows = lines(base, key)
-    first = rows.groupBy(key).agg(F.min_by("content", "line").alias("first"))
-    parts = sections(rows, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "heading", "level", "text"))), lambda x: F.struct(x["heading"].alias("heading"), x["level"].alias("level"), x["text"].alias("text"))).alias("sections"))
-    listed = lists(rows, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "items"))), lambda x: x["items"]).alias("lists"))
-    out = base.join(first, key, "left").join(parts, key, "left").join(listed, key, "left")
+    the source's stem; sections and lists as of lines(); a text without words gets `_read_error`, since it needs OCR, unless it has an
+    error of its own. A record is made of its row alone, so that texts are neither shuffled nor made twice."""
+    given = lambda name: F.col(name) if name else F.lit(None).cast("string")
+    rows = docs.select(F.col(key), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), cleaned(given(title)).alias("title"), given(error).alias("error"))
+    whole = F.filter(F.transform(F.split("text", LINE_ENDS), cleaned), lambda x: x != "")
+    rows = rows.withColumn("lines", F.transform(whole, lambda x: F.struct(x.alias("content"), kind_of(x).alias("kind"))))
+    kind = lambda i: F.coalesce(F.get("lines", i)["kind"], F.lit(""))
+    places = lambda found: F.array_compact(F.transform("lines", lambda x, i: F.when(found(x["kind"], i), i)))
+    bullet = F.lit("bullet")
+    rows = rows.withColumn("heads", F.concat(F.array(F.lit(-1)), places(lambda own, i: own == "heading")))
+    rows = rows.withColumn("opens", places(lambda own, i: (own == bullet) & (kind(i - 1) != bullet))).withColumn("ends", places(lambda own, i: (own == bullet) & (kind(i + 1) != bullet)))
+    content = lambda some: F.transform(some, lambda x: x["content"])
+    behind = lambda h, k: F.slice("lines", h + 2, F.coalesce(F.get("heads", k + 1), F.size("lines")) - h - 1)
+    section = lambda h, k: F.struct(F.when(h < 0, "(top)").otherwise(F.get("lines", h)["content"]).alias("heading"), F.when(h < 0, 1).otherwise(2).alias("level"), F.array_join(content(F.filter(behind(h, k), lambda x: x["kind"] == "body")), " ").alias("text"))
+    parts = F.filter(F.transform("heads", section), lambda x: x["text"] != "")
+    listed = F.transform("opens", lambda s, k: F.transform(F.slice("lines", s + 1, F.get("ends", k) - s + 1), lambda x: without_bullet(x["content"])))
     stem = F.regexp_replace(F.regexp_replace("source", "^.*/", ""), "\\.[^.]*$", "")
-    prose = clean(F.replace("text", F.lit("\n"), F.lit(" ")))
-    none = lambda name: F.array().cast(dict(x.split(" ", 1) for x in RECORD.split(", "))[name])
-    error = F.when(prose == "", "no text layer (scanned?): needs OCR")
-    return out.select(key, F.coalesce(F.nullif("title", F.lit("")), "first", stem).alias("concept_name"), "source", stem.alias("section"), prose.alias("prose"), F.coalesce("sections", none("sections")).alias("sections"), F.coalesce("lists", none("lists")).alias("lists"), none("tables").alias("tables"), error.alias("_read_error"))
+    prose = cleaned(F.replace("text", F.lit("\n"), F.lit(" ")))
+    typed = lambda c, name: c.cast(dict(x.split(" ", 1) for x in RECORD.split(", "))[name]).alias(name)
+    told = F.coalesce("error", F.when(~F.col("text").rlike("(?U)\\S"), "no text layer (scanned?): needs OCR"))
+    return rows.select(key, F.coalesce(F.nullif("title", F.lit("")), F.get("lines", F.lit(0))["content"], stem).alias("concept_name"), "source", stem.alias("section"), prose.alias("prose"), typed(parts, "sections"), typed(listed, "lists"), typed(F.array(), "tables"), told.alias("_read_error"))
 
 
 def prompt_text(record: DataFrame) -> DataFrame:

@@ -156,6 +156,17 @@ def test_texts_become_records(spark):
     assert got[2].concept_name == "scan" and "OCR" in got[2]._read_error and got[3].concept_name == "My Title" and got[3].sections[0].heading == "(top)"
 
 
+def test_long_texts_become_records_in_one_pass(spark):
+    """Lists and sections at either end, runs that a heading or a body line parts; 20,000 lines with as many sections and lists as fit."""
+    texts = ["- a\n\n* b\nbody,\n- c\nHead\n1. d\nHead Two\nlast.\n- e", "Head\n- a\nsome text.\n" * 20_000]
+    df = intake.text_records(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("source", F.lit("s")))
+    got = {r.doc_id: r for r in df.collect()}
+    assert (got[0].lists, [(s.heading, s.level, s.text) for s in got[0].sections]) == ([["a", "b"], ["c"], ["d"], ["e"]], [("(top)", 1, "body,"), ("Head Two", 2, "last.")])
+    assert (got[0].concept_name, got[1].concept_name, got[1].lists) == ("- a", "Head", [["a"]] * 20_000)
+    assert [(s.heading, s.level, s.text) for s in got[1].sections] == [("Head", 2, "some text.")] * 20_000
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_drafts_of_mapped_records(spark, tmp_path):
     rows = intake.text_records(spark.createDataFrame([(1, "Route\ntext", "a.pdf"), (2, "Other\ntext", "b.pdf")], "doc_id int, text string, source string")).drop("doc_id")
     words = spark.createDataFrame([("DataObject", "route")], "kind string, name string")
